@@ -1,0 +1 @@
+"""Every source the engine has to cover is batch, so nothing lives here."""
