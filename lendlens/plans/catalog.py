@@ -14,12 +14,13 @@ from lendlens.sources import binding
 class LendingCatalog:
     """Lazy canonical views; each is built on first use and shared afterwards."""
 
-    def __init__(self, base: dict[str, DataFrame]):
+    def __init__(self, base: dict[str, DataFrame], sf_dir: str | None = None):
         self.base = base
+        self.sf_dir = sf_dir
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> LendingCatalog:
-        return cls(binding.bind(configure(spark), sf_dir))
+        return cls(binding.bind(configure(spark), sf_dir), sf_dir)
 
     @cached_property
     def users_enriched(self) -> DataFrame:
@@ -78,6 +79,24 @@ class LendingCatalog:
     def risk_model_base(self) -> DataFrame:
         return risk_base.risk_model_base(self.users_enriched, self.loans, self.transactions)
 
+    def clean_views(self) -> dict[str, DataFrame]:
+        """The five cleaned tables, users without the decile."""
+        return {
+            "v_dim_users_clean": self.users_enriched,
+            "v_fct_transactions_clean": self.transactions,
+            "v_fct_loans_clean": self.loans,
+            "v_ab_assignments_clean": self.assignments,
+            "v_fct_sessions_clean": self.sessions,
+        }
+
+    def check_views(self) -> dict[str, DataFrame]:
+        """The views the quality checks read."""
+        return {
+            **self.clean_views(),
+            "v_user_funnel_base": self.funnel_base,
+            "v_risk_model_base": self.risk_model_base,
+        }
+
     def views(self) -> dict[str, DataFrame]:
         return {
             "v_dim_users_clean": self.users,
