@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.functions import rounded
+from lendlens.operators import score
 from lendlens.plans import (
-    dashboard, experiments, funnel, history, metrics, quality, risk_base,
+    dashboard, effects, experiments, funnel, history, metrics, policy, quality, risk_base,
+    risk_model,
 )
 from lendlens.plans.catalog import LendingCatalog
 from lendlens.sources import ingest
@@ -182,3 +184,51 @@ _add("dq_contracts", lambda c: quality.contracts(c.loans, c.users_enriched, 250.
 
 def _checks(c: LendingCatalog) -> DataFrame:
     return quality.all_checks(c.base, c.check_views(), AS_OF)
+
+
+# adjusted effects
+_add("experiment_ols_hc1", lambda c: effects.ols_effects(c.loans_with_experiments))
+_add("experiment_logit_ame", lambda c: effects.logit_effects(c.loans_with_experiments))
+_add("experiment_effects", lambda c: effects.effects_table(c.loans_with_experiments))
+_add("experiment_heterogeneity", lambda c: effects.heterogeneity(c.loans_with_experiments))
+_add("experiment_flags", lambda c: effects.effect_flags(
+    effects.heterogeneity(c.loans_with_experiments)))
+_add("experiment_interaction", lambda c: effects.interaction_model(c.loans_with_experiments))
+
+# risk model; the score operators run on the given risk score, which any engine can repeat
+SCORE = "baseline_risk_score"
+
+
+def _scored(c: LendingCatalog) -> DataFrame:
+    people = c.users_enriched.select("user_id", SCORE, "province", "device_os")
+    return c.loans.where("is_approved = 1").select(
+        "loan_id", "user_id", "amount", "revenue", "days_to_repay", "is_default",
+        "approved_at_utc",
+    ).join(people, "user_id")
+
+
+_add("risk_features", lambda c: risk_model.feature_summary(c.risk_model_base))
+_add("risk_imputed", lambda c: risk_model.imputed_features(c.risk_model_base), 5)
+_add("risk_split", lambda c: risk_model.split(c.risk_model_base.select("loan_id", "is_default")))
+_add("risk_eval", lambda c: score.evaluation(_scored(c), SCORE, "is_default"), 6)
+_add("risk_roc", lambda c: score.roc_points(_scored(c), SCORE, "is_default"), 6)
+_add("risk_pr", lambda c: score.pr_points(_scored(c), SCORE, "is_default"), 6)
+_add("risk_calibration", lambda c: score.calibration(_scored(c), SCORE, "is_default"), 6)
+_add("risk_stability", lambda c: risk_model.stability(
+    _scored(c), SCORE, ["province", "device_os"]))
+_add("risk_operating_points", lambda c: score.operating_points(_scored(c), SCORE, "is_default",
+                                                               defaults=(0.45, 0.5, 0.55)), 6)
+_add("risk_model_cv", lambda c: risk_model.cv_table(risk_model.fit(c.risk_model_base)))
+_add("risk_coefficients", lambda c: risk_model.coefficient_table(
+    risk_model.fit(c.risk_model_base, c_values=[0.1])))
+_add("risk_model_eval", lambda c: score.evaluation(
+    risk_model.fit(c.risk_model_base, c_values=[0.1]).test, "pd", "is_default"))
+_add("policy_limits", lambda c: policy.loan_limits(_scored(c), SCORE).select(
+    "loan_id", "risk_quartile", "loan_limit"))
+_add("policy_pnl", lambda c: policy.policy_pnl(
+    _scored(c).withColumn("days", F.coalesce("days_to_repay", F.lit(14))), SCORE, "days",
+    {"approve all": 1.1, "score below 0.5": 0.5, "score below 0.35": 0.35}), 4)
+_add("drift_psi", lambda c: score.population_stability(
+    _scored(c).where(F.col("approved_at_utc") < F.lit("2024-01-20").cast("timestamp_ntz")),
+    _scored(c).where(F.col("approved_at_utc") >= F.lit("2024-01-20").cast("timestamp_ntz")),
+    SCORE), 6)
