@@ -14,9 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from lendlens.functions.expressions import normal_two_sided_p
+from lendlens.operators.cache import column_levels, persisted
 
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
 
@@ -44,16 +44,10 @@ class Design:
 
 
 def design_of(df: DataFrame, baselines: dict[str, object], numeric: str) -> Design:
-    """Levels of the categorical columns; a None baseline means the first level.
-
-    One row per level reaches the driver: these are category domains.
-    """
+    """Levels of the categorical columns; a None baseline means the first level."""
     levels = {}
-    for column, baseline in baselines.items():
-        values = sorted(
-            r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()
-        )
-        first = values[0] if baseline is None else baseline
+    for column, values in column_levels(df, list(baselines)).items():
+        first = values[0] if baselines[column] is None else baselines[column]
         if first not in values:
             raise ValueError(f"{column}: baseline {first!r} does not occur")
         levels[column] = [first, *[v for v in values if v != first]]
@@ -205,11 +199,10 @@ def logit_by_stratum(
         .groupBy(*dict.fromkeys([stratum, *cats, design.numeric]))
         .agg(F.count(F.lit(1)).cast("double").alias("__w"),
              F.sum(F.col(outcome).cast("double")).alias("__y"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     p = len(design.terms)
     upper = np.triu_indices(p)
-    try:
+    with persisted(merged):
         strata = [r[0] for r in merged.select(stratum).distinct().collect()]
         key_type = merged.schema[stratum].dataType.simpleString()
         open_betas = {s: np.zeros(p) for s in strata}
@@ -239,5 +232,3 @@ def logit_by_stratum(
             if not open_betas:
                 break
         return done
-    finally:
-        merged.unpersist()

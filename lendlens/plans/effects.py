@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import flag, round_half_away
+from lendlens.operators.cache import persisted
 from lendlens.operators.regression import design_of, logit_by_stratum, ols_hc1
 from lendlens.plans.experiments import collapse_rare, tip_loans
 
@@ -27,10 +28,6 @@ def analysis_frame(loans: DataFrame) -> DataFrame:
     )
 
 
-def _session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def _rows(metric: str, unit: str, effects: list[dict], scale: float) -> list[tuple]:
     return [
         (metric, e["level"], scale * e["effect"], scale * e["ci_low"], scale * e["ci_high"],
@@ -39,32 +36,43 @@ def _rows(metric: str, unit: str, effects: list[dict], scale: float) -> list[tup
     ]
 
 
-def ols_effects(loans: DataFrame) -> DataFrame:
-    """Adjusted effect on mean tip and revenue per loan, HC1 errors."""
-    frame = analysis_frame(loans)
+def _ols_rows(frame: DataFrame) -> list[tuple]:
     design = design_of(frame, BASELINES, "amount")
-    rows = [
+    return [
         r for metric, y in OLS_METRICS.items()
         for r in _rows(metric, "$", ols_hc1(frame, y, design), 1.0)
     ]
-    return _session(loans).createDataFrame(rows, _EFFECT)
 
 
-def logit_effects(loans: DataFrame) -> DataFrame:
-    """Adjusted average marginal effect on take-rate and default, in points."""
-    frame = analysis_frame(loans).withColumn("all_rows", F.lit(0))
+def _logit_rows(frame: DataFrame) -> list[tuple]:
     design = design_of(frame, BASELINES, "amount")
+    frame = frame.withColumn("all_rows", F.lit(0))
     rows = []
     for metric, y in LOGIT_METRICS.items():
         fit = logit_by_stratum(frame, y, design, "all_rows").get(0)
         if fit is not None:
             rows += _rows(metric, "pp", fit.marginal_effects(design), 100.0)
-    return _session(loans).createDataFrame(rows, _EFFECT)
+    return rows
+
+
+def ols_effects(loans: DataFrame) -> DataFrame:
+    """Adjusted effect on mean tip and revenue per loan, HC1 errors."""
+    with persisted(analysis_frame(loans)) as frame:
+        return loans.sparkSession.createDataFrame(_ols_rows(frame), _EFFECT)
+
+
+def logit_effects(loans: DataFrame) -> DataFrame:
+    """Adjusted average marginal effect on take-rate and default, in points."""
+    with persisted(analysis_frame(loans)) as frame:
+        return loans.sparkSession.createDataFrame(_logit_rows(frame), _EFFECT)
 
 
 def effects_table(loans: DataFrame) -> DataFrame:
     """All effects, rounded by unit (1 digit for points, 2 for dollars)."""
-    both = ols_effects(loans).unionByName(logit_effects(loans))
+    with persisted(analysis_frame(loans)) as frame:
+        both = loans.sparkSession.createDataFrame(
+            _ols_rows(frame) + _logit_rows(frame), _EFFECT
+        )
 
     def shown(c: str):
         v = round_half_away(F.col(c), 3)
@@ -96,9 +104,11 @@ def heterogeneity(loans: DataFrame, min_stratum: int = 50, min_province: int = 2
     frame = frame.join(large.select("risk_score_decile"), "risk_score_decile", "left_semi")
     baselines = {"tip_test_group": "control", "price_test_group": "A", "province": None}
     rows = []
-    if not frame.isEmpty():
-        design = design_of(frame, baselines, "amount_k")
-        fits = logit_by_stratum(frame, "tip_taken", design, "risk_score_decile")
+    with persisted(frame):
+        fits = {}
+        if not frame.isEmpty():
+            design = design_of(frame, baselines, "amount_k")
+            fits = logit_by_stratum(frame, "tip_taken", design, "risk_score_decile")
         for decile, fit in sorted(fits.items()):
             for e in fit.marginal_effects(design):
                 if e["term"] == "tip_test_group" and e["level"] in ("persuasive", "social_proof"):
@@ -106,7 +116,7 @@ def heterogeneity(loans: DataFrame, min_stratum: int = 50, min_province: int = 2
                         decile, e["level"], 100 * e["effect"], 100 * e["ci_low"],
                         100 * e["ci_high"], e["p_value"], int(fit.n), fit.converged,
                     ))
-    raw = _session(loans).createDataFrame(
+    raw = loans.sparkSession.createDataFrame(
         rows, "risk_decile int, tip_variant string, effect_pp double, ci_low_pp double,"
               " ci_high_pp double, p_value double, n bigint, converged boolean",
     )
@@ -132,12 +142,14 @@ def interaction_model(loans: DataFrame) -> DataFrame:
     frame = analysis_frame(loans).where(F.col("price_test_group").isin("A", "B")).withColumn(
         "arm", F.concat_ws("_", "price_test_group", "tip_test_group")
     )
-    design = design_of(frame, {"arm": "A_control", "risk_score_decile": None, "province": None},
-                       "amount")
-    rows = [
-        (e["level"], e["effect"], e["std_err"], e["p_value"])
-        for e in ols_hc1(frame, "revenue", design) if e["term"] == "arm"
-    ]
-    return _session(loans).createDataFrame(
+    with persisted(frame):
+        design = design_of(
+            frame, {"arm": "A_control", "risk_score_decile": None, "province": None}, "amount"
+        )
+        rows = [
+            (e["level"], e["effect"], e["std_err"], e["p_value"])
+            for e in ols_hc1(frame, "revenue", design) if e["term"] == "arm"
+        ]
+    return loans.sparkSession.createDataFrame(
         rows, "combination string, effect double, std_err double, p_value double"
     )

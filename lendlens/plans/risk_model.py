@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from lendlens.functions import round_half_away
 from lendlens.operators import score as scoring
+from lendlens.operators.cache import column_levels, persisted
 from lendlens.operators.quantile import exact_quantiles
 
 LABEL = "is_default"
@@ -24,6 +24,7 @@ NOT_FEATURES = [LABEL, "loan_id", "user_id", "approved_at_utc", "disbursed_at_ut
                 "due_date_clean", "amount"]
 C_VALUES = [10.0 ** (-3 + 0.5 * i) for i in range(9)]
 TEST_SHARE = 30  # percent
+ROWS_PER_TASK = 20_000
 
 
 def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -52,16 +53,10 @@ def _finite(c: str) -> Column:
 
 
 def one_hot(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Numeric matrix columns: finite numerics, and a dummy per level but the first.
-
-    The levels are category domains; one row per level reaches the driver.
-    """
+    """Numeric matrix columns: finite numerics, and a dummy per level but the first."""
     numeric, text = feature_columns(df)
     columns = {c: _finite(c) for c in numeric}
-    for c in text:
-        levels = sorted(
-            r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect()
-        )
+    for c, levels in column_levels(df, text).items():
         for v in levels[1:]:
             columns[f"{c}_{v}"] = F.when(F.col(c) == v, 1.0).otherwise(0.0)
     return df.select("loan_id", LABEL, *[e.alias(n) for n, e in columns.items()]), list(columns)
@@ -80,8 +75,10 @@ def impute(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -
 
 
 def imputed_features(base: DataFrame) -> DataFrame:
-    matrix, columns = one_hot(base)
-    return impute(matrix, columns)
+    """The model matrix; levels and medians are fitted here, the rest stays lazy."""
+    with persisted(base):
+        matrix, columns = one_hot(base)
+        return impute(matrix, columns)
 
 
 def _draw(salt: str, modulus: int) -> Column:
@@ -118,54 +115,48 @@ class RiskModel:
 
 
 def fit(base: DataFrame, c_values: list[float] | None = None, folds: int = 5,
-        parallelism: int = 4, max_iter: int = 100) -> RiskModel:
+        parallelism: int = 8, max_iter: int = 100, tol: float = 1e-5) -> RiskModel:
     """Scaled L1 logistic regression, penalty chosen by cross-validated AUC.
 
-    A penalty C on the summed loss is 1 / (C n) on the mean loss.
+    A penalty C on the summed loss is 1 / (C n) on the mean loss. A single C needs
+    no search.
     """
+    values = c_values or C_VALUES
     prepared = split(imputed_features(base))
     features = [c for c in prepared.columns if c not in ("loan_id", LABEL, "is_test")]
-    prepared = prepared.withColumn("fold", _draw("fold", folds).cast("int")).persist(
-        StorageLevel.MEMORY_AND_DISK
+    train = prepared.where("is_test = 0").withColumn("fold", _draw("fold", folds).cast("int"))
+    assembler = VectorAssembler(inputCols=features, outputCol="raw")
+    lr = LogisticRegression(
+        featuresCol="scaled", labelCol=LABEL, elasticNetParam=1.0, standardization=False,
+        maxIter=max_iter, tol=tol, probabilityCol="probability",
     )
-    try:
-        train = prepared.where("is_test = 0")
-        n = train.count()
-        # C -> regParam on the training part of a fold, whose size is n (k - 1) / k
-        values = c_values or C_VALUES
-        assembled = Pipeline(stages=[
-            VectorAssembler(inputCols=features, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="scaled", withMean=False, withStd=True),
-        ]).fit(train)
-        lr = LogisticRegression(
-            featuresCol="scaled", labelCol=LABEL, elasticNetParam=1.0, standardization=False,
-            maxIter=max_iter, probabilityCol="probability",
+    with persisted(assembler.transform(train).select("raw", LABEL, "fold")) as rows:
+        n = rows.count()
+        scaler = StandardScaler(
+            inputCol="raw", outputCol="scaled", withMean=False, withStd=True
+        ).fit(rows)
+        # an iteration is one pass: keep enough rows per task to outweigh its start
+        scaled = scaler.transform(rows).select("scaled", LABEL, "fold").coalesce(
+            max(1, -(-n // ROWS_PER_TASK))
         )
-        scaled = assembled.transform(train).select("scaled", LABEL, "fold").persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
-        try:
-            fold_n = n * (folds - 1) / folds
-            grid = ParamGridBuilder().addGrid(
-                lr.regParam, [1.0 / (c * fold_n) for c in values]
-            ).build()
-            search = CrossValidator(
-                estimator=lr, estimatorParamMaps=grid, foldCol="fold", numFolds=folds,
-                evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
-                parallelism=parallelism,
-            ).fit(scaled)
-            cv_auc = dict(zip(values, search.avgMetrics))
-            best_c = max(values, key=lambda c: (cv_auc[c], -c))
+        with persisted(scaled):
+            cv_auc = {}
+            if len(values) > 1:
+                fold_n = n * (folds - 1) / folds
+                search = CrossValidator(
+                    estimator=lr,
+                    estimatorParamMaps=[{lr.regParam: 1.0 / (c * fold_n)} for c in values],
+                    evaluator=BinaryClassificationEvaluator(labelCol=LABEL),
+                    foldCol="fold", numFolds=folds, parallelism=parallelism,
+                ).fit(scaled)
+                cv_auc = dict(zip(values, search.avgMetrics))
+            best_c = max(cv_auc, key=lambda c: (cv_auc[c], -c)) if cv_auc else values[0]
             final = lr.copy({lr.regParam: 1.0 / (best_c * n)}).fit(scaled)
-        finally:
-            scaled.unpersist()
-        model = PipelineModel(stages=[*assembled.stages, final])
-        held_out = model.transform(
-            split(imputed_features(base)).where("is_test = 1")
-        ).select("loan_id", LABEL, vector_to_array("probability")[1].alias("pd"))
-        return RiskModel(model, features, best_c, cv_auc, held_out)
-    finally:
-        prepared.unpersist()
+    model = PipelineModel(stages=[assembler, scaler, final])
+    held_out = model.transform(prepared.where("is_test = 1")).select(
+        "loan_id", LABEL, vector_to_array("probability")[1].alias("pd")
+    )
+    return RiskModel(model, features, best_c, cv_auc, held_out)
 
 
 def cv_table(model: RiskModel) -> DataFrame:
