@@ -994,3 +994,141 @@ expect("dq_contracts", _union([
         ("score_in_unit_range", "uc", "baseline_risk_score < 0 OR baseline_risk_score > 1"),
         ("score_null_share", "uc", "baseline_risk_score IS NULL")]
 ]))
+
+
+# score evaluation on the given risk score
+CTES["xs"] = """
+SELECT l.loan_id, l.user_id, l.amount, l.revenue, l.days_to_repay, l.is_default AS y,
+       l.approved_at_utc, u.baseline_risk_score AS s, u.province, u.device_os
+FROM lc l JOIN uc u ON u.user_id = l.user_id WHERE l.approved_at IS NOT NULL"""
+CTES["xc"] = """
+SELECT DISTINCT s,
+       (sum(y) OVER down)::DOUBLE AS tp, (sum(1 - y) OVER down)::DOUBLE AS fp,
+       (sum(y) OVER ())::DOUBLE AS pos, (sum(1 - y) OVER ())::DOUBLE AS neg
+FROM xs WINDOW down AS (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _auc(group: str = "") -> str:
+    """Rank-sum form: mean rank of the positives, ties at their middle rank."""
+    part = f"PARTITION BY {group}" if group else ""
+    return f"""
+SELECT {group + ',' if group else ''} count(*) AS n_samples,
+       (sum(mid) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE)
+         / nullif(sum(y) * sum(1 - y), 0)::DOUBLE AS auc,
+       (sum(prec) FILTER (WHERE y = 1) / nullif(sum(y), 0))::DOUBLE AS ap
+FROM (SELECT *, rank() OVER ({part} ORDER BY s)
+                + (count(*) OVER ({part + ',' if part else 'PARTITION BY'} s) - 1) / 2.0::DOUBLE
+                  AS mid,
+             (sum(y) OVER dn)::DOUBLE / count(*) OVER dn AS prec
+      FROM xs WINDOW dn AS ({part} ORDER BY s DESC RANGE UNBOUNDED PRECEDING))
+{'GROUP BY ' + group if group else ''}"""
+
+
+_NAMES.update({
+    n: re.compile(rf"\b(?:FROM|JOIN)\s*\(?\s*{n}\b|,\s*{n}\b") for n in ("xs", "xc")
+})
+expect("risk_eval", f"""
+SELECT auc, ap, brier, log_loss FROM ({_auc()}),
+  (SELECT avg((s - y) * (s - y)) AS brier,
+          avg(-ln(if(y = 1, s, 1 - s))) AS log_loss
+   FROM (SELECT y, least(greatest(s, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS s FROM xs))""",
+       "auc ap brier log_loss")
+expect("risk_roc", "SELECT s AS threshold, fp / neg AS fpr, tp / pos AS tpr FROM xc",
+       "threshold fpr tpr")
+expect("risk_pr", "SELECT s AS threshold, tp / (tp + fp) AS precision, tp / pos AS recall FROM xc",
+       "threshold precision recall")
+expect("risk_calibration", """
+SELECT list_count(list_filter(e, lambda q: s > q))::INT AS bin, count(*) AS n,
+       avg(s) AS prob_pred, avg(y) AS prob_true
+FROM xs, (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM xs)
+GROUP BY 1""", "prob_pred prob_true")
+expect("risk_stability", f"""
+SELECT 'province' AS segment, province AS value, n_samples, round(auc, 3) AS auc,
+       round(ap, 3) AS ap FROM ({_auc('province')}) WHERE n_samples >= 50
+UNION ALL SELECT 'device_os', device_os, n_samples, round(auc, 3), round(ap, 3)
+FROM ({_auc('device_os')}) WHERE n_samples >= 50""")
+expect("risk_operating_points", """
+SELECT name, t AS threshold, avg((s < t)::INT) AS approval_rate,
+       avg(y) FILTER (WHERE s < t) AS def_rate_approved,
+       avg(y) FILTER (WHERE s >= t) AS def_rate_declined,
+       (count(*) FILTER (WHERE s >= t AND y = 1))::DOUBLE / sum(y) AS sensitivity,
+       (count(*) FILTER (WHERE s < t AND y = 0))::DOUBLE / sum(1 - y) AS specificity,
+       avg(y) FILTER (WHERE s >= t) AS precision
+FROM xs, (
+  SELECT 'Fixed Approval ' || (q * 100)::INT || '%' AS name, v AS t
+  FROM (SELECT unnest([0.3, 0.35, 0.4]) AS q,
+               unnest(quantile_cont(s, [0.3, 0.35, 0.4])) AS v FROM xs)
+  UNION ALL
+  SELECT 'Fixed Default ≤ ' || (target * 100)::INT || '%', t
+  FROM (SELECT target, t FROM (SELECT unnest([0.45, 0.5, 0.55]) AS target),
+             (SELECT DISTINCT s AS t, rank() OVER (ORDER BY s) - 1 AS ok,
+                     (sum(y) OVER ()) - (sum(y) OVER (ORDER BY s DESC RANGE UNBOUNDED PRECEDING))
+                       AS bad FROM xs
+              UNION ALL SELECT 1.0, count(*) FILTER (WHERE s < 1),
+                               sum(y) FILTER (WHERE s < 1) FROM xs)
+        WHERE ok > 0 AND bad::DOUBLE / ok <= target
+        QUALIFY row_number() OVER (PARTITION BY target ORDER BY ok DESC, t DESC) = 1))
+GROUP BY name, t""",
+       "threshold approval_rate def_rate_approved def_rate_declined sensitivity specificity"
+       " precision")
+expect("risk_features", _union([
+    f"SELECT '{c}' AS feature, '{kind}' AS kind, count({c}) AS filled_rows FROM rb"
+    for kind, cols in (
+        ("numeric", "baseline_risk_score prior_loan_flag prior_loan_default_flag"
+         f" {_PRIOR} prior_approved_loans_count prior_unapproved_loans_count txn_info_found"
+         " days_since_last_payroll neg_txn_count_14d txn_count_14d neg_txn_count_30d"
+         f" txn_count_30d {_trailing(14, 30)} {_RATIOS}"),
+        ("categorical", "province device_os acquisition_channel payroll_frequency"))
+    for c in cols.split()
+]))
+_NUMERIC = ("baseline_risk_score prior_loan_flag prior_loan_default_flag"
+            f" {_PRIOR} prior_approved_loans_count prior_unapproved_loans_count txn_info_found"
+            " days_since_last_payroll neg_txn_count_14d txn_count_14d neg_txn_count_30d"
+            f" txn_count_30d {_trailing(14, 30)} {_RATIOS}").split()
+_DUMMIES = {
+    "province": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+    "device_os": ["ios"],
+    "acquisition_channel": ["building", "furniture", "household", "machinery"],
+    "payroll_frequency": ["irregular", "monthly", "semimonthly", "weekly"],
+}
+_NUDGE = f"{0.00123 * 10.0 ** -5!r}::DOUBLE"
+expect("risk_imputed", "SELECT loan_id, is_default, " + ", ".join(
+    [f"round(ifnull({c}, (SELECT quantile_cont({c}, 0.5) FROM rb)) + {_NUDGE}, 5)::DOUBLE AS {c}"
+     for c in _NUMERIC]
+    + [f"round(({c} = '{v}')::INT + {_NUDGE}, 5)::DOUBLE AS \"{c}_{v}\""
+       for c, vs in _DUMMIES.items() for v in vs]
+) + " FROM rb")
+expect("risk_split", """
+SELECT loan_id, is_default,
+       (('0x' || substr(md5(is_default || ':' || loan_id), 1, 8))::BIGINT % 100 < 30)::INT
+         AS is_test
+FROM lc WHERE approved_at IS NOT NULL""")
+expect("policy_limits", """
+SELECT loan_id, q AS risk_quartile, [200.0::DOUBLE, 150, 100, 75][q] AS loan_limit
+FROM (SELECT loan_id, ntile(4) OVER (ORDER BY s NULLS LAST, loan_id)::INT AS q FROM xs)""")
+expect("policy_pnl", """
+SELECT policy, t AS threshold, count(*) AS approved_loans, sum(revenue) AS revenue,
+       sum(s * amount * 0.85::DOUBLE) AS expected_loss,
+       sum(0.3::DOUBLE + amount * 0.012::DOUBLE) AS processing_cost,
+       sum(amount * 0.12::DOUBLE * d / 365.0::DOUBLE) AS capital_cost,
+       sum(revenue - s * amount * 0.85::DOUBLE - (0.3::DOUBLE + amount * 0.012::DOUBLE)
+           - amount * 0.12::DOUBLE * d / 365.0::DOUBLE) AS expected_pnl
+FROM (SELECT *, ifnull(days_to_repay, 14) AS d FROM xs),
+     (VALUES ('approve all', 1.1::DOUBLE), ('score below 0.5', 0.5), ('score below 0.35', 0.35))
+       AS p(policy, t)
+WHERE s < t GROUP BY policy, t""",
+       "threshold revenue expected_loss processing_cost capital_cost expected_pnl", 4)
+expect("drift_psi", """
+SELECT *, if(psi > 0.25, 'critical', if(psi > 0.1, 'warning', 'ok')) AS status
+FROM (SELECT bucket, share_before, share_after,
+             (share_after - share_before) * ln(share_after / share_before) AS psi_part,
+             sum((share_after - share_before) * ln(share_after / share_before)) OVER () AS psi
+      FROM (SELECT list_count(list_filter(e, lambda q: s > q))::INT AS bucket,
+                   greatest(count_if(early) / (SELECT count(*) FROM xs
+                     WHERE approved_at_utc < TIMESTAMP '2024-01-20'), 0.0001) AS share_before,
+                   greatest(count_if(NOT early) / (SELECT count(*) FROM xs
+                     WHERE approved_at_utc >= TIMESTAMP '2024-01-20'), 0.0001) AS share_after
+            FROM (SELECT s, approved_at_utc < TIMESTAMP '2024-01-20' AS early FROM xs),
+                 (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
+                  FROM xs WHERE approved_at_utc < TIMESTAMP '2024-01-20')
+            GROUP BY 1))""", "share_before share_after psi_part psi")
