@@ -35,42 +35,46 @@ def ordered_index(
 ) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY ts, tie)`` without a per-key task.
 
-    Rows are numbered inside (key, calendar unit); the rows of earlier units are
-    added from a prefix over the unit counts. The prefix window holds one row per
-    unit a key was active in, so its size is bounded by the calendar.
+    Rows are numbered inside (key, calendar unit), after the number of rows in the
+    key's earlier units. That number comes from a prefix over unit counts, whose
+    window holds one row per unit a key was active in, so its size is bounded by
+    the calendar. It travels to its (key, unit) group as one more row, which costs
+    no join: the wide rows are shuffled once.
     """
+    columns = df.columns
     unit_of = F.date_trunc(unit, F.col(ts).cast("timestamp"))
-    parts = df.withColumn("__unit", unit_of)
-    earlier = (
-        parts.groupBy(key, "__unit").agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(
-            "__before",
-            F.coalesce(
-                F.sum("__n").over(
-                    Window.partitionBy(key).orderBy(F.col("__unit").asc_nulls_last())
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
+    rows = df.withColumns({"__unit": unit_of, "__before": F.lit(None).cast("long")})
+    earlier = rows.groupBy(key, "__unit").agg(F.count(F.lit(1)).alias("__n")).select(
+        key, "__unit",
+        F.coalesce(
+            F.sum("__n").over(
+                Window.partitionBy(key).orderBy(F.col("__unit").asc_nulls_last())
+                .rowsBetween(Window.unboundedPreceding, -1)
             ),
-        )
-        .drop("__n")
+            F.lit(0),
+        ).alias("__before"),
     )
-    within = Window.partitionBy(key, "__unit").orderBy(
-        F.col(ts).asc_nulls_last(), F.col(tie).asc_nulls_last()
+    group = Window.partitionBy(key, "__unit")
+    # the offset row sorts first and takes number 0
+    within = group.orderBy(
+        F.col("__before").asc_nulls_last(), F.col(ts).asc_nulls_last(),
+        F.col(tie).asc_nulls_last(),
     )
-    numbered = parts.withColumn("__local", F.row_number().over(within))
     return (
-        join_back(numbered, earlier, [key, "__unit"])
-        .withColumn(name, F.col("__before") + F.col("__local"))
-        .drop("__unit", "__local", "__before")
+        rows.unionByName(earlier, allowMissingColumns=True)
+        .withColumn("__local", F.row_number().over(within) - 1)
+        .withColumn("__offset", F.first("__before").over(within))
+        .where(F.col("__before").isNull())
+        .withColumn(name, F.col("__offset") + F.col("__local"))
+        .select(*columns, name)
     )
 
 
 def sums_before(instants: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
     """Per (key, ts): the sums of ``columns`` over strictly earlier instants of the key.
 
-    Rows of one instant are merged first, so equal timestamps never see each
-    other. Sums are kept per day and prefixed over days; only the rows of one
+    Key and ts must be filled. Rows of one instant are merged first, so equal
+    timestamps never see each other. Sums are kept per day and prefixed over days; only the rows of one
     (key, day) meet in a window of their own.
     """
     merged = instants.groupBy(key, ts).agg(*[F.sum(c).alias(c) for c in columns])
@@ -86,7 +90,7 @@ def sums_before(instants: DataFrame, key: str, ts: str, columns: list[str]) -> D
     local = merged.select(
         key, ts, "__day", *[F.sum(c).over(in_day).alias(f"__l_{c}") for c in columns]
     )
-    joined = join_back(local, prefix, [key, "__day"])
+    joined = local.join(prefix, [key, "__day"], "left")
     zero = F.lit(0)
     return joined.select(
         key, ts,
