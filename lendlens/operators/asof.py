@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def latest_before(
-    queries: DataFrame, snapshots: DataFrame, key: str, at: str, stamp: str
+    queries: DataFrame, snapshots: DataFrame, key: str, at: str, stamp: str, how: str = "inner"
 ) -> DataFrame:
     """Every query row with the latest snapshot of its key stamped strictly before ``at``.
 
@@ -15,15 +15,15 @@ def latest_before(
     therefore only depends on the last day whose midnight precedes ``at``, and the
     lookup runs on the distinct (key, day) pairs: a key holds at most one row per
     day on either side, whatever its number of queries. Queries without a
-    snapshot drop out.
+    snapshot drop out, or stay with NULLs where ``how`` is "left".
     """
     payload = [c for c in snapshots.columns if c != key]
     midnight = F.date_trunc("DAY", F.col(at).cast("timestamp")).cast("timestamp_ntz")
     last_day = F.when(F.col(at) > midnight, F.col(at).cast("date")).otherwise(
         F.date_sub(F.col(at).cast("date"), 1)
     )
-    asked = queries.where(F.col(at).isNotNull()).withColumn("__cutoff", last_day)
-    points = asked.select(key, F.col("__cutoff").alias("__day")).distinct()
+    asked = queries.withColumn("__cutoff", last_day)
+    points = asked.select(key, F.col("__cutoff").alias("__day")).dropna().distinct()
     snap = F.struct(*payload)
     facts = snapshots.select(
         key, F.col(stamp).cast("date").alias("__day"), F.lit(0).alias("__ask"), snap.alias("__s")
@@ -41,6 +41,6 @@ def latest_before(
         .select(F.col(key).alias("__k"), F.col("__day").alias("__d"), "__hit")
     )
     return (
-        asked.join(found, (F.col(key) == F.col("__k")) & (F.col("__cutoff") == F.col("__d")))
+        asked.join(found, (F.col(key) == F.col("__k")) & (F.col("__cutoff") == F.col("__d")), how)
         .select(*queries.columns, *[F.col(f"__hit.{c}").alias(c) for c in payload])
     )

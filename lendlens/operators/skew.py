@@ -70,29 +70,35 @@ def ordered_index(
     )
 
 
-def sums_before(instants: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
-    """Per (key, ts): the sums of ``columns`` over strictly earlier instants of the key.
+def sums_before(rows: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
+    """Replace ``columns`` by their sums over strictly earlier rows of the same key.
 
-    Key and ts must be filled. Rows of one instant are merged first, so equal
-    timestamps never see each other. Sums are kept per day and prefixed over days; only the rows of one
-    (key, day) meet in a window of their own.
+    Equal timestamps do not see each other; rows without key or timestamp have
+    nothing before them. The rows are shuffled once, to (key, day): their sums
+    inside the day come from a range frame, the sums of earlier days from a
+    prefix over day totals, which holds one row per day a key was active.
     """
-    merged = instants.groupBy(key, ts).agg(*[F.sum(c).alias(c) for c in columns])
-    merged = merged.withColumn("__day", F.col(ts).cast("date"))
+    placed = rows.withColumns({
+        "__day": F.col(ts).cast("date"), "__at": F.unix_micros(F.col(ts).cast("timestamp")),
+    }).repartition(key, "__day")
     over_days = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    daily = merged.groupBy(key, "__day").agg(*[F.sum(c).alias(c) for c in columns])
+    daily = (
+        placed.where(F.col(key).isNotNull() & F.col("__day").isNotNull())
+        .groupBy(key, "__day").agg(*[F.sum(c).alias(c) for c in columns])
+    )
     prefix = daily.select(
         key, "__day", *[F.sum(c).over(over_days).alias(f"__p_{c}") for c in columns]
     )
     in_day = (
-        Window.partitionBy(key, "__day").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = merged.select(
-        key, ts, "__day", *[F.sum(c).over(in_day).alias(f"__l_{c}") for c in columns]
-    )
-    joined = local.join(prefix, [key, "__day"], "left")
-    zero = F.lit(0)
-    return joined.select(
-        key, ts,
-        *[(F.coalesce(f"__p_{c}", zero) + F.coalesce(f"__l_{c}", zero)).alias(c) for c in columns],
+        Window.partitionBy(key, "__day").orderBy("__at")
+        .rangeBetween(Window.unboundedPreceding, -1)
     )
+    local = placed.withColumns({f"__l_{c}": F.sum(c).over(in_day) for c in columns})
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+
+    def before(c: str) -> Column:
+        total = F.coalesce(f"__p_{c}", F.lit(0)) + F.coalesce(f"__l_{c}", F.lit(0))
+        return F.when(known, total).otherwise(F.lit(0)).alias(c)
+
+    kept = [c for c in rows.columns if c not in columns]
+    return local.join(prefix, [key, "__day"], "left").select(*kept, *[before(c) for c in columns])

@@ -35,10 +35,19 @@ class LendingCatalog:
     def transactions(self) -> DataFrame:
         return clean.clean_transactions(self.base["fct_transactions"])
 
+    @cached_property
+    def loans_enriched(self) -> DataFrame:
+        """Clean loans without the first-loan flag, which takes a join."""
+        return clean.enrich_loans(self.base["fct_loans"])
+
     @cached_property
     def loans(self) -> DataFrame:
         return clean.clean_loans(self.base["fct_loans"])
 
+    @cached_property
+    def assignments_enriched(self) -> DataFrame:
+        return clean.enrich_assignments(self.base["ab_assignments"])
+
     @cached_property
     def assignments(self) -> DataFrame:
         return clean.clean_assignments(self.base["ab_assignments"])
@@ -53,7 +62,9 @@ class LendingCatalog:
 
     @cached_property
     def funnel_base(self) -> DataFrame:
-        return funnel.user_funnel_base(self.users_enriched, self.sessions_enriched, self.loans)
+        return funnel.user_funnel_base(
+            self.users_enriched, self.sessions_enriched, self.loans_enriched
+        )
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -65,7 +76,9 @@ class LendingCatalog:
 
     @cached_property
     def loans_with_experiments(self) -> DataFrame:
-        return experiments.loans_with_experiments(self.loans, self.user_assignments, self.users)
+        return experiments.loans_with_experiments(
+            self.loans_enriched, self.user_assignments, self.users
+        )
 
     @cached_property
     def transactions_for_risk(self) -> DataFrame:
@@ -73,11 +86,13 @@ class LendingCatalog:
 
     @cached_property
     def prior_performance(self) -> DataFrame:
-        return history.prior_loan_performance(self.loans)
+        return history.prior_loan_performance(self.loans_enriched)
 
     @cached_property
     def risk_model_base(self) -> DataFrame:
-        return risk_base.risk_model_base(self.users_enriched, self.loans, self.transactions)
+        return risk_base.risk_model_base(
+            self.users_enriched, self.loans_enriched, self.transactions
+        )
 
     def clean_views(self) -> dict[str, DataFrame]:
         """The five cleaned tables, users without the decile."""
@@ -89,6 +104,16 @@ class LendingCatalog:
             "v_fct_sessions_clean": self.sessions,
         }
 
+    def row_views(self) -> dict[str, DataFrame]:
+        """The cleaned tables with row-level columns only: plain projections."""
+        return {
+            "v_dim_users_clean": self.users_enriched,
+            "v_fct_transactions_clean": self.transactions,
+            "v_fct_loans_clean": self.loans_enriched,
+            "v_ab_assignments_clean": self.assignments_enriched,
+            "v_fct_sessions_clean": self.sessions_enriched,
+        }
+
     def check_views(self) -> dict[str, DataFrame]:
         """The views the quality checks read."""
         return {

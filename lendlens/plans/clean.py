@@ -64,14 +64,15 @@ def clean_transactions(transactions: DataFrame) -> DataFrame:
     })
 
 
-def clean_loans(loans: DataFrame) -> DataFrame:
+def enrich_loans(loans: DataFrame) -> DataFrame:
+    """Row-level loan columns: all but the first-loan flag."""
     def money(name: str):
         return F.coalesce(F.col(name), F.lit(0.0))
 
     amount = F.col("amount")
     revenue = money("fee") + money("tip_amount") + money("instant_transfer_fee")
     pnl = revenue - money("writeoff_amount")
-    enriched = loans.withColumns({
+    return loans.withColumns({
         "requested_year": trunc_ts("year", F.col("requested_at")),
         "requested_month": trunc_ts("month", F.col("requested_at")),
         "requested_at_utc": F.col("requested_at").cast("timestamp_ntz"),
@@ -93,15 +94,19 @@ def clean_loans(loans: DataFrame) -> DataFrame:
         "writeoff_to_loan": ratio(money("writeoff_amount"), amount),
         "tip_to_loan": ratio(money("tip_amount"), amount),
     })
-    first = attach_group(enriched, ["user_id"], __first=F.min("requested_at"))
+
+
+def clean_loans(loans: DataFrame) -> DataFrame:
+    first = attach_group(enrich_loans(loans), ["user_id"], __first=F.min("requested_at"))
     return first.withColumn(
         "is_first_loan", flag(F.col("requested_at") == F.col("__first"))
     ).drop("__first")
 
 
-def clean_assignments(assignments: DataFrame) -> DataFrame:
+def enrich_assignments(assignments: DataFrame) -> DataFrame:
+    """Row-level assignment columns."""
     at = F.col("assigned_at")
-    enriched = assignments.withColumns({
+    return assignments.withColumns({
         "assigned_at_utc": at.cast("timestamp_ntz"),
         "assigned_month": trunc_ts("month", at),
         "assigned_week": trunc_ts("week", at),
@@ -114,8 +119,12 @@ def clean_assignments(assignments: DataFrame) -> DataFrame:
             F.col("experiment_name"), F.lit(":"), F.col("variant")
         ),
     })
+
+
+def clean_assignments(assignments: DataFrame) -> DataFrame:
     numbered = ordered_index(
-        enriched, "user_id", "assigned_at", "assignment_id", "assignment_order"
+        enrich_assignments(assignments), "user_id", "assigned_at", "assignment_id",
+        "assignment_order",
     )
     counted = attach_group(numbered, ["user_id"], __n=F.count(F.lit(1)))
     return counted.withColumn("multi_test_user", flag(F.col("__n") > 1)).drop("__n")

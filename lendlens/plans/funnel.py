@@ -22,6 +22,7 @@ def first_app_open(sessions: DataFrame) -> DataFrame:
 
 
 def bank_link(users: DataFrame) -> DataFrame:
+    """Bank link per user; user_id is the key of users, so a group is one row."""
     return users.groupBy("user_id").agg(
         F.max("bank_linked_flag").alias("bank_linked_flag"),
         F.min("bank_linked_at_utc").alias("bank_link_ts"),
@@ -39,11 +40,19 @@ def loan_steps(loans: DataFrame) -> DataFrame:
 
 
 def user_funnel_base(users: DataFrame, sessions: DataFrame, loans: DataFrame) -> DataFrame:
-    """One row per user; both facts are reduced to one row per user before joining."""
+    """One row per user; both facts are reduced to one row per user before joining.
+
+    Users are partitioned by their key anyway, so the bank link is taken as a
+    window over it and not as a join of the users with themselves.
+    """
+    same_user = Window.partitionBy("user_id")
     joined = (
-        users.select("user_id", *SEGMENT_COHORT)
+        users.select(
+            "user_id", *SEGMENT_COHORT,
+            F.max("bank_linked_flag").over(same_user).alias("bank_linked_flag"),
+            F.min("bank_linked_at_utc").over(same_user).alias("bank_link_ts"),
+        )
         .join(first_app_open(sessions), "user_id", "left")
-        .join(bank_link(users), "user_id", "left")
         .join(loan_steps(loans), "user_id", "left")
     )
 

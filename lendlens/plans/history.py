@@ -6,62 +6,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import flag
-from lendlens.operators.skew import join_back, sums_before
+from lendlens.operators.skew import sums_before
 
-_CREDITS = [
-    "n_approved", "n_unapproved", "late_sum", "late_n", "amount_sum", "amount_n",
+TOTALS = [
+    "n_approved", "n_unapproved", "n_default", "late_sum", "late_n", "amount_sum", "amount_n",
     "rtl_sum", "rtl_n", "tip_sum", "disbursed_n",
 ]
 
 
-def _credits(loans: DataFrame) -> DataFrame:
-    """(user, instant) rows, each adding what one loan contributes from then on.
+def with_history(loans: DataFrame) -> DataFrame:
+    """Loans with totals over the user's earlier loans, 0 where never approved.
 
-    An approved loan counts from its approval, an unapproved one from its request.
+    An approved loan counts from its approval on, an unapproved one from its
+    request. Every loan is one event that adds its own contribution and, if
+    approved, reads the sum of those strictly before: one shuffle, no self join.
     """
     approved = F.col("is_approved") == 1
     disbursed = approved & (F.col("is_disbursed") == 1)
     rtl = F.when(F.col("amount") > 0, F.col("revenue") / F.col("amount"))
 
-    def of_disbursed(c):
-        return F.when(disbursed, c)
-
-    zero = F.lit(0.0)
-    return loans.select(
-        "user_id",
-        F.when(approved, F.col("approved_at_utc")).otherwise(F.col("requested_at_utc")).alias("t"),
-        flag(approved).alias("n_approved"),
-        flag(~approved).alias("n_unapproved"),
-        F.coalesce(of_disbursed(F.col("late_days")), F.lit(0)).alias("late_sum"),
-        flag(of_disbursed(F.col("late_days")).isNotNull()).alias("late_n"),
-        F.coalesce(of_disbursed(F.col("amount")), zero).alias("amount_sum"),
-        flag(of_disbursed(F.col("amount")).isNotNull()).alias("amount_n"),
-        F.coalesce(of_disbursed(rtl), zero).alias("rtl_sum"),
-        flag(of_disbursed(rtl).isNotNull()).alias("rtl_n"),
-        flag(disbursed & (F.col("tip_amount") > 0)).alias("tip_sum"),
-        flag(disbursed).alias("disbursed_n"),
-    ).where(F.col("t").isNotNull() & F.col("user_id").isNotNull())
+    def total(c):
+        return F.coalesce(F.when(disbursed, c), F.lit(0))
+
+    def count(c):
+        return flag(disbursed & c.isNotNull())
+
+    late, amount = F.col("late_days"), F.col("amount")
+    events = loans.withColumns({
+        "__t": F.when(approved, F.col("approved_at_utc")).otherwise(F.col("requested_at_utc")),
+        "n_approved": flag(approved),
+        "n_unapproved": flag(~approved),
+        "n_default": flag(approved & (F.col("is_default") == 1)),
+        "late_sum": total(late), "late_n": count(late),
+        "amount_sum": total(amount), "amount_n": count(amount),
+        "rtl_sum": total(rtl), "rtl_n": count(rtl),
+        "tip_sum": flag(disbursed & (F.col("tip_amount") > 0)),
+        "disbursed_n": flag(disbursed),
+    })
+    summed = sums_before(events, "user_id", "__t", TOTALS)
+    return summed.withColumns({
+        c: F.when(approved, F.col(c)).otherwise(F.lit(0)) for c in TOTALS
+    }).drop("__t")
 
 
 def history_totals(loans: DataFrame) -> DataFrame:
-    """Per loan: plain totals of the user's earlier loans, 0 where never approved."""
-    before = sums_before(_credits(loans), "user_id", "t", _CREDITS)
-    keyed = loans.select("loan_id", "user_id", F.col("approved_at_utc").alias("t"))
-    joined = keyed.join(before, ["user_id", "t"], "left")
-    return joined.select(
-        "loan_id", "user_id", F.col("t").alias("approved_at_utc"),
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _CREDITS],
-    )
+    return with_history(loans).select("loan_id", *TOTALS)
 
 
-def prior_loan_performance(loans: DataFrame, exact: bool = False) -> DataFrame:
-    """One row per loan with the performance of earlier loans.
+def prior_columns(exact: bool = False) -> dict:
+    """Published history features as expressions over the totals.
 
     The published counts come from joining both histories to a loan before
     counting, so each count is multiplied by the size of the other history
     (unless that is empty). That is the default; ``exact`` gives plain counts.
     """
-    h = history_totals(loans)
     pa, pu = F.col("n_approved"), F.col("n_unapproved")
     one = F.lit(1).cast("long")
     counts = (pa, pu) if exact else (pa * F.greatest(pu, one), pu * F.greatest(pa, one))
@@ -69,32 +67,30 @@ def prior_loan_performance(loans: DataFrame, exact: bool = False) -> DataFrame:
     def mean(total: str, n: str):
         return F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0))
 
-    return h.select(
-        "loan_id",
-        flag(pa > 0).alias("prior_loan_flag"),
-        mean("late_sum", "late_n").alias("prior_avg_days_late"),
-        mean("amount_sum", "amount_n").alias("prior_avg_amount"),
-        mean("rtl_sum", "rtl_n").alias("prior_avg_revenue_to_loan"),
-        mean("tip_sum", "disbursed_n").alias("prior_tip_take_rate"),
-        counts[0].alias("prior_approved_loans_count"),
-        counts[1].alias("prior_unapproved_loans_count"),
+    return {
+        "prior_loan_flag": flag(pa > 0),
+        "prior_loan_default_flag": flag(F.col("n_default") > 0),
+        "prior_avg_days_late": mean("late_sum", "late_n"),
+        "prior_avg_amount": mean("amount_sum", "amount_n"),
+        "prior_avg_revenue_to_loan": mean("rtl_sum", "rtl_n"),
+        "prior_tip_take_rate": mean("tip_sum", "disbursed_n"),
+        "prior_approved_loans_count": counts[0],
+        "prior_unapproved_loans_count": counts[1],
+    }
+
+
+def prior_loan_performance(loans: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per loan with the performance of earlier loans."""
+    columns = prior_columns(exact)
+    columns.pop("prior_loan_default_flag")
+    return with_history(loans).select(
+        "loan_id", *[e.alias(n) for n, e in columns.items()]
     )
 
 
 def prior_default_flag(loans: DataFrame) -> DataFrame:
-    """Approved loans with a flag for an earlier-approved loan that defaulted.
-
-    "Some defaulted loan was approved before t" only needs the earliest approval
-    among the user's defaulted loans.
-    """
-    earliest = (
-        loans.where((F.col("is_default") == 1) & F.col("approved_at_utc").isNotNull())
-        .groupBy("user_id").agg(F.min("approved_at_utc").alias("__first_bad"))
-    )
-    return (
-        join_back(loans.where(F.col("approved_at_utc").isNotNull()), earliest, ["user_id"])
-        .withColumn(
-            "prior_loan_default_flag", flag(F.col("__first_bad") < F.col("approved_at_utc"))
-        )
-        .drop("__first_bad")
+    """Approved loans with a flag for an earlier-approved loan that defaulted."""
+    approved = with_history(loans).where(F.col("is_approved") == 1)
+    return approved.select(
+        "loan_id", prior_columns()["prior_loan_default_flag"].alias("prior_loan_default_flag")
     )

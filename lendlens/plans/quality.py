@@ -6,6 +6,7 @@ into rows afterwards; the reports are group-bys over those few rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,13 +73,36 @@ def _unpivot(facts: DataFrame, rows: list[list[Column]]) -> DataFrame:
     return facts.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("r")).select("r.*")
 
 
-def _violations(df: DataFrame, rules: list[tuple], name: str, check: str) -> DataFrame:
-    """rules: (check name, condition, status when violated)."""
-    facts = df.agg(*[F.count_if(cond).alias(rule) for rule, cond, _ in rules])
-    return _unpivot(facts, [
-        [F.lit(rule).alias(name), F.col(rule).alias("violation_count"),
-         _status(F.col(rule), bad).alias(check)]
-        for rule, _, bad in rules
+@dataclass(frozen=True)
+class Rule:
+    """A row condition that must not hold, and the status if it does."""
+
+    name: str
+    violated: Column
+    status: str = "FAIL"
+    tolerated: float | None = None  # share of rows below which it still passes
+
+    def verdict(self, violations: Column, total: Column) -> Column:
+        if self.tolerated is None:
+            return _status(violations, self.status)
+        return F.when(violations < total * F.lit(self.tolerated), F.lit("PASS")).otherwise(
+            F.lit(self.status)
+        )
+
+
+def _counted(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """All violation counts of a table in one aggregate."""
+    return df.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(r.violated).alias(f"v{i}") for i, r in enumerate(rules)],
+    )
+
+
+def _violations(df: DataFrame, rules: list[Rule], name: str, check: str) -> DataFrame:
+    return _unpivot(_counted(df, rules), [
+        [F.lit(r.name).alias(name), F.col(f"v{i}").alias("violation_count"),
+         r.verdict(F.col(f"v{i}"), F.col("total")).alias(check)]
+        for i, r in enumerate(rules)
     ])
 
 
@@ -126,19 +150,18 @@ def reconciliation(base: dict[str, DataFrame], views: dict[str, DataFrame]) -> D
     )
 
 
-def null_keys(views: dict[str, DataFrame]) -> DataFrame:
+def _null_rules(view: str) -> list[Rule]:
+    return [Rule(c, F.col(c).isNull()) for c in KEY_COLUMNS[view]]
+
+
+def null_keys(rows: dict[str, DataFrame]) -> DataFrame:
     def of(view: str) -> DataFrame:
-        cols = KEY_COLUMNS[view]
-        facts = views[view].agg(
-            F.count(F.lit(1)).alias("total"),
-            *[F.count(F.col(c)).alias(f"n_{c}") for c in cols],
-        )
-        missing = {c: F.col("total") - F.col(f"n_{c}") for c in cols}
-        return _unpivot(facts, [
-            [F.lit(view).alias("table_name"), F.lit(c).alias("key_column"),
-             F.col("total").alias("total_rows"), missing[c].alias("null_count"),
-             _status(missing[c]).alias("null_check")]
-            for c in cols
+        rules = _null_rules(view)
+        return _unpivot(_counted(rows[view], rules), [
+            [F.lit(view).alias("table_name"), F.lit(r.name).alias("key_column"),
+             F.col("total").alias("total_rows"), F.col(f"v{i}").alias("null_count"),
+             _status(F.col(f"v{i}")).alias("null_check")]
+            for i, r in enumerate(rules)
         ])
 
     return union_all([of(v) for v in KEY_COLUMNS])
@@ -156,16 +179,16 @@ def orphan_rows(fact: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def referential_integrity(views: dict[str, DataFrame]) -> DataFrame:
+def referential_integrity(rows: dict[str, DataFrame]) -> DataFrame:
     facts = {
         "transactions_orphans": "v_fct_transactions_clean",
         "loans_orphans": "v_fct_loans_clean",
         "sessions_orphans": "v_fct_sessions_clean",
         "ab_assignments_orphans": "v_ab_assignments_clean",
     }
-    users = views["v_dim_users_clean"]
+    users = rows["v_dim_users_clean"]
     return union_all([
-        orphan_rows(views[v], users).select(
+        orphan_rows(rows[v], users).select(
             F.lit(check).alias("check_name"), "orphan_count",
             _status(F.col("orphan_count")).alias("integrity_check"),
         )
@@ -173,60 +196,46 @@ def referential_integrity(views: dict[str, DataFrame]) -> DataFrame:
     ])
 
 
-def transaction_rules(transactions: DataFrame) -> DataFrame:
+def transaction_checks() -> list[Rule]:
     direction, amount = F.col("direction"), F.col("amount")
-    facts = transactions.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if((direction == "inflow") & (amount < 0)).alias("negative_amounts_in_inflows"),
-        F.count_if((direction == "outflow") & (amount > 0)).alias("positive_amounts_in_outflows"),
-        F.count_if(amount == 0).alias("zero_amounts"),
-        F.count_if(F.abs(amount) > EXTREME_AMOUNT).alias("extreme_amounts"),
-    )
-    status = {
-        "negative_amounts_in_inflows": _status(F.col("negative_amounts_in_inflows")),
-        "positive_amounts_in_outflows": _status(F.col("positive_amounts_in_outflows")),
-        "zero_amounts": _status(F.col("zero_amounts"), "WARN"),
-        "extreme_amounts": F.when(
-            F.col("extreme_amounts") < F.col("total") * F.lit(0.01), F.lit("PASS")
-        ).otherwise(F.lit("WARN")),
-    }
-    return _unpivot(facts, [
-        [F.lit(c).alias("check_name"), F.col(c).alias("violation_count"),
-         s.alias("validation_check")]
-        for c, s in status.items()
-    ])
+    return [
+        Rule("negative_amounts_in_inflows", (direction == "inflow") & (amount < 0)),
+        Rule("positive_amounts_in_outflows", (direction == "outflow") & (amount > 0)),
+        Rule("zero_amounts", amount == 0, "WARN"),
+        Rule("extreme_amounts", F.abs(amount) > EXTREME_AMOUNT, "WARN", tolerated=0.01),
+    ]
 
 
 def _undated(state: str, ts: str) -> Column:
     return (F.col(state) == 1) & F.col(ts).isNull()
 
 
-def loan_rules(loans: DataFrame) -> DataFrame:
+def loan_checks() -> list[Rule]:
     asked, ok, paid = (F.col(c) for c in
                        ("requested_at_utc", "approved_at_utc", "disbursed_at_utc"))
-    return _violations(loans, [
-        ("negative_loan_amounts", F.col("amount") <= 0, "FAIL"),
-        ("approved_without_timestamp", _undated("is_approved", "approved_at_utc"), "FAIL"),
-        ("disbursed_without_timestamp", _undated("is_disbursed", "disbursed_at_utc"), "FAIL"),
-        ("repaid_without_timestamp", _undated("is_repaid", "repaid_at_utc"), "FAIL"),
-        ("invalid_loan_lifecycle_order", (ok < asked) | (paid < ok) | (paid < asked), "FAIL"),
-    ], "check_name", "validation_check")
+    return [
+        Rule("negative_loan_amounts", F.col("amount") <= 0),
+        Rule("approved_without_timestamp", _undated("is_approved", "approved_at_utc")),
+        Rule("disbursed_without_timestamp", _undated("is_disbursed", "disbursed_at_utc")),
+        Rule("repaid_without_timestamp", _undated("is_repaid", "repaid_at_utc")),
+        Rule("invalid_loan_lifecycle_order", (ok < asked) | (paid < ok) | (paid < asked)),
+    ]
 
 
-def user_rules(users: DataFrame) -> DataFrame:
+def user_checks() -> list[Rule]:
     score = F.col("baseline_risk_score")
-    return _violations(users, [
-        ("bank_linked_before_signup", F.col("bank_linked_at_utc") < F.col("signup_at_utc"), "FAIL"),
-        ("invalid_risk_scores", (score < 0) | (score > 1), "FAIL"),
-        ("negative_days_to_bank_connect", F.col("days_taken_signup_bank_connect") < 0, "FAIL"),
-    ], "check_name", "validation_check")
+    return [
+        Rule("bank_linked_before_signup", F.col("bank_linked_at_utc") < F.col("signup_at_utc")),
+        Rule("invalid_risk_scores", (score < 0) | (score > 1)),
+        Rule("negative_days_to_bank_connect", F.col("days_taken_signup_bank_connect") < 0),
+    ]
 
 
-def session_rules(sessions: DataFrame) -> DataFrame:
-    return _violations(sessions, [
-        ("negative_session_duration", F.col("session_duration_sec") < 0, "FAIL"),
-        ("zero_events_per_session", F.col("events_per_session") <= 0, "WARN"),
-    ], "check_name", "validation_check")
+def session_checks() -> list[Rule]:
+    return [
+        Rule("negative_session_duration", F.col("session_duration_sec") < 0),
+        Rule("zero_events_per_session", F.col("events_per_session") <= 0, "WARN"),
+    ]
 
 
 def _as_of(as_of) -> Column:
@@ -236,32 +245,41 @@ def _as_of(as_of) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
-def assignment_rules(assignments: DataFrame, as_of=None) -> DataFrame:
+def assignment_checks(as_of=None) -> list[Rule]:
     """The variant allow-list holds none of the running tests' arms but control."""
-    return _violations(assignments, [
-        ("future_assignment_dates", F.col("assigned_at_utc") > _as_of(as_of), "FAIL"),
-        ("invalid_experiment_variants", ~F.col("variant_norm").isin(KNOWN_VARIANTS), "WARN"),
-    ], "check_name", "validation_check")
+    return [
+        Rule("future_assignment_dates", F.col("assigned_at_utc") > _as_of(as_of)),
+        Rule("invalid_experiment_variants", ~F.col("variant_norm").isin(KNOWN_VARIANTS), "WARN"),
+    ]
 
 
-def business_rules(views: dict[str, DataFrame], as_of=None) -> DataFrame:
+def business_checks(as_of=None) -> dict[str, list[Rule]]:
     now = _as_of(as_of)
-    parts = [
-        (views["v_fct_loans_clean"], [
-            ("loans_negative_amounts", F.col("amount") <= 0, "FAIL"),
-            ("loans_future_request_dates", F.col("requested_at_utc") > now, "FAIL"),
-            ("disbursed_loans_no_disbursement_date",
-             _undated("is_disbursed", "disbursed_at_utc"), "FAIL"),
-            ("repaid_loans_no_repayment_date", _undated("is_repaid", "repaid_at_utc"), "FAIL"),
-        ]),
-        (views["v_fct_transactions_clean"],
-         [("transactions_zero_amounts", F.col("amount") == 0, "FAIL")]),
-        (views["v_dim_users_clean"],
-         [("users_future_signup_dates", F.col("signup_at_utc") > now, "FAIL")]),
-        (views["v_ab_assignments_clean"],
-         [("experiment_assignments_future_dates", F.col("assigned_at_utc") > now, "FAIL")]),
-    ]
-    return union_all([_violations(df, r, "rule_name", "rule_check") for df, r in parts])
+    return {
+        "v_fct_loans_clean": [
+            Rule("loans_negative_amounts", F.col("amount") <= 0),
+            Rule("loans_future_request_dates", F.col("requested_at_utc") > now),
+            Rule("disbursed_loans_no_disbursement_date",
+                 _undated("is_disbursed", "disbursed_at_utc")),
+            Rule("repaid_loans_no_repayment_date", _undated("is_repaid", "repaid_at_utc")),
+        ],
+        "v_fct_transactions_clean": [Rule("transactions_zero_amounts", F.col("amount") == 0)],
+        "v_dim_users_clean": [Rule("users_future_signup_dates", F.col("signup_at_utc") > now)],
+        "v_ab_assignments_clean": [
+            Rule("experiment_assignments_future_dates", F.col("assigned_at_utc") > now),
+        ],
+    }
+
+
+def validations(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    return _violations(df, rules, "check_name", "validation_check")
+
+
+def business_rules(rows: dict[str, DataFrame], as_of=None) -> DataFrame:
+    return union_all([
+        _violations(rows[view], rules, "rule_name", "rule_check")
+        for view, rules in business_checks(as_of).items()
+    ])
 
 
 def distribution(users: DataFrame) -> DataFrame:
@@ -301,10 +319,25 @@ def funnel_completeness(base: DataFrame) -> DataFrame:
     })
 
 
-def all_checks(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of=None) -> DataFrame:
-    """Every check as (category, check_name, measured, status); status NULL if informative."""
+def _tidy_rules(df: DataFrame, by_category: dict[str, list[Rule]]) -> DataFrame:
+    """Checks of several categories on one table, from one aggregate over it."""
+    flat = [(c, r) for c, rules in by_category.items() for r in rules]
+    return _unpivot(_counted(df, [r for _, r in flat]), [
+        [F.lit(c).alias("category"), F.lit(r.name).alias("check_name"),
+         F.col(f"v{i}").cast("double").alias("measured"),
+         r.verdict(F.col(f"v{i}"), F.col("total")).alias("status")]
+        for i, (c, r) in enumerate(flat)
+    ])
+
+
+def all_checks(base: dict[str, DataFrame], views: dict[str, DataFrame],
+               rows: dict[str, DataFrame], as_of=None) -> DataFrame:
+    """Every check as (category, check_name, measured, status); status NULL if informative.
+
+    ``views`` are the clean views, ``rows`` the same tables with row-level columns
+    only. Null, validation and business checks of a table share one pass.
+    """
     rec = reconciliation(base, views)
-    loans, users = views["v_fct_loans_clean"], views["v_dim_users_clean"]
 
     def tidy(df: DataFrame, category: str, name: str, measured: str, status: str | None):
         return df.select(
@@ -314,35 +347,36 @@ def all_checks(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of=No
         )
 
     rules = {
-        "transaction_validations": transaction_rules(views["v_fct_transactions_clean"]),
-        "loan_validations": loan_rules(loans),
-        "user_validations": user_rules(users),
-        "session_validations": session_rules(views["v_fct_sessions_clean"]),
-        "ab_test_validations": assignment_rules(views["v_ab_assignments_clean"], as_of),
+        "v_fct_transactions_clean": {"transaction_validations": transaction_checks()},
+        "v_fct_loans_clean": {"loan_validations": loan_checks()},
+        "v_dim_users_clean": {"user_validations": user_checks()},
+        "v_ab_assignments_clean": {"ab_test_validations": assignment_checks(as_of)},
+        "v_fct_sessions_clean": {},
     }
-    nulls = null_keys(views).withColumn(
-        "check_name", F.concat_ws(".", "table_name", "key_column")
-    )
+    for view, checks in rules.items():
+        checks["null_key_checks"] = [
+            Rule(f"{view}.{r.name}", r.violated) for r in _null_rules(view)
+        ]
+        checks["business_rules"] = business_checks(as_of).get(view, [])
     return union_all([
         tidy(rec, "row_count_reconciliation", "table_name", "view_count", "row_count_check"),
         tidy(rec, "unique_key_reconciliation", "table_name", "view_unique_keys",
              "unique_key_check"),
-        tidy(nulls, "null_key_checks", "check_name", "null_count", "null_check"),
-        tidy(referential_integrity(views), "referential_integrity", "check_name", "orphan_count",
+        tidy(referential_integrity(rows), "referential_integrity", "check_name", "orphan_count",
              "integrity_check"),
-        *[tidy(df, c, "check_name", "violation_count", "validation_check")
-          for c, df in rules.items()],
-        tidy(business_rules(views, as_of), "business_rules", "rule_name", "violation_count",
-             "rule_check"),
+        *[_tidy_rules(rows[view], checks) for view, checks in rules.items()],
+        _tidy_rules(views["v_fct_sessions_clean"], {"session_validations": session_checks()}),
         tidy(risk_coverage(views["v_risk_model_base"]), "risk_model_coverage", "metric", "count",
              None),
         tidy(funnel_completeness(views["v_user_funnel_base"]), "funnel_completeness", "stage",
              "count", None),
-        tidy(distribution(users), "distribution_checks", "province", "percentage", None),
+        tidy(distribution(rows["v_dim_users_clean"]), "distribution_checks", "province",
+             "percentage", None),
     ])
 
 
-def _summary_checks(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of) -> DataFrame:
+def _summary_checks(base: dict[str, DataFrame], views: dict[str, DataFrame],
+                    rows: dict[str, DataFrame], as_of) -> DataFrame:
     rec = reconciliation(base, views)
 
     def of(df: DataFrame, category: str, status: str) -> DataFrame:
@@ -351,17 +385,17 @@ def _summary_checks(base: dict[str, DataFrame], views: dict[str, DataFrame], as_
     return union_all([
         of(rec, SUMMARY_LABELS["row_count_reconciliation"], "row_count_check"),
         of(rec, SUMMARY_LABELS["unique_key_reconciliation"], "unique_key_check"),
-        of(null_keys(views), SUMMARY_LABELS["null_key_checks"], "null_check"),
-        of(referential_integrity(views), SUMMARY_LABELS["referential_integrity"],
+        of(null_keys(rows), SUMMARY_LABELS["null_key_checks"], "null_check"),
+        of(referential_integrity(rows), SUMMARY_LABELS["referential_integrity"],
            "integrity_check"),
-        of(business_rules(views, as_of), SUMMARY_LABELS["business_rules"], "rule_check"),
+        of(business_rules(rows, as_of), SUMMARY_LABELS["business_rules"], "rule_check"),
     ])
 
 
-def summary(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of=None) -> DataFrame:
+def summary(base: dict[str, DataFrame], views: dict[str, DataFrame],
+            rows: dict[str, DataFrame], as_of=None) -> DataFrame:
     """Checks per category and status, over the five categories of the summary view."""
-    rows = _summary_checks(base, views, as_of)
-    return rows.groupBy("check_category", "status").agg(
+    return _summary_checks(base, views, rows, as_of).groupBy("check_category", "status").agg(
         F.count(F.lit(1)).alias("check_count")
     ).withColumn(
         "status_icon",
@@ -369,12 +403,13 @@ def summary(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of=None)
     ).orderBy("check_category", "status")
 
 
-def dashboard(base: dict[str, DataFrame], views: dict[str, DataFrame], as_of=None) -> DataFrame:
+def dashboard(base: dict[str, DataFrame], views: dict[str, DataFrame],
+              rows: dict[str, DataFrame], as_of=None) -> DataFrame:
     """Views counted, risk coverage, failed and passed checks."""
     risk = views["v_risk_model_base"].agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("txn_info_found") == 1).alias("found")
     )
-    checks = summary(base, views, as_of).agg(*[
+    checks = summary(base, views, rows, as_of).agg(*[
         F.sum(F.when(F.col("status") == s, F.col("check_count")).otherwise(F.lit(0))).alias(s)
         for s in ("FAIL", "PASS")
     ])
@@ -471,22 +506,14 @@ def contracts(loans: DataFrame, users: DataFrame, amount_cap: float, max_hours:
     due = F.col("due_date_clean").cast("timestamp_ntz")
     gap = paid > ok + F.make_dt_interval(hours=F.lit(max_hours))
     on_loans = _violations(loans, [
-        ("amount_within_cap", (amount <= 0) | (amount > amount_cap), "FAIL"),
-        ("timestamps_in_order", (ok < asked) | (paid < ok) | (due <= paid), "FAIL"),
-        ("disbursed_within_limit", gap, "FAIL"),
+        Rule("amount_within_cap", (amount <= 0) | (amount > amount_cap)),
+        Rule("timestamps_in_order", (ok < asked) | (paid < ok) | (due <= paid)),
+        Rule("disbursed_within_limit", gap),
+    ], "contract", "status")
+    on_users = _violations(users, [
+        Rule("score_in_unit_range", (score < 0) | (score > 1)),
+        Rule("score_null_share", score.isNull(), tolerated=max_null_share),
     ], "contract", "status")
-    facts = users.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((score < 0) | (score > 1)).alias("bad"),
-        F.count_if(score.isNull()).alias("nulls"),
-    )
-    on_users = _unpivot(facts, [
-        [F.lit("score_in_unit_range").alias("contract"), F.col("bad").alias("violation_count"),
-         _status(F.col("bad")).alias("status")],
-        [F.lit("score_null_share").alias("contract"), F.col("nulls").alias("violation_count"),
-         F.when(F.col("nulls") < F.col("n") * max_null_share, "PASS").otherwise("FAIL")
-         .alias("status")],
-    ])
     return on_loans.unionByName(on_users)
 
 

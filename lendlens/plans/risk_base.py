@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.functions import ratio
+from lendlens.functions import flag, ratio
 from lendlens.operators.asof import latest_before
 from lendlens.operators.rolling import daily_rollup, trailing_features, trailing_names
 from lendlens.operators.skew import join_back
-from lendlens.plans.history import prior_default_flag, prior_loan_performance
+from lendlens.plans.history import prior_columns, with_history
 
 RANGES = (14, 30)
 FEATURES = [*trailing_names(14), "days_since_last_payroll", *trailing_names(30)]
@@ -75,25 +75,29 @@ def snapshot_asof(loans: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def risk_model_base(users: DataFrame, loans: DataFrame, transactions: DataFrame) -> DataFrame:
-    """One row per approved loan of a known user: base, history, snapshot, ratios."""
+    """One row per approved loan of a known user: base, history, snapshot, ratios.
+
+    The loans pass through the history, the user join and the snapshot lookup in
+    turn; none of the parts is joined back to them by loan.
+    """
     people = users.select(
         "user_id", "province", "device_os", "acquisition_channel", "baseline_risk_score",
         "payroll_frequency",
     )
-    base = prior_default_flag(loans).select(
+    base = [
         "loan_id", "user_id", "amount", "is_default", "approved_at_utc", "disbursed_at_utc",
-        "due_date_clean", "prior_loan_default_flag",
+        "due_date_clean",
+    ]
+    segments = [c for c in people.columns if c != "user_id"]
+    approved = with_history(loans).where(F.col("approved_at_utc").isNotNull()).select(
+        *base, *[e.alias(n) for n, e in prior_columns().items()]
     ).join(people, "user_id")
-    snapshot = derived_features(snapshot_asof(loans, transactions)).select(
-        "loan_id", F.lit(1).alias("__found"), *FEATURES, *DERIVED
-    )
-    joined = base.join(prior_loan_performance(loans), "loan_id", "left").join(
-        snapshot, "loan_id", "left"
-    )
-    return joined.select(
-        "loan_id", "user_id", "amount", "is_default", "approved_at_utc", "disbursed_at_utc",
-        "due_date_clean", "province", "device_os", "acquisition_channel", "baseline_risk_score",
-        "payroll_frequency", *PRIOR,
-        F.coalesce("__found", F.lit(0)).alias("txn_info_found"),
+    found = derived_features(latest_before(
+        approved, day_features(transactions), "user_id", "approved_at_utc", "posted_date_utc",
+        how="left",
+    ))
+    return found.select(
+        *base, *segments, *PRIOR,
+        flag(F.col("posted_date_utc").isNotNull()).alias("txn_info_found"),
         *FEATURES, *DERIVED,
     )

@@ -67,7 +67,7 @@ _add("sessions_clean", lambda c: c.sessions)
 # funnel
 _add("user_first_app_open", lambda c: funnel.first_app_open(c.sessions_enriched))
 _add("user_bank_link", lambda c: funnel.bank_link(c.users_enriched))
-_add("user_loan_steps", lambda c: funnel.loan_steps(c.loans))
+_add("user_loan_steps", lambda c: funnel.loan_steps(c.loans_enriched))
 _add("user_funnel_base", lambda c: c.funnel_base)
 _add("funnel_by_segment", lambda c: c.segments.orderBy(*funnel.SEGMENT))
 _add("funnel_overall", lambda c: funnel.overall(c.segments), 6)
@@ -78,16 +78,16 @@ _add("funnel_by_channel", lambda c: funnel.by_channel(c.segments), 6)
 _add("funnel_by_cohort", lambda c: funnel.by_cohort(c.segments), 6)
 
 # metrics
-_add("metric_signup_to_request", lambda c: metrics.signup_to_request(c.users_enriched, c.loans))
+_add("metric_signup_to_request", lambda c: metrics.signup_to_request(c.users_enriched, c.loans_enriched))
 _add("metric_bank_link_rate", lambda c: metrics.bank_link_rate(c.users_enriched))
-_add("metric_approval_disbursement", lambda c: metrics.approval_disbursement(c.loans))
-_add("metric_repayment_default", lambda c: metrics.repayment_default(c.loans))
-_add("metric_take_rate", lambda c: metrics.take_rate(c.loans))
-_add("metric_instant_adoption", lambda c: metrics.instant_adoption(c.loans))
-_add("metric_revenue_per_loan", lambda c: metrics.revenue_per_loan(c.loans))
-_add("metric_late_payment", lambda c: metrics.late_payment(c.loans))
-_add("metric_scorecard", lambda c: metrics.scorecard(c.users_enriched, c.loans))
-_add("metric_north_star", lambda c: metrics.north_star(c.loans), 4)
+_add("metric_approval_disbursement", lambda c: metrics.approval_disbursement(c.loans_enriched))
+_add("metric_repayment_default", lambda c: metrics.repayment_default(c.loans_enriched))
+_add("metric_take_rate", lambda c: metrics.take_rate(c.loans_enriched))
+_add("metric_instant_adoption", lambda c: metrics.instant_adoption(c.loans_enriched))
+_add("metric_revenue_per_loan", lambda c: metrics.revenue_per_loan(c.loans_enriched))
+_add("metric_late_payment", lambda c: metrics.late_payment(c.loans_enriched))
+_add("metric_scorecard", lambda c: metrics.scorecard(c.users_enriched, c.loans_enriched))
+_add("metric_north_star", lambda c: metrics.north_star(c.loans_enriched), 4)
 
 # experiments
 _add("user_experiment_assignments", lambda c: c.user_assignments)
@@ -100,9 +100,10 @@ _add("experiment_naive_effects",
      lambda c: experiments.naive_effects(experiments.naive_means(c.loans_with_experiments)))
 _add("srm_counts", lambda c: experiments.arm_counts(c.user_assignments))
 _add("experiment_srm", lambda c: experiments.sample_ratio(c.user_assignments), 6)
-_add("assignment_by_weekday", lambda c: experiments.by_weekday(c.assignments), 6)
-_add("assignment_by_month", lambda c: experiments.by_month(c.assignments), 6)
-_add("experiment_temporal_balance", lambda c: experiments.temporal_balance(c.assignments), 6)
+_add("assignment_by_weekday", lambda c: experiments.by_weekday(c.assignments_enriched), 6)
+_add("assignment_by_month", lambda c: experiments.by_month(c.assignments_enriched), 6)
+_add("experiment_temporal_balance", lambda c: experiments.temporal_balance(
+    c.assignments_enriched), 6)
 _add("rare_category_bucket", lambda c: experiments.collapse_rare(
     c.loans_with_experiments.where("is_disbursed = 1")
     .withColumn("segment", F.concat_ws("/", "province", "acquisition_channel", "device_os"))
@@ -111,17 +112,17 @@ _add("experiment_stratified",
      lambda c: experiments.stratified_effect(c.loans_with_experiments), 6)
 
 # dashboard
-_add("dash_user_funnel", lambda c: dashboard.user_funnel(c.users_enriched, c.loans))
+_add("dash_user_funnel", lambda c: dashboard.user_funnel(c.users_enriched, c.loans_enriched))
 _add("dash_experiment_loans",
-     lambda c: dashboard.experiment_loans(c.loans, c.user_assignments), 6)
+     lambda c: dashboard.experiment_loans(c.loans_enriched, c.user_assignments), 6)
 
 
 def _dash_funnel(c: LendingCatalog) -> DataFrame:
-    return dashboard.user_funnel(c.users_enriched, c.loans)
+    return dashboard.user_funnel(c.users_enriched, c.loans_enriched)
 
 
 def _dash_loans(c: LendingCatalog) -> DataFrame:
-    return dashboard.experiment_loans(c.loans, c.user_assignments)
+    return dashboard.experiment_loans(c.loans_enriched, c.user_assignments)
 
 
 _CHOSEN = {"province": "ASIA", "device_os": "ios", "acquisition_channel": "All",
@@ -146,44 +147,50 @@ _add("txn_rolling_30d", lambda c: c.transactions_for_risk.select(
 _add("days_since_payroll", lambda c: c.transactions_for_risk.select(
     "txn_id", "days_since_last_payroll"))
 _add("transactions_for_risk", lambda c: c.transactions_for_risk, 6)
-_add("prior_approved_history", lambda c: history.history_totals(c.loans).select(
+_add("prior_approved_history", lambda c: history.history_totals(c.loans_enriched).select(
     "loan_id", "n_approved", "late_sum", "amount_sum"), 6)
-_add("prior_unapproved_history", lambda c: history.history_totals(c.loans).select(
+_add("prior_unapproved_history", lambda c: history.history_totals(c.loans_enriched).select(
     "loan_id", "n_unapproved"))
 _add("user_prior_loan_perf", lambda c: c.prior_performance, 6)
-_add("prior_default_flag", lambda c: history.prior_default_flag(c.loans).select(
-    "loan_id", "prior_loan_default_flag"))
-_add("txn_snapshot_asof", lambda c: risk_base.snapshot_asof(c.loans, c.transactions), 6)
+_add("prior_default_flag", lambda c: history.prior_default_flag(c.loans_enriched))
+_add("txn_snapshot_asof", lambda c: risk_base.snapshot_asof(c.loans_enriched, c.transactions), 6)
 _add("risk_derived_features", lambda c: risk_base.derived_features(
-    risk_base.snapshot_asof(c.loans, c.transactions)).select("loan_id", *risk_base.DERIVED), 5)
+    risk_base.snapshot_asof(c.loans_enriched, c.transactions)).select("loan_id", *risk_base.DERIVED), 5)
 _add("risk_model_base", lambda c: c.risk_model_base, 5)
 
 # data quality
 _add("dq_row_counts", lambda c: quality.row_counts(c.base))
 _add("dq_canonical_view_counts", lambda c: quality.view_counts(c.views()))
 _add("dq_row_count_reconciliation", lambda c: quality.reconciliation(c.base, c.clean_views()))
-_add("dq_null_key_checks", lambda c: quality.null_keys(c.clean_views()))
-_add("dq_referential_integrity", lambda c: quality.referential_integrity(c.clean_views()))
-_add("dq_transaction_validations", lambda c: quality.transaction_rules(c.transactions))
-_add("dq_loan_validations", lambda c: quality.loan_rules(c.loans))
-_add("dq_user_validations", lambda c: quality.user_rules(c.users_enriched))
-_add("dq_session_validations", lambda c: quality.session_rules(c.sessions))
-_add("dq_ab_test_validations", lambda c: quality.assignment_rules(c.assignments, AS_OF))
+_add("dq_null_key_checks", lambda c: quality.null_keys(c.row_views()))
+_add("dq_referential_integrity", lambda c: quality.referential_integrity(c.row_views()))
+_add("dq_transaction_validations", lambda c: quality.validations(
+    c.transactions, quality.transaction_checks()))
+_add("dq_loan_validations", lambda c: quality.validations(
+    c.loans_enriched, quality.loan_checks()))
+_add("dq_user_validations", lambda c: quality.validations(
+    c.users_enriched, quality.user_checks()))
+_add("dq_session_validations", lambda c: quality.validations(
+    c.sessions, quality.session_checks()))
+_add("dq_ab_test_validations", lambda c: quality.validations(
+    c.assignments_enriched, quality.assignment_checks(AS_OF)))
 _add("dq_distribution_checks", lambda c: quality.distribution(c.users_enriched))
 _add("dq_risk_model_coverage", lambda c: quality.risk_coverage(c.risk_model_base))
 _add("dq_funnel_completeness", lambda c: quality.funnel_completeness(c.funnel_base))
-_add("dq_business_rules", lambda c: quality.business_rules(c.clean_views(), AS_OF))
-_add("dq_summary_report", lambda c: quality.summary(c.base, c.clean_views(), AS_OF))
-_add("dq_dashboard", lambda c: quality.dashboard(c.base, c.views(), AS_OF))
+_add("dq_business_rules", lambda c: quality.business_rules(c.row_views(), AS_OF))
+_add("dq_summary_report", lambda c: quality.summary(
+    c.base, c.clean_views(), c.row_views(), AS_OF))
+_add("dq_dashboard", lambda c: quality.dashboard(
+    c.base, c.views(), c.row_views(), AS_OF))
 _add("dq_report", lambda c: quality.report(_checks(c)))
 _add("dq_failed_checks", lambda c: quality.failed(_checks(c)), 6)
 _add("dq_overall_status", lambda c: quality.overall_status(_checks(c)))
 _add("dq_load_checks", lambda c: quality.load_checks(c.base))
-_add("dq_contracts", lambda c: quality.contracts(c.loans, c.users_enriched, 250.0))
+_add("dq_contracts", lambda c: quality.contracts(c.loans_enriched, c.users_enriched, 250.0))
 
 
 def _checks(c: LendingCatalog) -> DataFrame:
-    return quality.all_checks(c.base, c.check_views(), AS_OF)
+    return quality.all_checks(c.base, c.check_views(), c.row_views(), AS_OF)
 
 
 # adjusted effects
@@ -201,7 +208,7 @@ SCORE = "baseline_risk_score"
 
 def _scored(c: LendingCatalog) -> DataFrame:
     people = c.users_enriched.select("user_id", SCORE, "province", "device_os")
-    return c.loans.where("is_approved = 1").select(
+    return c.loans_enriched.where("is_approved = 1").select(
         "loan_id", "user_id", "amount", "revenue", "days_to_repay", "is_default",
         "approved_at_utc",
     ).join(people, "user_id")
