@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,15 @@ from lendlens.sources import binding
 class LendingCatalog:
     """Lazy canonical views; each is built on first use and shared afterwards."""
 
-    def __init__(self, base: dict[str, DataFrame], sf_dir: str | None = None):
+    def __init__(self, base: Mapping[str, DataFrame], spark: SparkSession | None = None,
+                 sf_dir: str | None = None):
         self.base = base
+        self.spark = spark
         self.sf_dir = sf_dir
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> LendingCatalog:
-        return cls(binding.bind(configure(spark), sf_dir), sf_dir)
+        return cls(binding.bind(configure(spark), sf_dir), spark, sf_dir)
 
     @cached_property
     def users_enriched(self) -> DataFrame:

@@ -53,8 +53,7 @@ _add("loan_status_distribution", lambda c: ingest.status_distribution(c.base["fc
 @query("dedupe_append_index")
 def _dedupe(c: LendingCatalog) -> DataFrame:
     # line items hold repeated (order, line) ids; their position in the stated order is the index
-    spark = c.base["dim_users"].sparkSession
-    return ingest.repaired_lineitems(spark, c.sf_dir)
+    return ingest.repaired_lineitems(c.spark, c.sf_dir)
 
 
 # cleaned tables

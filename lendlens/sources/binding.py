@@ -7,6 +7,8 @@ customer a user; nothing is filtered away.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,11 +218,33 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bind(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "dim_users": users(spark, sf_dir),
-        "fct_sessions": sessions(spark, sf_dir),
-        "fct_transactions": transactions(spark, sf_dir),
-        "fct_loans": loans(spark, sf_dir),
-        "ab_assignments": assignments(spark, sf_dir),
-    }
+_BINDERS = {
+    "dim_users": users,
+    "fct_sessions": sessions,
+    "fct_transactions": transactions,
+    "fct_loans": loans,
+    "ab_assignments": assignments,
+}
+
+
+class BoundTables(Mapping):
+    """The five base tables, each bound when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._sf_dir = spark, sf_dir
+        self._bound: dict[str, DataFrame] = {}
+
+    def __getitem__(self, table: str) -> DataFrame:
+        if table not in self._bound:
+            self._bound[table] = _BINDERS[table](self._spark, self._sf_dir)
+        return self._bound[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_BINDERS)
+
+    def __len__(self) -> int:
+        return len(_BINDERS)
+
+
+def bind(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    return BoundTables(spark, sf_dir)
