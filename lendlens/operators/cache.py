@@ -1,11 +1,14 @@
-"""Scoped persistence for frames that several eager passes read."""
+"""Persistence for frames that several passes read."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -20,6 +23,33 @@ def persisted(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="lendlens-")
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only locally."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return _local_folder()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a table in the checkpoint folder, with its lineage cut.
+
+    For values that must not change between reads, such as row numbers that
+    depend on how a scan was split.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lendlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def column_levels(df: DataFrame, columns: list[str]) -> dict[str, list]:
     """Sorted distinct values per categorical column, in one pass.
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendlens.functions import coerced, round_half_away
-from lendlens.operators.dedupe import repair_duplicates, with_row_position
+from lendlens.operators.dedupe import (
+    repair_duplicates, with_file_position, with_row_position,
+)
 from lendlens.schemas import REQUIRED_COLUMNS, TABLES
 
 log = logging.getLogger(__name__)
@@ -49,8 +51,6 @@ def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataF
             if table in DUPLICATE_REPAIR:
                 df = repair_file_duplicates(df, *DUPLICATE_REPAIR[table])
             loaded[table] = df
-        except FileNotFoundError:
-            raise
         except Exception as error:  # one bad file must not stop the others
             log.warning("skipped %s: %s", file, error)
             failed.append(table)
@@ -58,23 +58,12 @@ def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataF
 
 
 def repair_file_duplicates(df: DataFrame, id_column: str, strategy: str) -> DataFrame:
-    """Rename duplicate ids by the 0-based row position in the file.
-
-    Row order is that of the file splits: block start, then order within the split.
-    """
+    """Rename duplicate ids by the 0-based row position in the file."""
     if id_column not in df.columns:
         log.warning("no column %s, left as it is", id_column)
         return df
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__in_scan"),
-    )
-    numbered = with_row_position(placed, ["__file", "__block", "__in_scan"], FILE_POSITION)
-    return repair_duplicates(
-        numbered.drop("__file", "__block", "__in_scan"), id_column, strategy, FILE_POSITION
-    ).drop(FILE_POSITION)
+    placed = with_file_position(df, FILE_POSITION)
+    return repair_duplicates(placed, id_column, strategy, FILE_POSITION).drop(FILE_POSITION)
 
 
 def as_text(df: DataFrame) -> DataFrame:
