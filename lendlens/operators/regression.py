@@ -37,10 +37,24 @@ class Design:
         out += [(c, v) for c, vs in self.levels.items() for v in vs[1:]]
         return [*out, (self.numeric, None)]
 
+    def coded(self, df: DataFrame) -> DataFrame:
+        """Every categorical column as the position of its level, 0 for the baseline."""
+        return df.withColumns({
+            c: F.array_position(F.array(*[F.lit(v) for v in vs]), F.col(c)).cast("int") - 1
+            for c, vs in self.levels.items()
+        })
+
     def matrix(self, frame: pd.DataFrame) -> np.ndarray:
-        cols = [np.ones(len(frame))]
-        cols += [(frame[c] == v).to_numpy(float) for c, vs in self.levels.items() for v in vs[1:]]
-        return np.column_stack([*cols, frame[self.numeric].to_numpy(float)])
+        """Model matrix of coded rows."""
+        out = np.ones((len(frame), len(self.terms)))
+        j = 1
+        for c, vs in self.levels.items():
+            codes = frame[c].to_numpy()
+            for position in range(1, len(vs)):
+                out[:, j] = codes == position
+                j += 1
+        out[:, j] = frame[self.numeric].to_numpy(float)
+        return out
 
 
 def design_of(df: DataFrame, baselines: dict[str, object], numeric: str) -> Design:
@@ -66,7 +80,7 @@ def ols_hc1(df: DataFrame, outcome: str, design: Design) -> list[dict]:
     and the robust covariance. One row per occurring cell reaches the driver.
     """
     cats = list(design.levels)
-    rows = _complete(df, [*cats, design.numeric, outcome])
+    rows = design.coded(_complete(df, [*cats, design.numeric, outcome]))
     # centring keeps the fourth-order moments well scaled
     mid, spread = rows.agg(
         F.avg(design.numeric), F.coalesce(F.nullif(F.stddev_pop(design.numeric), F.lit(0.0)),
@@ -195,7 +209,7 @@ def logit_by_stratum(
     """
     cats = list(design.levels)
     merged = (
-        _complete(df, [*cats, design.numeric, outcome, stratum])
+        design.coded(_complete(df, [*cats, design.numeric, outcome, stratum]))
         .groupBy(*dict.fromkeys([stratum, *cats, design.numeric]))
         .agg(F.count(F.lit(1)).cast("double").alias("__w"),
              F.sum(F.col(outcome).cast("double")).alias("__y"))

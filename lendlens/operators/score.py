@@ -18,7 +18,8 @@ def _cumulated(df: DataFrame, score: str, label: str, by: list[str]) -> DataFram
     running totals need one small window over the bucket totals and one window
     per bucket; no task sees all scores.
     """
-    merged = df.groupBy(*by, F.col(score).alias("score")).agg(
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    merged = known.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum(F.lit(1) - F.col(label).cast("long")).alias("neg"),
     ).withColumn("__b", F.floor(F.col("score") * BUCKETS))
@@ -76,22 +77,33 @@ def evaluation(df: DataFrame, score: str, label: str) -> DataFrame:
     return ranked.join(direct, "k").select("auc", "ap", "brier", "log_loss")
 
 
+def _with_point(curve: DataFrame, **values: float) -> DataFrame:
+    """Append the one end point of a curve that no threshold reaches."""
+    point = curve.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"),
+        *[F.lit(v).alias(n) for n, v in values.items()],
+    )
+    return curve.unionByName(point)
+
+
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score; the curve starts at (0, 0)."""
-    return _cumulated(df, score, label, []).select(
+    """(threshold, fpr, tpr) at every distinct score, and the start at (0, 0)."""
+    curve = _cumulated(df, score, label, []).select(
         F.col("score").alias("threshold"),
         _over(F.col("fp"), F.col("N")).alias("fpr"),
         _over(F.col("tp"), F.col("P")).alias("tpr"),
     )
+    return _with_point(curve, fpr=0.0, tpr=0.0)
 
 
 def pr_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(threshold, precision, recall) at every distinct score; it ends at (1, 0)."""
-    return _cumulated(df, score, label, []).select(
+    """(threshold, precision, recall) at every distinct score, and the end at (1, 0)."""
+    curve = _cumulated(df, score, label, []).select(
         F.col("score").alias("threshold"),
         _over(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _over(F.col("tp"), F.col("P")).alias("recall"),
     )
+    return _with_point(curve, precision=1.0, recall=0.0)
 
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:

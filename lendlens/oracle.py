@@ -1033,9 +1033,11 @@ SELECT auc, ap, brier, log_loss FROM ({_auc()}),
           avg(-ln(if(y = 1, s, 1 - s))) AS log_loss
    FROM (SELECT y, least(greatest(s, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS s FROM xs))""",
        "auc ap brier log_loss")
-expect("risk_roc", "SELECT s AS threshold, fp / neg AS fpr, tp / pos AS tpr FROM xc",
+expect("risk_roc", "SELECT s AS threshold, fp / neg AS fpr, tp / pos AS tpr FROM xc"
+       " UNION ALL SELECT NULL, 0, 0",
        "threshold fpr tpr")
-expect("risk_pr", "SELECT s AS threshold, tp / (tp + fp) AS precision, tp / pos AS recall FROM xc",
+expect("risk_pr", "SELECT s AS threshold, tp / (tp + fp) AS precision, tp / pos AS recall FROM xc"
+       " UNION ALL SELECT NULL, 1, 0",
        "threshold precision recall")
 expect("risk_calibration", """
 SELECT list_count(list_filter(e, lambda q: s > q))::INT AS bin, count(*) AS n,
@@ -1132,3 +1134,58 @@ FROM (SELECT bucket, share_before, share_after,
                  (SELECT quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e
                   FROM xs WHERE approved_at_utc < TIMESTAMP '2024-01-20')
             GROUP BY 1))""", "share_before share_after psi_part psi")
+
+
+# further risk features
+CTES["xd"] = """
+SELECT user_id, posted_date AS d, sum(inflow_amount_pos) AS inflow, sum(spend_amount_pos) AS spend,
+       coalesce(sum(spend_amount_pos) FILTER (WHERE spend_bucket = 'discretionary'), 0) AS discr,
+       arg_max(balance_after, txn_id) AS eod, min(balance_after) AS low,
+       bool_or(is_payroll = 1) AS paid
+FROM tc GROUP BY ALL"""
+CTES["xg"] = """
+SELECT user_id, d, d - lag(d) OVER (PARTITION BY user_id ORDER BY d) AS gap FROM xd WHERE paid"""
+
+
+def _range_features(d: int) -> str:
+    def over(expr: str, low: int, high: int) -> str:
+        return (f"(SELECT {expr} FROM xd p WHERE p.user_id = x.user_id"
+                f" AND p.d BETWEEN x.d - {high} AND x.d - {low})")
+
+    def now(expr: str) -> str:
+        return over(expr, 0, d - 1)
+
+    return f"""
+       {now('avg(eod)')} AS avg_eod_balance_{d}d, {now('min(low)')} AS min_balance_{d}d,
+       {now('count(*) FILTER (WHERE low < 0)')} AS overdraft_days_{d}d,
+       {now('sum(spend) / nullif(sum(inflow), 0)')} AS outflow_to_inflow_{d}d,
+       {now('sum(discr) / nullif(sum(spend), 0)')} AS discretionary_share_{d}d,
+       {now('sum(inflow - spend)')} - ifnull({over('sum(inflow - spend)', d, 2 * d - 1)}, 0)
+         AS net_cf_momentum_{d}d,
+       {now('avg(eod) / nullif(sum(spend), 0)')} AS balance_to_outflow_{d}d,
+       {now('avg(eod) / nullif(sum(inflow), 0)')} AS balance_to_inflow_{d}d"""
+
+
+CTES["xf"] = f"""
+SELECT x.user_id, x.d::TIMESTAMP AS day_at,
+       (SELECT quantile_cont(gap, 0.5) FROM xg g WHERE g.user_id = x.user_id AND g.d <= x.d)
+         AS median_payroll_gap_days, {_range_features(14)}, {_range_features(30)}
+FROM xd x"""
+CTES["xh"] = """
+SELECT c.loan_id, c.user_id, c.approved_at, avg(p.is_repaid) AS hist_repay_rate,
+       avg(p.is_default) AS hist_default_rate,
+       coalesce(sum(p.is_default), 0)::BIGINT AS hist_default_count,
+       avg(p.late_days) AS hist_avg_late_days, count(p.late_days) AS hist_avg_late_days_count
+FROM lc c LEFT JOIN lc p ON p.user_id = c.user_id AND p.approved_at < c.approved_at
+                        AND p.is_disbursed = 1
+WHERE c.approved_at IS NOT NULL GROUP BY ALL"""
+_NAMES.update({
+    n: re.compile(rf"\b(?:FROM|JOIN)\s*\(?\s*{n}\b|,\s*{n}\b") for n in ("xd", "xg", "xf", "xh")
+})
+expect("risk_extra_features", """
+SELECT h.* EXCLUDE (approved_at), f.* EXCLUDE (user_id, day_at)
+FROM xh h ASOF LEFT JOIN xf f ON h.user_id = f.user_id AND h.approved_at > f.day_at""",
+       "hist_repay_rate hist_default_rate hist_avg_late_days median_payroll_gap_days " + " ".join(
+           f"avg_eod_balance_{d}d min_balance_{d}d outflow_to_inflow_{d}d"
+           f" discretionary_share_{d}d net_cf_momentum_{d}d balance_to_outflow_{d}d"
+           f" balance_to_inflow_{d}d" for d in (14, 30)), 5)

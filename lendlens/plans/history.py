@@ -9,8 +9,8 @@ from lendlens.functions import flag
 from lendlens.operators.skew import sums_before
 
 TOTALS = [
-    "n_approved", "n_unapproved", "n_default", "late_sum", "late_n", "amount_sum", "amount_n",
-    "rtl_sum", "rtl_n", "tip_sum", "disbursed_n",
+    "n_approved", "n_unapproved", "n_default", "n_repaid", "n_bad", "late_sum", "late_n",
+    "amount_sum", "amount_n", "rtl_sum", "rtl_n", "tip_sum", "disbursed_n",
 ]
 
 
@@ -37,6 +37,8 @@ def with_history(loans: DataFrame) -> DataFrame:
         "n_approved": flag(approved),
         "n_unapproved": flag(~approved),
         "n_default": flag(approved & (F.col("is_default") == 1)),
+        "n_repaid": flag(disbursed & (F.col("is_repaid") == 1)),
+        "n_bad": flag(disbursed & (F.col("is_default") == 1)),
         "late_sum": total(late), "late_n": count(late),
         "amount_sum": total(amount), "amount_n": count(amount),
         "rtl_sum": total(rtl), "rtl_n": count(rtl),

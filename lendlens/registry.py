@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lendlens.functions import rounded
 from lendlens.operators import score
 from lendlens.plans import (
-    dashboard, effects, experiments, funnel, history, metrics, policy, quality, risk_base,
-    risk_model,
+    dashboard, effects, experiments, extra_features, funnel, history, metrics, policy, quality,
+    risk_base, risk_model,
 )
 from lendlens.plans.catalog import LendingCatalog
 from lendlens.sources import ingest
@@ -229,6 +229,8 @@ _add("risk_coefficients", lambda c: risk_model.coefficient_table(
     risk_model.fit(c.risk_model_base, c_values=[0.1])))
 _add("risk_model_eval", lambda c: score.evaluation(
     risk_model.fit(c.risk_model_base, c_values=[0.1]).test, "pd", "is_default"))
+_add("risk_extra_features", lambda c: extra_features.extra_features(
+    c.loans_enriched, c.transactions), 5)
 _add("policy_limits", lambda c: policy.loan_limits(_scored(c), SCORE).select(
     "loan_id", "risk_quartile", "loan_limit"))
 _add("policy_pnl", lambda c: policy.policy_pnl(

@@ -27,6 +27,10 @@ def frame():
 DESIGN = Design({"arm": ["control", "x", "y"], "place": ["p", "q"]}, "amount")
 
 
+def coded(frame):
+    return frame.assign(**{c: frame[c].map(vs.index) for c, vs in DESIGN.levels.items()})
+
+
 def test_levels_come_from_the_data(spark, frame):
     df = spark.createDataFrame(frame)
     assert design_of(df, {"arm": "control", "place": None}, "amount") == DESIGN
@@ -36,7 +40,7 @@ def test_levels_come_from_the_data(spark, frame):
 
 def test_ols_hc1(spark, frame):
     got = ols_hc1(spark.createDataFrame(frame), "money", DESIGN)
-    x, y = DESIGN.matrix(frame), frame.money.to_numpy()
+    x, y = DESIGN.matrix(coded(frame)), frame.money.to_numpy()
     inv = np.linalg.inv(x.T @ x)
     beta = inv @ x.T @ y
     e = y - x @ beta
@@ -60,7 +64,7 @@ def test_logit_per_stratum_matches_dense_fits(spark, frame):
     assert sorted(fits) == [0, 1, 2]
     for g, fit in fits.items():
         sub = frame[frame.g == g]
-        x = DESIGN.matrix(sub)
+        x = DESIGN.matrix(coded(sub))
         b, cov, mu = _dense_logit(x, sub.hit.to_numpy(float))
         assert fit.converged and fit.n == len(sub)
         assert np.allclose(fit.beta, b, atol=1e-7)

@@ -51,13 +51,15 @@ def test_segments(data):
         assert got[g]["ap"] == pytest.approx(_ap(p[index == k], y[index == k]))
 
 
-def test_curves_end_at_one(data):
+def test_curves_are_whole(data):
     df, p, y = data
-    roc = S.roc_points(df, "p", "y").orderBy("threshold").collect()
-    assert len(roc) == len(set(p))
+    roc = S.roc_points(df, "p", "y").orderBy(F.asc_nulls_last("threshold")).collect()
+    assert len(roc) == len(set(p)) + 1
     assert (roc[0]["fpr"], roc[0]["tpr"]) == (1.0, 1.0)
-    pr = S.pr_points(df, "p", "y").orderBy("threshold").first()
-    assert pr["recall"] == 1.0 and pr["precision"] == pytest.approx(y.mean())
+    assert (roc[-1]["fpr"], roc[-1]["tpr"]) == (0.0, 0.0)
+    pr = S.pr_points(df, "p", "y").orderBy(F.asc_nulls_last("threshold")).collect()
+    assert pr[0]["recall"] == 1.0 and pr[0]["precision"] == pytest.approx(y.mean())
+    assert (pr[-1]["precision"], pr[-1]["recall"]) == (1.0, 0.0)
 
 
 def test_calibration_bins(data):
