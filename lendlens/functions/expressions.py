@@ -95,10 +95,11 @@ def coerced(name: str, data_type) -> Column:
     """Cast a text column to the contract type; blank text means NULL.
 
     Two timestamp spellings occur (``T`` or blank between date and time, with or
-    without a fraction); Spark's cast reads both.
+    without a fraction); Spark's cast reads both. Text that does not fit the type
+    is an error, as a table is loaded whole or not at all.
     """
     text = F.trim(F.col(name).cast("string"))
-    return F.when(text != "", text).try_cast(data_type).alias(name)
+    return F.when(text != "", text).cast(data_type).alias(name)
 
 
 def rounded(df, digits: int = 6):

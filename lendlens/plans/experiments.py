@@ -73,18 +73,19 @@ def window_length(loans: DataFrame, arm: str = "A") -> DataFrame:
     return _price_arm(loans, arm).agg(*_window_columns())
 
 
-def power(loans: DataFrame, arm: str = "A", z_alpha: float = 1.96, z_power: float = 0.84,
+def power(loans: DataFrame, arm: str = "A", mean: float | None = None,
+          per_day: float | None = None, z_alpha: float = 1.96, z_power: float = 0.84,
           mdes: list[float] | None = None) -> DataFrame:
     """Loans per arm and days needed to see a relative lift in revenue per loan.
 
     The baseline mean and the daily volume come from the disbursed loans of one
-    price arm; the deviation is taken to equal the mean.
+    price arm unless given; the deviation is taken to equal the mean.
     """
+    observed = F.round(F.count(F.lit(1)) / _window_columns()[2])
     base = _price_arm(loans, arm).agg(
-        round_half_away(F.avg("revenue"), 2).alias("mu"),
-        F.count(F.lit(1)).alias("n"),
-        _window_columns()[2],
-    ).withColumn("per_day", F.round(F.col("n") / F.col("total_days")))
+        (round_half_away(F.avg("revenue"), 2) if mean is None else F.lit(mean)).alias("mu"),
+        (observed if per_day is None else F.lit(per_day)).alias("per_day"),
+    )
     rows = base.withColumn("m", F.explode(F.array(*[F.lit(m) for m in mdes or MDES])))
     delta = F.col("m") * F.col("mu")
     z = F.pow(F.lit(z_alpha) + F.lit(z_power), F.lit(2.0))

@@ -119,7 +119,7 @@ def late_payment(loans: DataFrame) -> DataFrame:
 
 
 def scorecard(users: DataFrame, loans: DataFrame) -> DataFrame:
-    """Nine headline metrics with a status; two passes over users, one over loans."""
+    """Nine headline metrics with a status; the loan figures share one pass."""
     paid, settled = F.col("is_disbursed") == 1, F.col("is_repaid") == 1
     n_paid, n_settled = F.count_if(paid), F.count_if(settled)
     facts = loans.agg(

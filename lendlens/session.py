@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 RUNTIME_CONF = {
     # timestamps are stored without a zone and mean UTC
     "spark.sql.session.timeZone": "UTC",
+    # text that does not fit its column's type must fail the load
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # a user may own a third of a fact table: split its join partition even

@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.plans import quality
+from lendlens.plans import jobs, quality
+from lendlens.plans.catalog import LendingCatalog
 from lendlens.schemas import TABLES
 from lendlens.sources import ingest
 
@@ -77,6 +78,29 @@ def test_a_repeated_key_is_not_loaded(spark, folder, tmp_path):
     assert got == {"dim_users": -1}
 
 
+def test_unreadable_text_fails_the_table(spark, folder, tmp_path):
+    text = ingest.read_csv(spark, f"{folder}/users.csv").withColumn(
+        "baseline_risk_score", F.lit("high"))
+    assert ingest.write_tables({"dim_users": text}, str(tmp_path / "db3")) == {"dim_users": -1}
+
+
+def test_load_job_and_quality_suite(spark, folder, tmp_path):
+    target = str(tmp_path / "db4")
+    loaded = jobs.load(spark, folder, target)
+    assert loaded["dim_users"] == 2 and loaded["fct_loans"] == -1
+    for table, (_, schema, _) in TABLES.items():
+        if loaded[table] < 0:
+            spark.createDataFrame([], schema).write.parquet(f"{target}/{table}")
+    catalog = LendingCatalog(ingest.read_tables(spark, target))
+    out = jobs.run_quality_suite(catalog, str(tmp_path / "reports"), "2025-06-01 00:00:00")
+    assert out["overall_status"] == "PASS" and out["exit_code"] == 0
+    assert out["strict_failed_checks"] == 0 and "failed_checks" not in out["files"]
+    late = jobs.run_quality_suite(catalog, str(tmp_path / "late"), "2025-01-02 00:00:00")
+    assert late["exit_code"] == 1
+    failed = spark.read.option("header", True).csv(late["files"]["failed_checks"])
+    assert [r["check_name"] for r in failed.collect()] == ["users_future_signup_dates"]
+
+
 def test_columns_match_by_name(spark, folder):
     text = ingest.read_csv(spark, f"{folder}/users.csv")
     turned = text.select(*reversed(text.columns))

@@ -199,6 +199,12 @@ def test_sample_ratio_with_known_counts(spark):
     assert [r["n_users"] for r in empty] == [0, 0, 0]
 
 
+def test_power_with_published_inputs(catalog):
+    rows = experiments.power(catalog.loans_with_experiments, mean=0.32, per_day=13.0).collect()
+    got = {r["mde"]: (r["n_per_arm"], r["horizon_days"]) for r in rows}
+    assert got == {"10%": (1568, 121), "15%": (697, 54), "20%": (392, 31)}
+
+
 @pytest.mark.parametrize("x,dof,p", [(15.97, 12, 0.1926), (10.45, 8, 0.2347), (3.82, 2, 0.1481)])
 def test_chi_square_tail(spark, x, dof, p):
     # published statistics and their rounded tail probabilities
