@@ -4,7 +4,7 @@
 split a window partition. The operators here replace such windows:
 
 * whole-group values: partial aggregation, then a join AQE may split;
-* running values: two levels, (key, day) groups plus a prefix over the days.
+* running values: two levels, (key, hour) groups plus a prefix over the hours.
 """
 
 from __future__ import annotations
@@ -31,12 +31,13 @@ def attach_group(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFr
 
 
 def ordered_index(
-    df: DataFrame, key: str, ts: str, tie: str, name: str, unit: str = "DAY"
+    df: DataFrame, key: str, ts: str, tie: str, name: str, unit: str = "HOUR"
 ) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY ts, tie)`` without a per-key task.
 
     Rows are numbered inside (key, calendar unit), after the number of rows in the
-    key's earlier units. That number comes from a prefix over unit counts, whose
+    key's earlier units. With hours a key owning a third of the rows, a third of
+    them on one day, still leaves less than a hundredth to one task. That number comes from a prefix over unit counts, whose
     window holds one row per unit a key was active in, so its size is bounded by
     the calendar. It travels to its (key, unit) group as one more row, which costs
     no join: the wide rows are shuffled once.
@@ -70,30 +71,33 @@ def ordered_index(
     )
 
 
-def sums_before(rows: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
+def sums_before(
+    rows: DataFrame, key: str, ts: str, columns: list[str], unit: str = "HOUR"
+) -> DataFrame:
     """Replace ``columns`` by their sums over strictly earlier rows of the same key.
 
     Equal timestamps do not see each other; rows without key or timestamp have
-    nothing before them. The rows are shuffled once, to (key, day): their sums
-    inside the day come from a range frame, the sums of earlier days from a
-    prefix over day totals, which holds one row per day a key was active.
+    nothing before them. The rows are shuffled once, to (key, calendar unit): sums
+    inside the unit come from a range frame, those of earlier units from a prefix
+    over unit totals, which holds one row per unit a key was active.
     """
     placed = rows.withColumns({
-        "__day": F.col(ts).cast("date"), "__at": F.unix_micros(F.col(ts).cast("timestamp")),
-    }).repartition(key, "__day")
-    over_days = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    daily = (
-        placed.where(F.col(key).isNotNull() & F.col("__day").isNotNull())
-        .groupBy(key, "__day").agg(*[F.sum(c).alias(c) for c in columns])
+        "__unit": F.date_trunc(unit, F.col(ts).cast("timestamp")),
+        "__at": F.unix_micros(F.col(ts).cast("timestamp")),
+    })
+    over_units = Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
+    totals = (
+        placed.where(F.col(key).isNotNull() & F.col("__unit").isNotNull())
+        .groupBy(key, "__unit").agg(*[F.sum(c).alias(c) for c in columns])
     )
-    prefix = daily.select(
-        key, "__day", *[F.sum(c).over(over_days).alias(f"__p_{c}") for c in columns]
+    prefix = totals.select(
+        key, "__unit", *[F.sum(c).over(over_units).alias(f"__p_{c}") for c in columns]
     )
-    in_day = (
-        Window.partitionBy(key, "__day").orderBy("__at")
+    in_unit = (
+        Window.partitionBy(key, "__unit").orderBy("__at")
         .rangeBetween(Window.unboundedPreceding, -1)
     )
-    local = placed.withColumns({f"__l_{c}": F.sum(c).over(in_day) for c in columns})
+    local = placed.withColumns({f"__l_{c}": F.sum(c).over(in_unit) for c in columns})
     known = F.col(key).isNotNull() & F.col(ts).isNotNull()
 
     def before(c: str) -> Column:
@@ -101,4 +105,4 @@ def sums_before(rows: DataFrame, key: str, ts: str, columns: list[str]) -> DataF
         return F.when(known, total).otherwise(F.lit(0)).alias(c)
 
     kept = [c for c in rows.columns if c not in columns]
-    return local.join(prefix, [key, "__day"], "left").select(*kept, *[before(c) for c in columns])
+    return local.join(prefix, [key, "__unit"], "left").select(*kept, *[before(c) for c in columns])

@@ -77,7 +77,7 @@ def snapshot_asof(loans: DataFrame, transactions: DataFrame) -> DataFrame:
 def risk_model_base(users: DataFrame, loans: DataFrame, transactions: DataFrame) -> DataFrame:
     """One row per approved loan of a known user: base, history, snapshot, ratios.
 
-    The loans pass through the history, the user join and the snapshot lookup in
+    The loans pass through the history, the snapshot lookup and the user join in
     turn; none of the parts is joined back to them by loan.
     """
     people = users.select(
@@ -91,12 +91,12 @@ def risk_model_base(users: DataFrame, loans: DataFrame, transactions: DataFrame)
     segments = [c for c in people.columns if c != "user_id"]
     approved = with_history(loans).where(F.col("approved_at_utc").isNotNull()).select(
         *base, *[e.alias(n) for n, e in prior_columns().items()]
-    ).join(people, "user_id")
-    found = derived_features(latest_before(
+    )
+    found = latest_before(
         approved, day_features(transactions), "user_id", "approved_at_utc", "posted_date_utc",
         how="left",
-    ))
-    return found.select(
+    )
+    return derived_features(found.join(people, "user_id")).select(
         *base, *segments, *PRIOR,
         flag(F.col("posted_date_utc").isNotNull()).alias("txn_info_found"),
         *FEATURES, *DERIVED,

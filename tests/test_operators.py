@@ -35,7 +35,7 @@ def events(spark):
     ).cache()
 
 
-@pytest.mark.parametrize("unit", ["DAY", "HOUR"])
+@pytest.mark.parametrize("unit", ["DAY", "HOUR", "MINUTE"])
 def test_ordered_index_equals_row_number(events, unit):
     w = Window.partitionBy("user").orderBy(F.asc_nulls_last("ts"), "id")
     want = events.withColumn("want", F.row_number().over(w))
