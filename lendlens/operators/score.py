@@ -72,9 +72,11 @@ def evaluation(df: DataFrame, score: str, label: str) -> DataFrame:
     direct = df.agg(
         F.avg(F.pow(F.col(score) - y, F.lit(2.0))).alias("brier"),
         F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(F.lit(1.0) - p))).alias("log_loss"),
-    ).withColumn("k", F.lit(1))
-    ranked = auc_ap(df, score, label).withColumn("k", F.lit(1))
-    return ranked.join(direct, "k").select("auc", "ap", "brier", "log_loss")
+    )
+    ranked = auc_ap(df, score, label).drop("n_samples")
+    # two one-row frames side by side
+    both = ranked.unionByName(direct, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("auc", "ap", "brier", "log_loss")])
 
 
 def _with_point(curve: DataFrame, **values: float) -> DataFrame:
