@@ -29,10 +29,11 @@ def _local_folder() -> str:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only locally."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only locally."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named
+        return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return _local_folder()

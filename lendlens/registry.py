@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import rounded
 from lendlens.operators import score
+from lendlens.operators.dedupe import repair_duplicates, with_row_position
 from lendlens.plans import (
     dashboard, effects, experiments, extra_features, funnel, history, metrics, policy, quality,
     risk_base, risk_model,
 )
 from lendlens.plans.catalog import LendingCatalog
-from lendlens.sources import ingest
+from lendlens.sources import binding, ingest
 
 AS_OF = "2024-02-01 00:00:00"  # stands for "now", so that results repeat
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +54,13 @@ _add("loan_status_distribution", lambda c: ingest.status_distribution(c.base["fc
 @query("dedupe_append_index")
 def _dedupe(c: LendingCatalog) -> DataFrame:
     # line items hold repeated (order, line) ids; their position in the stated order is the index
-    return ingest.repaired_lineitems(c.spark, c.sf_dir)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+             "l_extendedprice", "l_shipdate"]
+    items = binding.read(c.spark, c.sf_dir, "lineitem").withColumn(
+        "txn_id", F.concat_ws("-", F.col("l_orderkey").cast("string"),
+                              F.col("l_linenumber").cast("string")))
+    numbered = with_row_position(items, order)
+    return repair_duplicates(numbered, "txn_id").select("txn_id", "row_index", "l_extendedprice")
 
 
 # cleaned tables

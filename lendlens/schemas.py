@@ -11,33 +11,33 @@ _TYPES = {
 }
 
 
-def _struct(spec: str) -> T.StructType:
+def struct_of(spec: str) -> T.StructType:
     # built without a session, which StructType.fromDDL would need
     pairs = [column.split() for column in spec.split(",")]
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
-USERS = _struct(
+USERS = struct_of(
     "user_id bigint, signup_at timestamp_ntz, province string, device_os string,"
     " acquisition_channel string, bank_linked_at timestamp_ntz, payroll_frequency string,"
     " baseline_risk_score double, fico_band string"
 )
-SESSIONS = _struct(
+SESSIONS = struct_of(
     "event_id string, user_id bigint, session_id string, ts timestamp_ntz,"
     " event_name string, screen string, properties_json string"
 )
-TRANSACTIONS = _struct(
+TRANSACTIONS = struct_of(
     "txn_id string, user_id bigint, posted_date date, amount double, direction string,"
     " mcc string, category string, balance_after double, is_payroll int"
 )
-LOANS = _struct(
+LOANS = struct_of(
     "loan_id string, user_id bigint, requested_at timestamp_ntz, approved_at timestamp_ntz,"
     " disbursed_at timestamp_ntz, due_date date, repaid_at timestamp_ntz, amount double,"
     " fee double, tip_amount double, instant_transfer_fee double, status string,"
     " late_days int, chargeoff_flag int, autopay_enrolled int, principal_repaid double,"
     " writeoff_amount double, price_variant string, tip_variant string"
 )
-ASSIGNMENTS = _struct(
+ASSIGNMENTS = struct_of(
     "assignment_id string, user_id bigint, experiment_name string, variant string,"
     " assigned_at timestamp_ntz"
 )

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendlens.functions import coerced, round_half_away
-from lendlens.operators.dedupe import (
-    repair_duplicates, with_file_position, with_row_position,
-)
+from lendlens.operators.dedupe import repair_duplicates, with_file_position
 from lendlens.schemas import REQUIRED_COLUMNS, TABLES
 
 log = logging.getLogger(__name__)
@@ -155,18 +153,6 @@ def status_distribution(loans: DataFrame) -> DataFrame:
     ).orderBy(F.desc("loan_count"), "status")
 
 
-def repaired_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate repair on line items, whose (order, line) ids repeat."""
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-             "l_extendedprice", "l_shipdate"]
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-        .alias("txn_id"), *order,
-    )
-    numbered = with_row_position(items, order)
-    return repair_duplicates(numbered, "txn_id").select("txn_id", "row_index", "l_extendedprice")
-
-
 def write_report_json(df: DataFrame, path: str) -> None:
     """A small report as one JSON file; the reports hold one row per check or category."""
     df.coalesce(1).write.mode("overwrite").json(path)
