@@ -3,69 +3,99 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_LIMIT = 1_000_000  # up to this many rows the built-in exact percentile is used
+DIRECT_LIMIT = 5_000_000  # values over all columns the exact percentile may hold at once
+INSIDE_LIMIT = 50_000     # values per quantile it may hold after narrowing
 ACCURACY = 10_000
+MARGIN = 4.0 / ACCURACY
+
+
+@dataclass
+class _Bracket:
+    """The values of a column known to surround one quantile."""
+
+    column: str
+    rank: float           # 0-based, fractional
+    middle: int           # values inside
+    below: int = 0        # values under the low end
+    low: float = -math.inf
+    high: float = math.inf
+    settled: bool = False
+
+    @property
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        return c.isNotNull() if self.low == -math.inf else c.between(self.low, self.high)
+
+    @property
+    def position(self) -> float:
+        """The quantile within the bracket."""
+        return (self.rank - self.below) / (self.middle - 1) if self.middle > 1 else 0.0
+
+    def holds(self, below: int, middle: int) -> bool:
+        return below <= math.floor(self.rank) and math.ceil(self.rank) < below + middle
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], direct_limit: int = DIRECT_LIMIT
+    df: DataFrame, wanted: dict[str, list[float]], direct_limit: int = DIRECT_LIMIT,
+    inside_limit: int = INSIDE_LIMIT,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, NULLs left out.
 
-    The exact ``percentile`` holds all distinct values of a column in one
-    aggregation buffer. Above the limit, an approximate pass brackets every
-    quantile by two values, a second one counts the rows below and inside each
-    bracket, and the exact percentile then runs on the rows inside: a few rows in
-    ten thousand. All columns share the passes.
+    The exact ``percentile`` holds all distinct values of a column in one buffer.
+    Above the limit every quantile is first bracketed: an approximate pass
+    proposes two values around it, a second one counts the rows below and inside.
+    Each round keeps about one row in a thousand, until few are inside; the exact
+    percentile then runs on those. All quantiles share the passes.
     """
     names = list(wanted)
+    if not names:
+        return {}
     head = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = {c: head[i] for i, c in enumerate(names)}
-    if max(sizes.values(), default=0) <= direct_limit:
-        exprs = [
-            F.percentile(F.col(c), F.lit(q)).alias(f"q{i}_{j}")
-            for i, c in enumerate(names) for j, q in enumerate(wanted[c])
-        ]
-        row = df.agg(*exprs).first() if exprs else None
-        return {c: [row[f"q{i}_{j}"] for j in range(len(wanted[c]))]
-                for i, c in enumerate(names)}
-
-    margin = 4.0 / ACCURACY
-    spots = [(c, q) for c in names for q in wanted[c] if sizes[c] > 0]
-    edges = df.agg(*[
+    sizes = dict(zip(names, head))
+    if sum(sizes.values()) <= direct_limit:
+        row = df.agg(*[F.percentile(c, wanted[c]).alias(f"q{i}")
+                       for i, c in enumerate(names)]).first()
+        return {c: list(q) if q is not None else [None] * len(wanted[c])
+                for c, q in zip(names, row)}
+
+    spots = [(c, j) for c in names for j in range(len(wanted[c])) if sizes[c]]
+    found = {s: _Bracket(s[0], wanted[s[0]][s[1]] * (sizes[s[0]] - 1), sizes[s[0]]) for s in spots}
+    while True:
+        wide = [b for b in found.values() if b.middle > inside_limit and not b.settled]
+        if not wide:
+            break
+        _narrow(df, wide)
+    row = df.agg(*[
+        F.percentile(F.when(b.inside, F.col(b.column)), b.position).alias(f"x{i}")
+        for i, b in enumerate(found.values())
+    ]).first() if found else []
+    exact = dict(zip(found, row))
+    return {c: [exact.get((c, j)) for j in range(len(wanted[c]))] for c in names}
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """One round: propose tighter ends, count, and take those that hold the quantile."""
+    ends = df.agg(*[
         F.percentile_approx(
-            F.col(c).cast("double"), [max(q - margin, 0.0), min(q + margin, 1.0)], ACCURACY
+            F.when(b.inside, F.col(b.column).cast("double")),
+            [max(b.position - MARGIN, 0.0), min(b.position + MARGIN, 1.0)], ACCURACY,
         ).alias(f"e{i}")
-        for i, (c, q) in enumerate(spots)
+        for i, b in enumerate(brackets)
     ]).first()
-
-    def inside(i: int) -> Column:
-        low, high = edges[i]
-        return F.col(spots[i][0]).between(low, high)
-
     counts = df.agg(*[
-        c for i, (name, _) in enumerate(spots) for c in (
-            F.count_if(F.col(name) < edges[i][0]).alias(f"b{i}"),
-            F.count_if(inside(i)).alias(f"m{i}"),
+        c for i, b in enumerate(brackets) for c in (
+            F.count_if(F.col(b.column) < ends[i][0]).alias(f"b{i}"),
+            F.count_if(F.col(b.column).between(*ends[i])).alias(f"m{i}"),
         )
     ]).first()
-    exprs, exact = [], {}
-    for i, (name, q) in enumerate(spots):
-        rank = q * (sizes[name] - 1)
+    for i, b in enumerate(brackets):
         below, middle = counts[f"b{i}"], counts[f"m{i}"]
-        lower, upper = math.floor(rank) - below, math.ceil(rank) - below
-        if lower < 0 or upper >= middle:  # the bracket missed: fall back for this column
-            exprs.append(F.percentile(F.col(name), F.lit(q)).alias(f"x{i}"))
-        else:
-            within = (rank - below) / (middle - 1) if middle > 1 else 0.0
-            exprs.append(
-                F.percentile(F.when(inside(i), F.col(name)), F.lit(within)).alias(f"x{i}")
-            )
-    row = df.agg(*exprs).first()
-    for i, spot in enumerate(spots):
-        exact[spot] = row[f"x{i}"]
-    return {c: [exact.get((c, q)) for q in wanted[c]] for c in names}
+        # equal values cannot be narrowed further, but they are one entry to hold
+        b.settled = middle >= b.middle or not b.holds(below, middle) or ends[i][0] == ends[i][1]
+        if b.holds(below, middle):
+            b.below, b.middle, (b.low, b.high) = below, middle, ends[i]

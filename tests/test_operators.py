@@ -109,16 +109,15 @@ def test_duplicate_repair(spark):
     assert repair_duplicates(numbered, "absent") is numbered
 
 
-def test_exact_quantiles_on_both_paths(spark):
+@pytest.mark.parametrize("limits", [(10 ** 9, 50), (0, 50_000), (0, 50), (0, 1)])
+def test_exact_quantiles_on_every_path(spark, limits):
     rng = np.random.default_rng(1)
-    frame = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 4, 5000) * 1.0})
+    frame = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 4, 5000) * 1.0,
+                          "c": np.where(rng.uniform(size=5000) < 0.6, 7.0, rng.normal(size=5000))})
     frame.loc[::10, "a"] = np.nan
     df = spark.createDataFrame(frame).withColumn("a", F.nanvl("a", F.lit(None)))
-    wanted = {"a": [0.25, 0.5, 0.9], "b": [0.5, 0.75]}
-    for limit in (1_000_000, 0):
-        got = exact_quantiles(df, wanted, direct_limit=limit)
-        for c, qs in wanted.items():
-            assert np.allclose(got[c], np.nanquantile(frame[c], qs), atol=1e-12), (c, limit)
-    empty = df.where("a > 100")
-    assert exact_quantiles(empty, {"a": [0.5]}) == {"a": [None]}
-    assert exact_quantiles(empty, {"a": [0.5]}, direct_limit=0) == {"a": [None]}
+    wanted = {"a": [0.0, 0.25, 0.5, 0.9, 1.0], "b": [0.5, 0.75], "c": [0.1, 0.5, 0.61]}
+    got = exact_quantiles(df, wanted, *limits)
+    for c, qs in wanted.items():
+        assert np.allclose(got[c], np.nanquantile(frame[c], qs), atol=1e-12), c
+    assert exact_quantiles(df.where("a > 100"), {"a": [0.5]}, *limits) == {"a": [None]}
