@@ -29,7 +29,9 @@ def latest_before(
         key, F.col(stamp).cast("date").alias("__day"), F.lit(0).alias("__ask"), snap.alias("__s")
     )
     empty = facts.schema["__s"].dataType
-    asks = points.select(key, "__day", F.lit(1).alias("__ask"), F.lit(None).cast(empty).alias("__s"))
+    asks = points.select(
+        key, "__day", F.lit(1).alias("__ask"), F.lit(None).cast(empty).alias("__s")
+    )
     order = (
         Window.partitionBy(key).orderBy("__day", "__ask")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

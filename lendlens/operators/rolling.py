@@ -66,7 +66,9 @@ def _std(name: str, frame: WindowSpec) -> Column:
     mean = F.sum(f"{name}_s1").over(frame) / n
     variance = F.sum(f"{name}_s2").over(frame) / n - mean * mean
     constant = F.min(f"{name}_min").over(frame) == F.max(f"{name}_max").over(frame)
-    return F.when(constant, F.lit(0.0)).otherwise(F.sqrt(F.when(variance < 0, 0.0).otherwise(variance)))
+    return F.when(constant, F.lit(0.0)).otherwise(
+        F.sqrt(F.when(variance < 0, 0.0).otherwise(variance))
+    )
 
 
 def trailing_names(days: int) -> list[str]:

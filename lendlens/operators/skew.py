@@ -37,10 +37,11 @@ def ordered_index(
 
     Rows are numbered inside (key, calendar unit), after the number of rows in the
     key's earlier units. With hours a key owning a third of the rows, a third of
-    them on one day, still leaves less than a hundredth to one task. That number comes from a prefix over unit counts, whose
-    window holds one row per unit a key was active in, so its size is bounded by
-    the calendar. It travels to its (key, unit) group as one more row, which costs
-    no join: the wide rows are shuffled once.
+    them on one day, still leaves less than a hundredth to one task. The number of
+    earlier rows comes from a prefix over unit counts, whose window holds one row
+    per unit a key was active in, so its size is bounded by the calendar. It
+    travels to its (key, unit) group as one more row, which costs no join: the
+    wide rows are shuffled once.
     """
     columns = df.columns
     unit_of = F.date_trunc(unit, F.col(ts).cast("timestamp"))
@@ -85,7 +86,9 @@ def sums_before(
         "__unit": F.date_trunc(unit, F.col(ts).cast("timestamp")),
         "__at": F.unix_micros(F.col(ts).cast("timestamp")),
     })
-    over_units = Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
+    over_units = (
+        Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
+    )
     totals = (
         placed.where(F.col(key).isNotNull() & F.col("__unit").isNotNull())
         .groupBy(key, "__unit").agg(*[F.sum(c).alias(c) for c in columns])

@@ -164,7 +164,8 @@ def sample_ratio(assigned: DataFrame) -> DataFrame:
     ]))
     return counts.withColumn("total", total).withColumn("chi2", chi2).withColumn("r", rows).select(
         "r.variant", "r.n_users",
-        (F.lit(100.0) * F.col("r.n_users") / F.nullif(F.col("total"), F.lit(0.0))).alias("pct_users"),
+        (F.lit(100.0) * F.col("r.n_users") / F.nullif(F.col("total"), F.lit(0.0)))
+        .alias("pct_users"),
         "chi2",
         chi2_sf_even(F.col("chi2"), F.lit(len(TIP_ARMS) - 1) / 2).alias("p_value"),
     )
@@ -232,11 +233,13 @@ def temporal_balance(assignments: DataFrame) -> DataFrame:
     )
 
 
-def collapse_rare(df: DataFrame, column: str, min_count: int = 20, label: str = "OTHER") -> DataFrame:
+def collapse_rare(
+    df: DataFrame, column: str, min_count: int = 20, label: str = "OTHER"
+) -> DataFrame:
     """Replace values with fewer than ``min_count`` rows by one label.
 
-    The frequent values are the small side: at most rows / min_count, in practice
-    the category domain; the planner decides whether to broadcast them.
+    The counts hold one row per value; the planner decides by their size how to
+    join the rare ones back, and a NULL stays a NULL.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
     rare = counts.where(F.col("__n") < min_count).select(

@@ -136,7 +136,9 @@ def _opportunities(segments: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     names = ["r12", "r23", "r34", "r45"]
     rated = segment_rates(segments).withColumns({
-        f"t{r[1:]}": F.least(F.percentile(F.col(r), F.lit(0.75)).over(everything), F.lit(TARGET_CAP))
+        f"t{r[1:]}": F.least(
+            F.percentile(F.col(r), F.lit(0.75)).over(everything), F.lit(TARGET_CAP)
+        )
         for r in names
     })
     lifted = []

@@ -84,7 +84,8 @@ _add("funnel_by_channel", lambda c: funnel.by_channel(c.segments), 6)
 _add("funnel_by_cohort", lambda c: funnel.by_cohort(c.segments), 6)
 
 # metrics
-_add("metric_signup_to_request", lambda c: metrics.signup_to_request(c.users_enriched, c.loans_enriched))
+_add("metric_signup_to_request", lambda c: metrics.signup_to_request(
+    c.users_enriched, c.loans_enriched))
 _add("metric_bank_link_rate", lambda c: metrics.bank_link_rate(c.users_enriched))
 _add("metric_approval_disbursement", lambda c: metrics.approval_disbursement(c.loans_enriched))
 _add("metric_repayment_default", lambda c: metrics.repayment_default(c.loans_enriched))
@@ -161,7 +162,8 @@ _add("user_prior_loan_perf", lambda c: c.prior_performance, 6)
 _add("prior_default_flag", lambda c: history.prior_default_flag(c.loans_enriched))
 _add("txn_snapshot_asof", lambda c: risk_base.snapshot_asof(c.loans_enriched, c.transactions), 6)
 _add("risk_derived_features", lambda c: risk_base.derived_features(
-    risk_base.snapshot_asof(c.loans_enriched, c.transactions)).select("loan_id", *risk_base.DERIVED), 5)
+    risk_base.snapshot_asof(c.loans_enriched, c.transactions)
+).select("loan_id", *risk_base.DERIVED), 5)
 _add("risk_model_base", lambda c: c.risk_model_base, 5)
 
 # data quality
