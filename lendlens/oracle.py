@@ -804,7 +804,7 @@ FROM (SELECT variant, n_users, 100.0 * n_users / sum(n_users) OVER () AS pct_use
        "pct_users chi2 p_value")
 
 
-def _crosstab(label: str, bucket: str) -> str:
+def _crosstab(label: str, bucket: str, domain: str = "") -> str:
     cells = ", ".join(f"count(DISTINCT user_id) FILTER (WHERE variant = '{a}') AS {a}"
                       for a in ARMS)
     row = " + ".join(ARMS)
@@ -812,19 +812,26 @@ def _crosstab(label: str, bucket: str) -> str:
         f"pow({a} - rt * sum({a}) OVER () / sum(rt) OVER (), 2)"
         f" / (rt * sum({a}) OVER () / sum(rt) OVER ())" for a in ARMS
     )
-    pct = ", ".join(f"100.0 * {a} / rt AS {a}_pct" for a in ARMS)
+    pct = ", ".join(f"100.0 * {a} / nullif(rt, 0) AS {a}_pct" for a in ARMS)
+    counted = f"""SELECT {bucket} AS {label}, {cells} FROM ac
+                  WHERE experiment_name = 'TipPrompt_2025Q2' GROUP BY 1"""
+    if domain:
+        filled = ", ".join(f"ifnull({a}, 0) AS {a}" for a in ARMS)
+        counted = (f"SELECT {label}, {filled} FROM (SELECT unnest({domain}) AS {label})"
+                   f" LEFT JOIN ({counted}) USING ({label})")
     return f"""
 SELECT * EXCLUDE (part, h), sum(part) OVER () AS chi2, (2 * h)::INT AS dof,
        exp(-(sum(part) OVER ()) / 2)
          * list_sum([pow((sum(part) OVER ()) / 2, i) / factorial(i::INT) for i in range(h)])
          AS p_value
-FROM (SELECT {label}, {', '.join(ARMS)}, {pct}, {chi} AS part, count(*) OVER () - 1 AS h
+FROM (SELECT {label}, {', '.join(ARMS)}, {pct}, {chi} AS part,
+             (count(*) FILTER (WHERE rt > 0) OVER ()) - 1 AS h
       FROM (SELECT *, ({row})::DOUBLE AS rt
-            FROM (SELECT {bucket} AS {label}, {cells} FROM ac
-                  WHERE experiment_name = 'TipPrompt_2025Q2' GROUP BY 1)))"""
+            FROM ({counted})))"""
 
 
-_WEEKDAY = _crosstab("weekday", "strftime(assigned_at, '%a')")
+_WEEKDAY = _crosstab("weekday", "strftime(assigned_at, '%a')",
+                     "['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun']")
 _MONTH = _crosstab("assigned_month", "date_trunc('month', assigned_at)::DATE")
 _PCT = " ".join(f"{a}_pct" for a in ARMS) + " chi2 p_value"
 expect("assignment_by_weekday", _WEEKDAY, _PCT)

@@ -177,25 +177,39 @@ def _tip_assignments(assignments: DataFrame) -> DataFrame:
     )
 
 
-def cross_tab(assignments: DataFrame, bucket: Column, name: str) -> DataFrame:
+def _with_all_rows(table: DataFrame, name: str, domain: list[str]) -> DataFrame:
+    """One row per value of a fixed domain, zero-filled, in the order given."""
+    rows = table.agg(F.collect_list(F.struct(name, *TIP_ARMS)).alias("rows"))
+    found = F.filter("rows", lambda r: r[name] == F.col(name))
+    return rows.withColumn(name, F.explode(F.array(*[F.lit(v) for v in domain]))).select(
+        name, *[F.coalesce(F.get(found, F.lit(0))[a], F.lit(0)).alias(a) for a in TIP_ARMS]
+    )
+
+
+def cross_tab(
+    assignments: DataFrame, bucket: Column, name: str, domain: list[str] | None = None
+) -> DataFrame:
     """Distinct users per (bucket, tip arm) with row percent and a chi-square test.
 
-    The frame over the whole table holds one row per bucket (weekday or month).
+    A given domain fixes the rows; empty ones take no part in the test. The frame
+    over the whole table holds one row per bucket (weekday or month).
     """
     users = _tip_assignments(assignments).select(bucket.alias(name), "variant", "user_id")
     table = users.distinct().groupBy(name).agg(
         *[F.count(F.when(F.col("variant") == a, F.col("user_id"))).alias(a) for a in TIP_ARMS]
     )
+    if domain:
+        table = _with_all_rows(table, name, domain)
     every = Window.partitionBy()
     row = sum((F.col(a) for a in TIP_ARMS[1:]), F.col(TIP_ARMS[0])).cast("double")
     table = table.withColumn("__row", row).withColumns({
         "__all": F.sum("__row").over(every),
-        "__rows": F.count(F.lit(1)).over(every),
+        "__rows": F.count_if(F.col("__row") > 0).over(every),
         **{f"__c_{a}": F.sum(a).over(every) for a in TIP_ARMS},
     })
 
     def share(a: str) -> Column:
-        expected = F.col("__row") * F.col(f"__c_{a}") / F.col("__all")
+        expected = F.col("__row") * F.col(f"__c_{a}") / F.nullif(F.col("__all"), F.lit(0.0))
         return F.coalesce(F.pow(F.col(a) - expected, F.lit(2.0)) / F.nullif(expected, F.lit(0.0)),
                           F.lit(0.0))
 
@@ -213,7 +227,7 @@ def cross_tab(assignments: DataFrame, bucket: Column, name: str) -> DataFrame:
 
 def by_weekday(assignments: DataFrame) -> DataFrame:
     label = F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.col("assigned_dow") + 1)
-    return cross_tab(assignments, label, "weekday")
+    return cross_tab(assignments, label, "weekday", [*WEEKDAYS[1:], WEEKDAYS[0]])
 
 
 def by_month(assignments: DataFrame) -> DataFrame:

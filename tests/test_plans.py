@@ -199,6 +199,27 @@ def test_sample_ratio_with_known_counts(spark):
     assert [r["n_users"] for r in empty] == [0, 0, 0]
 
 
+def test_cross_tab_keeps_empty_weekdays(spark):
+    arms = ["control", "persuasive", "social_proof"]
+    days = [D(2024, 1, 1), D(2024, 1, 3)]  # a Monday and a Wednesday
+    counts = {(0, 0): 5, (0, 1): 7, (0, 2): 6, (1, 0): 9, (1, 1): 4, (1, 2): 8}
+    rows = [dict(assignment_id=f"{d}{a}{i}", user_id=d * 1000 + a * 100 + i,
+                 experiment_name="TipPrompt_2025Q2", variant=arms[a], assigned_at=days[d])
+            for (d, a), n in counts.items() for i in range(n)]
+    df = clean.enrich_assignments(table(spark, "ab_assignments", rows))
+    got = experiments.by_weekday(df).collect()
+    assert [r["weekday"] for r in got] == ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+    assert [got[2][a] for a in arms] == [9, 4, 8] and got[1]["control"] == 0
+    assert got[1]["control_pct"] is None and got[0]["dof"] == 2
+    total, by_arm, by_day = 39, [14, 11, 14], [18, 21]
+    chi2 = sum((n - by_day[d] * by_arm[a] / total) ** 2 / (by_day[d] * by_arm[a] / total)
+               for (d, a), n in counts.items())
+    assert got[0]["chi2"] == pytest.approx(chi2)
+    assert got[0]["p_value"] == pytest.approx(2.718281828459045 ** (-chi2 / 2))
+    assert experiments.by_month(df).count() == 1
+    assert experiments.by_weekday(df.where("false")).first()["chi2"] == 0.0
+
+
 def test_power_with_published_inputs(catalog):
     rows = experiments.power(catalog.loans_with_experiments, mean=0.32, per_day=13.0).collect()
     got = {r["mde"]: (r["n_per_arm"], r["horizon_days"]) for r in rows}
