@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import decontaminate
+from lendlens.llm import chat, decontaminate, exact_dedup
 from lendlens.llm.common import table
 
 
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_planted(table(spark, sf_dir, "conversations")))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_windows": op2_chat_windows,
+    "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_chat_windows": chat.SQL,
+    "op3_exact_dedup": exact_dedup.SQL,
+}
