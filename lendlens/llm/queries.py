@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import chat, decontaminate, exact_dedup, near_dedup
+from lendlens.llm import chat, decontaminate, exact_dedup, near_dedup, substring_dedup
 from lendlens.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_planted(table(spark, sf_dir, "conversations")))
 
@@ -27,6 +31,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_windows": op2_chat_windows,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
