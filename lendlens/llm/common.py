@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lendlens.operators.cache import written
 from lendlens.session import configure
@@ -53,6 +54,14 @@ def over_slices(column: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return run
 
 
+def extended(df: DataFrame, *columns: tuple[str, str]) -> StructType:
+    """The frame's schema with further nullable columns."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in columns:
+        out = out.add(name, kind, True)
+    return out
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 

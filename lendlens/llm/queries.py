@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import chat, decontaminate, exact_dedup, near_dedup, substring_dedup
+from lendlens.llm import chat, decontaminate, exact_dedup, language, near_dedup, quality, substring_dedup
 from lendlens.llm.common import table
 
 
@@ -30,12 +30,22 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_windows": op2_chat_windows,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_decontamination": op5_decontamination,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
+    "op9_language": op9_language,
 }
 
 ORACLE: dict[str, str] = {
