@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from lendlens.operators.cache import written
 from lendlens.session import configure
@@ -58,7 +58,7 @@ def extended(df: DataFrame, *columns: tuple[str, str]) -> StructType:
     """The frame's schema with further nullable columns."""
     out = StructType(list(df.schema.fields))
     for name, kind in columns:
-        out = out.add(name, kind, True)
+        out = out.add(name, DataType.fromDDL(kind), True)
     return out
 
 

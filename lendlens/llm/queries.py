@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import chat, decontaminate, exact_dedup, language, near_dedup, quality, substring_dedup
+from lendlens.llm import chat, decontaminate, exact_dedup, language, near_dedup, quality, secret_scan, substring_dedup, warc
 from lendlens.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_windows": op2_chat_windows,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
@@ -51,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_chat_windows": chat.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
+    "op4_warc": warc.SQL,
 }
