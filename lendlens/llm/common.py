@@ -62,6 +62,14 @@ def extended(df: DataFrame, *columns: tuple[str, str]) -> StructType:
     return out
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores until the frame has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 

@@ -145,12 +145,11 @@ def search(
 
     Words are maximal runs of letters, digits and non-ASCII characters, with
     A-Z lower-cased. A null or empty text has no words. Repeated rows are
-    searched alike. An empty benchmark hits nothing. Other columns pass through;
-    `found` must be a new name.
+    searched alike. An empty benchmark hits nothing. Other columns pass through,
+    but one named `found` is replaced.
     """
     spark = prepare(docs.sparkSession)
-    if found in docs.columns:
-        raise ValueError(f"the documents already have a column {found}")
+    docs = docs.drop(found)
     patterns = windows(benchmark, n, item_col, item_text_col)
     total = patterns.count()
     n_blocks = max(1, -(-total // BLOCK_PATTERNS))

@@ -110,9 +110,9 @@ def predicted(docs: DataFrame, model: Kernel | None, text_col: str = "text") ->
     """The documents with lang_pred and score; `und` and 0 for a text that is null or has no letter.
 
     Without a learned language all texts are `und`. Rows that repeat get equal results.
+    Other columns pass through, but those named lang_pred and score are replaced.
     """
-    if {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError("the documents already have a column lang_pred or score")
+    docs = docs.drop("lang_pred", "score")
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import chat, decontaminate, exact_dedup, language, near_dedup, quality, secret_scan, substring_dedup, warc
+from lendlens.llm import (
+    bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, secret_scan, substring_dedup, warc,
+)
 from lendlens.llm.common import table
 
 
@@ -46,6 +49,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.report(table(spark, sf_dir, "documents"), bpe.Tokenizer(ranks, public_tokenizers.PATTERN))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_windows": op2_chat_windows,
@@ -56,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_language": op9_language,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {

@@ -89,11 +89,10 @@ def scanned(docs: DataFrame, text_col: str = "text", column: str = "secrets") ->
 
     Code points of the whole text count. A null or empty text has none. Rows are
     scanned one by one, so repeated rows get equal results; other columns pass
-    through, and `column` must be a new name.
+    through, but one named `column` is replaced.
     """
     prepare(docs.sparkSession)
-    if column in docs.columns:
-        raise ValueError(f"the documents already have a column {column}")
+    docs = docs.drop(column)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def step(piece: pa.RecordBatch) -> pa.RecordBatch:
