@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_LIMIT = 5_000_000  # values over all columns the exact percentile may hold at once
-INSIDE_LIMIT = 50_000     # values per quantile it may hold after narrowing
+HELD = 20_000  # values inside a bracket that the exact percentile holds at the end
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
 
@@ -24,7 +23,8 @@ class _Bracket:
     below: int = 0        # values under the low end
     low: float = -math.inf
     high: float = math.inf
-    settled: bool = False
+    margin: float = MARGIN
+    stuck: bool = False   # the bracket does not shrink: it holds a few values, each many times
 
     @property
     def inside(self) -> Column:
@@ -41,35 +41,31 @@ class _Bracket:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], direct_limit: int = DIRECT_LIMIT,
-    inside_limit: int = INSIDE_LIMIT,
+    df: DataFrame, wanted: dict[str, list[float]], held: int = HELD, margin: float = MARGIN
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, NULLs left out.
 
-    The exact ``percentile`` holds all distinct values of a column in one buffer.
-    Above the limit every quantile is first bracketed: an approximate pass
-    proposes two values around it, a second one counts the rows below and inside.
-    Each round keeps about one row in a thousand, until few are inside; the exact
-    percentile then runs on those. All quantiles share the passes.
+    Every quantile is bracketed: an approximate pass proposes two values around
+    it, a second one counts the rows below and inside. A round keeps about one row
+    in a thousand, and is repeated while more than ``held`` values are inside and
+    they differ. A proposal that misses the quantile is made again with a wider
+    margin. The exact percentile then runs on the values inside, whose number is
+    bounded whatever the size of the table. All quantiles share the passes.
     """
     names = list(wanted)
     if not names:
         return {}
     head = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
     sizes = dict(zip(names, head))
-    if sum(sizes.values()) <= direct_limit:
-        row = df.agg(*[F.percentile(c, wanted[c]).alias(f"q{i}")
-                       for i, c in enumerate(names)]).first()
-        return {c: list(q) if q is not None else [None] * len(wanted[c])
-                for c, q in zip(names, row)}
-
     spots = [(c, j) for c in names for j in range(len(wanted[c])) if sizes[c]]
-    found = {s: _Bracket(s[0], wanted[s[0]][s[1]] * (sizes[s[0]] - 1), sizes[s[0]]) for s in spots}
-    while True:
-        wide = [b for b in found.values() if b.middle > inside_limit and not b.settled]
-        if not wide:
-            break
-        _narrow(df, wide)
+    found = {
+        s: _Bracket(s[0], wanted[s[0]][s[1]] * (sizes[s[0]] - 1), sizes[s[0]], margin=margin) for s in spots
+    }
+    open_brackets = list(found.values())
+    while open_brackets:
+        _narrow(df, open_brackets)
+        # equal values cannot be narrowed further, but they are one entry to hold
+        open_brackets = [b for b in open_brackets if b.middle > held and b.low != b.high and not b.stuck]
     row = df.agg(*[
         F.percentile(F.when(b.inside, F.col(b.column)), b.position).alias(f"x{i}")
         for i, b in enumerate(found.values())
@@ -83,7 +79,7 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     ends = df.agg(*[
         F.percentile_approx(
             F.when(b.inside, F.col(b.column).cast("double")),
-            [max(b.position - MARGIN, 0.0), min(b.position + MARGIN, 1.0)], ACCURACY,
+            [max(b.position - b.margin, 0.0), min(b.position + b.margin, 1.0)], ACCURACY,
         ).alias(f"e{i}")
         for i, b in enumerate(brackets)
     ]).first()
@@ -95,7 +91,9 @@ def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
     ]).first()
     for i, b in enumerate(brackets):
         below, middle = counts[f"b{i}"], counts[f"m{i}"]
-        # equal values cannot be narrowed further, but they are one entry to hold
-        b.settled = middle >= b.middle or not b.holds(below, middle) or ends[i][0] == ends[i][1]
-        if b.holds(below, middle):
+        if b.holds(below, middle) and (middle < b.middle or b.low == -math.inf):
             b.below, b.middle, (b.low, b.high) = below, middle, ends[i]
+        else:
+            # a margin of 1 takes the least and the greatest value, so this ends
+            b.margin = min(1.0, 4 * b.margin)
+            b.stuck = b.margin == 1.0 and b.low != -math.inf

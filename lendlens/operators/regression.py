@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from lendlens.functions.expressions import normal_two_sided_p
 from lendlens.operators.cache import column_levels, persisted
 
+CELLS = 1_000_000  # combinations of categories whose moments may reach the driver
 Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
 
 
@@ -80,6 +81,9 @@ def ols_hc1(df: DataFrame, outcome: str, design: Design) -> list[dict]:
     and the robust covariance. One row per occurring cell reaches the driver.
     """
     cats = list(design.levels)
+    cells = math.prod(len(v) for v in design.levels.values())
+    if cells > CELLS:
+        raise ValueError(f"{cells} cells of categories; at most {CELLS} are brought together")
     rows = design.coded(_complete(df, [*cats, design.numeric, outcome]))
     # centring keeps the fourth-order moments well scaled
     mid, spread = rows.agg(
@@ -157,14 +161,14 @@ def _partials(design: Design, stratum: str, betas: dict) -> callable:
                 if s not in betas:
                     continue
                 x = design.matrix(part)
-                w, hits = part["__w"].to_numpy(float), part["__y"].to_numpy(float)
+                y = part["__y"].to_numpy(float)
                 mu = 1.0 / (1.0 + np.exp(-(x @ betas[s])))
-                v = w * mu * (1.0 - mu)
+                v = mu * (1.0 - mu)
                 flat = np.concatenate([
-                    x.T @ (hits - w * mu),
+                    x.T @ (y - mu),
                     (x.T @ (x * v[:, None]))[upper],
                     x.T @ (v * (1.0 - 2.0 * mu)),
-                    [v.sum(), w.sum()],
+                    [v.sum(), len(y)],
                 ])
                 sums[s] = sums[s] + flat if s in sums else flat
         out = [(s, i, float(v)) for s, flat in sums.items() for i, v in enumerate(flat)]
@@ -198,31 +202,29 @@ class LogitFit:
 
 
 def logit_by_stratum(
-    df: DataFrame, outcome: str, design: Design, stratum: str, max_iter: int = 30,
+    df: DataFrame, outcome: str, design: Design, stratum: str, max_iter: int = 100,
     tol: float = 1e-9,
 ) -> dict[object, LogitFit]:
     """One logit per stratum, all strata iterating together (Newton steps).
 
-    Rows with equal covariates are merged into weights first. A step is one pass
-    over the merged rows; per stratum a few hundred sums come back. Terms that do
-    not occur in a stratum get coefficient 0 through the pseudo-inverse.
+    A step is one pass over the cached narrow rows, without a shuffle of them; per
+    stratum a few hundred sums come back. Terms that do not occur in a stratum
+    get coefficient 0 through the pseudo-inverse. A fit that has not settled after
+    ``max_iter`` steps says so in ``converged``.
     """
     cats = list(design.levels)
-    merged = (
-        design.coded(_complete(df, [*cats, design.numeric, outcome, stratum]))
-        .groupBy(*dict.fromkeys([stratum, *cats, design.numeric]))
-        .agg(F.count(F.lit(1)).cast("double").alias("__w"),
-             F.sum(F.col(outcome).cast("double")).alias("__y"))
+    rows = design.coded(_complete(df, [*cats, design.numeric, outcome, stratum])).select(
+        *dict.fromkeys([stratum, *cats, design.numeric]), F.col(outcome).cast("double").alias("__y")
     )
     p = len(design.terms)
     upper = np.triu_indices(p)
-    with persisted(merged):
-        strata = [r[0] for r in merged.select(stratum).distinct().collect()]
-        key_type = merged.schema[stratum].dataType.simpleString()
+    with persisted(rows):
+        strata = [r[0] for r in rows.select(stratum).distinct().collect()]
+        key_type = rows.schema[stratum].dataType.simpleString()
         open_betas = {s: np.zeros(p) for s in strata}
         done: dict[object, LogitFit] = {}
         for step in range(max_iter):
-            sums = merged.mapInPandas(
+            sums = rows.mapInPandas(
                 _partials(design, stratum, open_betas), f"s {key_type}, i int, v double"
             ).groupBy("s", "i").agg(F.sum("v").alias("v")).collect()
             flat = {s: np.zeros(2 * p + len(upper[0]) + 2) for s in open_betas}

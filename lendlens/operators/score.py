@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlens.operators.cache import persisted
 from lendlens.operators.quantile import exact_quantiles
 from lendlens.operators.skew import join_back
 
-BUCKETS = 65_536
+BUCKETS = 1024  # parts of about equally many scores
+
+
+def _known(df: DataFrame, score: str, label: str) -> DataFrame:
+    """The rows that every measure is about: those with a score and a label."""
+    return df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+
+
+def _bucketed(merged: DataFrame) -> DataFrame:
+    """Adds ``__b``, the number of the part of the scores that a score falls into."""
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = merged.agg(F.percentile_approx("score", shares, 10 * BUCKETS)).first()[0] or []
+    splits = [-float("inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    if len(splits) < 3:
+        return merged.withColumn("__b", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="score", outputCol="__b", handleInvalid="keep").transform(
+        merged.withColumn("score", F.col("score").cast("double"))
+    )
 
 
 def _cumulated(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Per segment and distinct score: positives and negatives at or above it.
 
-    Equal scores are merged first. Scores fall into fixed-width buckets, so the
-    running totals need one small window over the bucket totals and one window
-    per bucket; no task sees all scores.
+    Equal scores are merged first. The merged scores are cut at their approximate
+    quantiles, so that running totals need one small window over the bucket totals
+    and one window per bucket; no task sees all scores, however they crowd.
     """
-    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    known = _known(df, score, label)
     merged = known.groupBy(*by, F.col(score).alias("score")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"),
         F.sum(F.lit(1) - F.col(label).cast("long")).alias("neg"),
-    ).withColumn("__b", F.floor(F.col("score") * BUCKETS))
+    )
+    merged = _bucketed(merged)
     higher = (
         Window.partitionBy(*by).orderBy(F.desc("__b"))
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -67,6 +87,7 @@ def auc_ap(df: DataFrame, score: str, label: str, by: list[str] | None = None) -
 
 def evaluation(df: DataFrame, score: str, label: str) -> DataFrame:
     """AUC, average precision, Brier score and log-loss, one row."""
+    df = _known(df, score, label)
     p = F.greatest(F.least(F.col(score), F.lit(1 - 1e-15)), F.lit(1e-15))
     y = F.col(label)
     direct = df.agg(
@@ -110,6 +131,7 @@ def pr_points(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean prediction and observed rate per quantile bin (right-closed bins)."""
+    df = _known(df, score, label)
     inner = [i / bins for i in range(1, bins)]
     edges = [e for e in exact_quantiles(df, {score: inner})[score] if e is not None]
     bin_of = F.lit(0)
@@ -129,6 +151,7 @@ def threshold_metrics(
 
     All thresholds are counted in one pass.
     """
+    df = _known(df, score, label)
     p, y = F.col(score), F.col(label)
     counts, names = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("bad")], list(thresholds)
     for i, name in enumerate(names):
@@ -189,11 +212,15 @@ def operating_points(
     defaults: tuple[float, ...] = (0.19, 0.25, 0.30),
 ) -> DataFrame:
     """Metrics at fixed approval rates and at fixed default targets."""
-    cuts = exact_quantiles(df, {score: list(approvals)})[score]
-    named = {f"Fixed Approval {int(a * 100)}%": t for a, t in zip(approvals, cuts) if t is not None}
-    found = default_target_thresholds(df, score, label, list(defaults))
-    named |= {f"Fixed Default ≤ {int(d * 100)}%": t for d, t in found.items()}
-    return threshold_metrics(df, score, label, named)
+    # the passes read two narrow columns, not the joins behind them
+    with persisted(_known(df, score, label).select(score, label)) as narrow:
+        cuts = exact_quantiles(narrow, {score: list(approvals)})[score]
+        named = {f"Fixed Approval {int(a * 100)}%": t for a, t in zip(approvals, cuts) if t is not None}
+        found = default_target_thresholds(narrow, score, label, list(defaults))
+        named |= {f"Fixed Default ≤ {int(d * 100)}%": t for d, t in found.items()}
+        counted = threshold_metrics(narrow, score, label, named)
+        # a handful of rows
+        return df.sparkSession.createDataFrame(counted.collect(), counted.schema)
 
 
 def population_stability(

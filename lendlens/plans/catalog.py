@@ -83,6 +83,13 @@ class LendingCatalog:
             self.loans_enriched, self.user_assignments, self.users
         )
 
+    @cached_property
+    def loans_with_arms(self) -> DataFrame:
+        """The same without the fitted decile, for consumers that do not read it."""
+        return experiments.loans_with_experiments(
+            self.loans_enriched, self.user_assignments, self.users_enriched
+        )
+
     @cached_property
     def transactions_for_risk(self) -> DataFrame:
         return risk_base.transactions_for_risk(self.transactions)

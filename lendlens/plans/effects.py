@@ -51,6 +51,8 @@ def _logit_rows(frame: DataFrame) -> list[tuple]:
     for metric, y in LOGIT_METRICS.items():
         fit = logit_by_stratum(frame, y, design, "all_rows").get(0)
         if fit is not None:
+            if not fit.converged:
+                raise ArithmeticError(f"the logit of {metric} does not converge")
             rows += _rows(metric, "pp", fit.marginal_effects(design), 100.0)
     return rows
 
@@ -133,7 +135,7 @@ def effect_flags(table: DataFrame) -> DataFrame:
         (F.col("p_value") < 0.05).alias("is_sig"),
         F.when(F.col("effect_pp") > 0, "positive").otherwise("negative").alias("direction"),
         (F.abs("effect_pp") > 5).alias("large_effect"),
-        "n",
+        "n", "converged",
     )
 
 

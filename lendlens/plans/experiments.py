@@ -34,17 +34,18 @@ def user_assignments(assignments: DataFrame) -> DataFrame:
 
 
 def loans_with_experiments(loans: DataFrame, assigned: DataFrame, users: DataFrame) -> DataFrame:
-    """Loans of assigned users with arms and user attributes."""
+    """Loans of assigned users with arms and user attributes, the risk decile if the users have it."""
+    decile = ["risk_score_decile"] if "risk_score_decile" in users.columns else []
     return (
         loans.select("loan_id", "user_id", "amount", "revenue", "tip_amount", "pnl", "is_default",
                      "is_repaid", "is_disbursed", "disbursed_at_utc")
         .join(assigned.select("user_id", "price_test_group", "tip_test_group", "combined_variant"),
               "user_id")
-        .join(users.select("user_id", "risk_score_decile", "province", "device_os",
+        .join(users.select("user_id", *decile, "province", "device_os",
                            "acquisition_channel"), "user_id")
         .select("loan_id", "user_id", "amount", "revenue", "tip_amount", "pnl", "is_default",
                 "is_repaid", "is_disbursed", "disbursed_at_utc", "price_test_group",
-                "tip_test_group", "combined_variant", "risk_score_decile", "province",
+                "tip_test_group", "combined_variant", *decile, "province",
                 "device_os", "acquisition_channel")
     )
 
@@ -115,8 +116,12 @@ def naive_means(loans: DataFrame) -> DataFrame:
 
 
 def naive_effects(means: DataFrame, control: str = "control") -> DataFrame:
-    """Each arm against control. The whole-table frame holds one row per arm."""
+    """Each arm against control, which must occur. The whole-table frame holds one row per arm."""
     arms = Window.partitionBy()
+    has_control = F.max((F.col("tip_test_group") == control).cast("int")).over(arms) == 1
+    checked = F.when(has_control, F.col("tip_test_group")).otherwise(
+        F.raise_error(F.lit(f"no loans of the control arm {control}"))
+    )
 
     def of_control(c: str) -> Column:
         return F.max(F.when(F.col("tip_test_group") == control, F.col(c))).over(arms)
@@ -127,6 +132,7 @@ def naive_effects(means: DataFrame, control: str = "control") -> DataFrame:
     measures = ["tip_take_rate", "mean_tip_given_tip", "rpdl", "default_rate"]
     return (
         means.withColumns({f"__{c}": of_control(c) for c in measures})
+        .withColumn("tip_test_group", checked)
         .where(F.col("tip_test_group") != control)
         .select(
             F.col("tip_test_group").alias("tip_variant"),

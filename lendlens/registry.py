@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,12 +100,12 @@ _add("metric_north_star", lambda c: metrics.north_star(c.loans_enriched), 4)
 # experiments
 _add("user_experiment_assignments", lambda c: c.user_assignments)
 _add("loans_with_experiments", lambda c: c.loans_with_experiments, 6)
-_add("experiment_baseline_rpdl", lambda c: experiments.baseline_rpdl(c.loans_with_experiments))
-_add("experiment_window", lambda c: experiments.window_length(c.loans_with_experiments))
-_add("experiment_power", lambda c: experiments.power(c.loans_with_experiments))
-_add("experiment_naive_means", lambda c: experiments.naive_means(c.loans_with_experiments), 6)
+_add("experiment_baseline_rpdl", lambda c: experiments.baseline_rpdl(c.loans_with_arms))
+_add("experiment_window", lambda c: experiments.window_length(c.loans_with_arms))
+_add("experiment_power", lambda c: experiments.power(c.loans_with_arms))
+_add("experiment_naive_means", lambda c: experiments.naive_means(c.loans_with_arms), 6)
 _add("experiment_naive_effects",
-     lambda c: experiments.naive_effects(experiments.naive_means(c.loans_with_experiments)))
+     lambda c: experiments.naive_effects(experiments.naive_means(c.loans_with_arms)))
 _add("srm_counts", lambda c: experiments.arm_counts(c.user_assignments))
 _add("experiment_srm", lambda c: experiments.sample_ratio(c.user_assignments), 6)
 _add("assignment_by_weekday", lambda c: experiments.by_weekday(c.assignments_enriched), 6)
@@ -112,11 +113,11 @@ _add("assignment_by_month", lambda c: experiments.by_month(c.assignments_enriche
 _add("experiment_temporal_balance", lambda c: experiments.temporal_balance(
     c.assignments_enriched), 6)
 _add("rare_category_bucket", lambda c: experiments.collapse_rare(
-    c.loans_with_experiments.where("is_disbursed = 1")
+    c.loans_with_arms.where("is_disbursed = 1")
     .withColumn("segment", F.concat_ws("/", "province", "acquisition_channel", "device_os"))
     .select("loan_id", "segment"), "segment", 150))
 _add("experiment_stratified",
-     lambda c: experiments.stratified_effect(c.loans_with_experiments), 6)
+     lambda c: experiments.stratified_effect(c.loans_with_arms), 6)
 
 # dashboard
 _add("dash_user_funnel", lambda c: dashboard.user_funnel(c.users_enriched, c.loans_enriched))
@@ -222,6 +223,16 @@ def _scored(c: LendingCatalog) -> DataFrame:
     ).join(people, "user_id")
 
 
+@lru_cache(maxsize=2)
+def _searched(spark: SparkSession, application: str, sf_dir: str) -> risk_model.RiskModel:
+    return risk_model.fit(LendingCatalog.from_testdata(spark, sf_dir).risk_model_base)
+
+
+def _fitted(c: LendingCatalog) -> risk_model.RiskModel:
+    """The model at the penalty the search picks; its read-outs share one search per application."""
+    return _searched(c.spark, c.spark.sparkContext.applicationId, c.sf_dir)
+
+
 _add("risk_features", lambda c: risk_model.feature_summary(c.risk_model_base))
 _add("risk_imputed", lambda c: risk_model.imputed_features(c.risk_model_base), 5)
 _add("risk_split", lambda c: risk_model.split(c.risk_model_base.select("loan_id", "is_default")))
@@ -233,11 +244,9 @@ _add("risk_stability", lambda c: risk_model.stability(
     _scored(c), SCORE, ["province", "device_os"]))
 _add("risk_operating_points", lambda c: score.operating_points(_scored(c), SCORE, "is_default",
                                                                defaults=(0.45, 0.5, 0.55)), 6)
-_add("risk_model_cv", lambda c: risk_model.cv_table(risk_model.fit(c.risk_model_base)))
-_add("risk_coefficients", lambda c: risk_model.coefficient_table(
-    risk_model.fit(c.risk_model_base, c_values=[0.1])))
-_add("risk_model_eval", lambda c: score.evaluation(
-    risk_model.fit(c.risk_model_base, c_values=[0.1]).test, "pd", "is_default"))
+_add("risk_model_cv", lambda c: risk_model.cv_table(_fitted(c)))
+_add("risk_coefficients", lambda c: risk_model.coefficient_table(_fitted(c)))
+_add("risk_model_eval", lambda c: score.evaluation(_fitted(c).test, "pd", "is_default"))
 _add("risk_extra_features", lambda c: extra_features.extra_features(
     c.loans_enriched, c.transactions), 5)
 _add("policy_limits", lambda c: policy.loan_limits(_scored(c), SCORE).select(
