@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ log = logging.getLogger(__name__)
 # table -> (id column, strategy): files known to repeat ids (fixed values)
 DUPLICATE_REPAIR = {"fct_transactions": ("txn_id", "append_index")}
 FILE_POSITION = "__file_position"
+EXCESS = "__excess"
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -25,11 +27,26 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every column as text: codes keep their leading zeros."""
-    return (
-        spark.read.option("header", True).option("multiLine", False)
-        .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    )
+    """A CSV file with a header, every column as text: codes keep their leading zeros.
+
+    A row with more fields than the header is an error; a shorter one ends in NULLs.
+    Quoted line breaks are read as part of their field. Spark cannot split a file
+    that has them, so only such a file is read by one task.
+    """
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not lines.where(quotes % 2 == 1).limit(1).isEmpty()
+    options = {"header": True, "multiLine": broken, "escape": '"', "mode": "PERMISSIVE"}
+    columns = spark.read.options(**options).csv(path).columns
+    if not columns:
+        return spark.createDataFrame([], T.StructType([]))
+    # one more column than the header has takes what is too much
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXCESS]])
+    wide = spark.read.options(**options, enforceSchema=True).schema(fields).csv(path)
+    excess = wide.where(F.col(EXCESS).isNotNull()).limit(1)
+    if not excess.isEmpty():
+        raise ValueError(f"a row has more than {len(columns)} fields")
+    return wide.drop(EXCESS)
 
 
 def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataFrame], list[str]]:
@@ -108,29 +125,45 @@ def required_columns(tables: dict[str, DataFrame]) -> DataFrame:
 def write_tables(tables: dict[str, DataFrame], target: str) -> dict[str, int]:
     """Full refresh: typed Parquet per table, replacing what is there; -1 for a failed table.
 
-    A table whose primary key repeats or is NULL is not loaded, as the key
-    constraint of the contract demands.
+    A table is written to a fresh place, checked there and then switched in, so a
+    value that does not fit its column leaves no half of a table. A table whose
+    primary key repeats or is NULL is not loaded, as the key constraint of the
+    contract demands. A failed or absent table is gone afterwards: what is there
+    is of one load.
     """
-    out = {}
+    out, fresh = {}, f"{target}/.load-{uuid.uuid4().hex}"
     for table, text in tables.items():
-        key = TABLES[table][2]
+        key, spark = TABLES[table][2], text.sparkSession
         try:
-            typed = coerce(text, table)
-            counts = typed.agg(
+            coerce(text, table).write.parquet(f"{fresh}/{table}")
+            written = spark.read.schema(TABLES[table][1]).parquet(f"{fresh}/{table}")
+            counts = written.agg(
                 F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("k")
             ).first()
             if counts["n"] != counts["k"]:
                 raise ValueError(f"{table}.{key} is not unique")
-            typed.write.mode("overwrite").parquet(f"{target}/{table}")
             out[table] = counts["n"]
         except Exception as error:
             log.error("failed to load %s: %s", table, error)
             out[table] = -1
+    for spark in {text.sparkSession for text in tables.values()}:
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        files = paths(target).getFileSystem(spark._jsc.hadoopConfiguration())
+        for table in TABLES:
+            files.delete(paths(f"{target}/{table}"), True)
+            if out.get(table, -1) >= 0 and not files.rename(paths(f"{fresh}/{table}"), paths(f"{target}/{table}")):
+                raise OSError(f"cannot move {table} into place")
+        files.delete(paths(fresh), True)
     return out
 
 
 def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    return {t: spark.read.schema(s).parquet(f"{target}/{t}") for t, (_, s, _) in TABLES.items()}
+    """The tables of the last load; one that failed has no rows."""
+    return {
+        t: spark.read.schema(s).parquet(f"{target}/{t}") if _path_exists(spark, f"{target}/{t}")
+        else spark.createDataFrame([], s)
+        for t, (_, s, _) in TABLES.items()
+    }
 
 
 def samples(tables: dict[str, DataFrame], n: int) -> DataFrame:

@@ -133,3 +133,51 @@ def test_sinks(spark, tmp_path):
     assert [r["check_name"] for r in back.collect()] == ["x"]
     assert not ingest.write_failed_csv(checks.where("status = 'PASS'"), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_a_row_with_too_many_fields_fails_its_table(spark, tmp_path):
+    (tmp_path / "users.csv").write_text(USERS + "3,2025-01-03 00:00:00,BC,ios,email,,weekly,0.5,580-639,extra\n")
+    (tmp_path / "transactions.csv").write_text(TRANSACTIONS)
+    loaded, failed = ingest.load_csv_files(spark, str(tmp_path))
+    assert "dim_users" in failed and set(loaded) == {"fct_transactions"}
+
+
+def test_quoted_line_breaks_and_short_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,note,n\n1,"two\nlines, ""quoted""",3\n2,short\n')
+    rows = sorted(tuple(r) for r in ingest.read_csv(spark, str(tmp_path / "t.csv")).collect())
+    assert rows == [("1", 'two\nlines, "quoted"', "3"), ("2", "short", None)]
+
+
+def test_reload_replaces_everything(spark, folder, tmp_path):
+    target = str(tmp_path / "db3")
+    assert jobs.load(spark, folder, target)["dim_users"] == 2
+    assert spark.sql("select count(*) from v_dim_users_clean").first()[0] == 2
+    # a bad value outside the key: the table of the earlier load is gone, others are replaced
+    (tmp_path / "users.csv").write_text(USERS.replace("0.25", "high"))
+    got = jobs.load(spark, folder, target)
+    assert got["dim_users"] == -1 and got["fct_transactions"] == 4
+    tables = ingest.read_tables(spark, target)
+    assert tables["dim_users"].count() == 0 and tables["fct_transactions"].count() == 4
+
+
+def test_a_suite_that_cannot_run_says_so(spark, tmp_path):
+    class Broken:
+        base, row_views = {}, dict
+
+        def check_views(self):
+            raise ValueError("no views")
+
+    out = jobs.run_quality_suite(Broken(), str(tmp_path))
+    assert (out["overall_status"], out["exit_code"], out["error"]) == ("ERROR", 2, "no views")
+
+
+def test_report_document(spark):
+    import datetime
+
+    checks = spark.createDataFrame(
+        [("a", "x", "1", "PASS"), ("a", "y", "2", "FAIL"), ("b", "z", "3", None)],
+        "category string, check_name string, measured string, status string",
+    )
+    row = jobs.report_document(checks, {"overall_status": "FAIL"}, datetime.datetime(2025, 1, 1)).first()
+    assert (row.timestamp, row.overall_status, row.total_checks, row.total_failed) == ("2025-01-01T00:00:00", "FAIL", 3, 1)
+    assert [(c.category, c.checks, len(c.details)) for c in row.categories] == [("a", 2, 2), ("b", 1, 1)]
