@@ -132,6 +132,19 @@ class LendingCatalog:
             "v_risk_model_base": self.risk_model_base,
         }
 
+    def counted_views(self) -> dict[str, DataFrame]:
+        """All views for counting, which reads no fitted decile."""
+        return {
+            **self.clean_views(),
+            "v_user_funnel_base": self.funnel_base,
+            "v_funnel_by_segment": self.segments,
+            "v_user_experiment_assignments": self.user_assignments,
+            "v_loans_with_experiments": self.loans_with_arms,
+            "v_fct_transactions_for_risk": self.transactions_for_risk,
+            "v_user_prior_loan_perf": self.prior_performance,
+            "v_risk_model_base": self.risk_model_base,
+        }
+
     def views(self) -> dict[str, DataFrame]:
         return {
             "v_dim_users_clean": self.users,

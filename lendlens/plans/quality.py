@@ -375,27 +375,13 @@ def all_checks(base: dict[str, DataFrame], views: dict[str, DataFrame],
     ])
 
 
-def _summary_checks(base: dict[str, DataFrame], views: dict[str, DataFrame],
-                    rows: dict[str, DataFrame], as_of) -> DataFrame:
-    rec = reconciliation(base, views)
-
-    def of(df: DataFrame, category: str, status: str) -> DataFrame:
-        return df.select(F.lit(category).alias("check_category"), F.col(status).alias("status"))
-
-    return union_all([
-        of(rec, SUMMARY_LABELS["row_count_reconciliation"], "row_count_check"),
-        of(rec, SUMMARY_LABELS["unique_key_reconciliation"], "unique_key_check"),
-        of(null_keys(rows), SUMMARY_LABELS["null_key_checks"], "null_check"),
-        of(referential_integrity(rows), SUMMARY_LABELS["referential_integrity"],
-           "integrity_check"),
-        of(business_rules(rows, as_of), SUMMARY_LABELS["business_rules"], "rule_check"),
-    ])
-
-
-def summary(base: dict[str, DataFrame], views: dict[str, DataFrame],
-            rows: dict[str, DataFrame], as_of=None) -> DataFrame:
+def summary(checks: DataFrame) -> DataFrame:
     """Checks per category and status, over the five categories of the summary view."""
-    return _summary_checks(base, views, rows, as_of).groupBy("check_category", "status").agg(
+    label = F.lit(None).cast("string")
+    for category, shown in SUMMARY_LABELS.items():
+        label = F.when(F.col("category") == category, shown).otherwise(label)
+    labelled = checks.select(label.alias("check_category"), "status").where("check_category is not null")
+    return labelled.groupBy("check_category", "status").agg(
         F.count(F.lit(1)).alias("check_count")
     ).withColumn(
         "status_icon",
@@ -403,27 +389,27 @@ def summary(base: dict[str, DataFrame], views: dict[str, DataFrame],
     ).orderBy("check_category", "status")
 
 
-def dashboard(base: dict[str, DataFrame], views: dict[str, DataFrame],
-              rows: dict[str, DataFrame], as_of=None) -> DataFrame:
+def dashboard(checks: DataFrame, risk_model_base: DataFrame) -> DataFrame:
     """Views counted, risk coverage, failed and passed checks."""
-    risk = views["v_risk_model_base"].agg(
+    risk = risk_model_base.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("txn_info_found") == 1).alias("found")
     )
-    checks = summary(base, views, rows, as_of).agg(*[
-        F.sum(F.when(F.col("status") == s, F.col("check_count")).otherwise(F.lit(0))).alias(s)
-        for s in ("FAIL", "PASS")
+    in_summary = checks.where(F.col("category").isin(list(SUMMARY_LABELS)))
+    counted = in_summary.agg(*[
+        F.coalesce(F.count_if(F.col("status") == s), F.lit(0)).alias(s) for s in ("FAIL", "PASS")
     ])
-    def row(df: DataFrame, section: str, metric: str, value: Column) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
-                         value.cast("double").alias("value"))
-
-    return union_all([
-        row(risk, "CANONICAL VIEWS", "Total Views Created", F.lit(len(views))),
-        row(risk, "DATA COVERAGE", "Risk Model Coverage %",
-            percent(F.col("found"), F.col("n"), 1)),
-        row(checks, "DATA QUALITY", "Failed Checks", F.col("FAIL")),
-        row(checks, "DATA QUALITY", "Passed Checks", F.col("PASS")),
-    ]).orderBy("section", "metric")
+    counted = counted.select(F.explode(F.array(*[
+        F.struct(F.lit("DATA QUALITY").alias("section"), F.lit(f"{name} Checks").alias("metric"),
+                 F.col(s).cast("double").alias("value"))
+        for s, name in (("FAIL", "Failed"), ("PASS", "Passed"))
+    ])).alias("r")).select("r.*")
+    covered = risk.select(F.explode(F.array(
+        F.struct(F.lit("CANONICAL VIEWS").alias("section"), F.lit("Total Views Created").alias("metric"),
+                 F.lit(len(VIEW_KEYS)).cast("double").alias("value")),
+        F.struct(F.lit("DATA COVERAGE").alias("section"), F.lit("Risk Model Coverage %").alias("metric"),
+                 percent(F.col("found"), F.col("n"), 1).cast("double").alias("value")),
+    )).alias("r")).select("r.*")
+    return covered.unionByName(counted).orderBy("section", "metric")
 
 
 def report(checks: DataFrame) -> DataFrame:

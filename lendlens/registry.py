@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import rounded
 from lendlens.operators import score
+from lendlens.operators.cache import written
 from lendlens.operators.dedupe import repair_duplicates, with_row_position
 from lendlens.plans import (
     dashboard, effects, experiments, extra_features, funnel, history, metrics, policy, quality,
@@ -169,7 +170,7 @@ _add("risk_model_base", lambda c: c.risk_model_base, 5)
 
 # data quality
 _add("dq_row_counts", lambda c: quality.row_counts(c.base))
-_add("dq_canonical_view_counts", lambda c: quality.view_counts(c.views()))
+_add("dq_canonical_view_counts", lambda c: quality.view_counts(c.counted_views()))
 _add("dq_row_count_reconciliation", lambda c: quality.reconciliation(c.base, c.clean_views()))
 _add("dq_null_key_checks", lambda c: quality.null_keys(c.row_views()))
 _add("dq_referential_integrity", lambda c: quality.referential_integrity(c.row_views()))
@@ -187,10 +188,8 @@ _add("dq_distribution_checks", lambda c: quality.distribution(c.users_enriched))
 _add("dq_risk_model_coverage", lambda c: quality.risk_coverage(c.risk_model_base))
 _add("dq_funnel_completeness", lambda c: quality.funnel_completeness(c.funnel_base))
 _add("dq_business_rules", lambda c: quality.business_rules(c.row_views(), AS_OF))
-_add("dq_summary_report", lambda c: quality.summary(
-    c.base, c.clean_views(), c.row_views(), AS_OF))
-_add("dq_dashboard", lambda c: quality.dashboard(
-    c.base, c.views(), c.row_views(), AS_OF))
+_add("dq_summary_report", lambda c: quality.summary(_checks(c)))
+_add("dq_dashboard", lambda c: quality.dashboard(_checks(c), c.risk_model_base))
 _add("dq_report", lambda c: quality.report(_checks(c)))
 _add("dq_failed_checks", lambda c: quality.failed(_checks(c)), 6)
 _add("dq_overall_status", lambda c: quality.overall_status(_checks(c)))
@@ -198,8 +197,15 @@ _add("dq_load_checks", lambda c: quality.load_checks(c.base))
 _add("dq_contracts", lambda c: quality.contracts(c.loans_enriched, c.users_enriched, 250.0))
 
 
+@lru_cache(maxsize=2)
+def _kept_checks(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
+    c = LendingCatalog.from_testdata(spark, sf_dir)
+    return written(quality.all_checks(c.base, c.check_views(), c.row_views(), AS_OF))
+
+
 def _checks(c: LendingCatalog) -> DataFrame:
-    return quality.all_checks(c.base, c.check_views(), c.row_views(), AS_OF)
+    """The check rows, a few dozen, computed once per application for all reports made from them."""
+    return _kept_checks(c.spark, c.spark.sparkContext.applicationId, c.sf_dir)
 
 
 # adjusted effects
