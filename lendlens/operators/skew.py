@@ -4,7 +4,9 @@
 split a window partition. The operators here replace such windows:
 
 * whole-group values: partial aggregation, then a join AQE may split;
-* running values: two levels, (key, hour) groups plus a prefix over the hours.
+* row numbers: positions in one range-partitioned order of all rows;
+* running values: rows of one instant merged, (key, hour) groups of instants, and a
+  prefix over the hours.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendlens.operators.position import with_row_position
+
 
 def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Null-safe equi-join that keeps the left keys only."""
@@ -30,46 +34,19 @@ def attach_group(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFr
     return join_back(df, totals, keys)
 
 
-def ordered_index(
-    df: DataFrame, key: str, ts: str, tie: str, name: str, unit: str = "HOUR"
-) -> DataFrame:
+def ordered_index(df: DataFrame, key: str, ts: str, tie: str, name: str) -> DataFrame:
     """``row_number() OVER (PARTITION BY key ORDER BY ts, tie)`` without a per-key task.
 
-    Rows are numbered inside (key, calendar unit), after the number of rows in the
-    key's earlier units. With hours a key owning a third of the rows, a third of
-    them on one day, still leaves less than a hundredth to one task. The number of
-    earlier rows comes from a prefix over unit counts, whose window holds one row
-    per unit a key was active in, so its size is bounded by the calendar. It
-    travels to its (key, unit) group as one more row, which costs no join: the
-    wide rows are shuffled once.
+    Rows are numbered over the whole table in the order of key, time and tie, by
+    range partitions that cut anywhere, also among rows of one key at one instant.
+    A key's numbers then start at its first position, which is a map-side minimum
+    joined back.
     """
-    columns = df.columns
-    unit_of = F.date_trunc(unit, F.col(ts).cast("timestamp"))
-    rows = df.withColumns({"__unit": unit_of, "__before": F.lit(None).cast("long")})
-    earlier = rows.groupBy(key, "__unit").agg(F.count(F.lit(1)).alias("__n")).select(
-        key, "__unit",
-        F.coalesce(
-            F.sum("__n").over(
-                Window.partitionBy(key).orderBy(F.col("__unit").asc_nulls_last())
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__before"),
-    )
-    group = Window.partitionBy(key, "__unit")
-    # the offset row sorts first and takes number 0
-    within = group.orderBy(
-        F.col("__before").asc_nulls_last(), F.col(ts).asc_nulls_last(),
-        F.col(tie).asc_nulls_last(),
-    )
-    return (
-        rows.unionByName(earlier, allowMissingColumns=True)
-        .withColumn("__local", F.row_number().over(within) - 1)
-        .withColumn("__offset", F.first("__before").over(within))
-        .where(F.col("__before").isNull())
-        .withColumn(name, F.col("__offset") + F.col("__local"))
-        .select(*columns, name)
-    )
+    placed = with_row_position(df, [key, ts, tie], "__index")
+    first = placed.groupBy(key).agg(F.min("__index").alias("__first"))
+    return join_back(placed, first, [key]).withColumn(
+        name, F.col("__index") - F.col("__first") + 1
+    ).select(*df.columns, name)
 
 
 def sums_before(
@@ -77,35 +54,35 @@ def sums_before(
 ) -> DataFrame:
     """Replace ``columns`` by their sums over strictly earlier rows of the same key.
 
-    Equal timestamps do not see each other; rows without key or timestamp have
-    nothing before them. The rows are shuffled once, to (key, calendar unit): sums
-    inside the unit come from a range frame, those of earlier units from a prefix
-    over unit totals, which holds one row per unit a key was active.
+    Equal timestamps do not see each other, so rows of one key and instant have
+    the same sums: they are merged before the shuffle, and get the sums back by
+    a join that adaptive execution may split. Sums run over the instants of a
+    calendar unit, after a prefix over the totals of earlier units; either window
+    holds one row per instant or unit, however many rows share it. Rows without
+    key or timestamp have nothing before them.
     """
-    placed = rows.withColumns({
-        "__unit": F.date_trunc(unit, F.col(ts).cast("timestamp")),
-        "__at": F.unix_micros(F.col(ts).cast("timestamp")),
-    })
-    over_units = (
-        Window.partitionBy(key).orderBy("__unit").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = (
-        placed.where(F.col(key).isNotNull() & F.col("__unit").isNotNull())
-        .groupBy(key, "__unit").agg(*[F.sum(c).alias(c) for c in columns])
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    placed = rows.withColumn("__at", at)
+    merged = (
+        placed.where(F.col(key).isNotNull() & F.col("__at").isNotNull())
+        .groupBy(key, F.date_trunc(unit, F.col(ts).cast("timestamp")).alias("__unit"), "__at")
+        .agg(*[F.sum(c).alias(c) for c in columns])
     )
+    up_to = (Window.unboundedPreceding, -1)
+    over_units = Window.partitionBy(key).orderBy("__unit").rowsBetween(*up_to)
+    totals = merged.groupBy(key, "__unit").agg(*[F.sum(c).alias(c) for c in columns])
     prefix = totals.select(
         key, "__unit", *[F.sum(c).over(over_units).alias(f"__p_{c}") for c in columns]
     )
-    in_unit = (
-        Window.partitionBy(key, "__unit").orderBy("__at")
-        .rangeBetween(Window.unboundedPreceding, -1)
+    in_unit = Window.partitionBy(key, "__unit").orderBy("__at").rowsBetween(*up_to)
+    local = merged.select(
+        key, "__unit", "__at", *[F.sum(c).over(in_unit).alias(f"__l_{c}") for c in columns]
     )
-    local = placed.withColumns({f"__l_{c}": F.sum(c).over(in_unit) for c in columns})
-    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    earlier = local.join(prefix, [key, "__unit"], "left").drop("__unit")
 
     def before(c: str) -> Column:
         total = F.coalesce(f"__p_{c}", F.lit(0)) + F.coalesce(f"__l_{c}", F.lit(0))
-        return F.when(known, total).otherwise(F.lit(0)).alias(c)
+        return total.alias(c)
 
     kept = [c for c in rows.columns if c not in columns]
-    return local.join(prefix, [key, "__unit"], "left").select(*kept, *[before(c) for c in columns])
+    return placed.join(earlier, [key, "__at"], "left").select(*kept, *[before(c) for c in columns])

@@ -105,13 +105,13 @@ class LendingCatalog:
         )
 
     def clean_views(self) -> dict[str, DataFrame]:
-        """The five cleaned tables, users without the decile."""
+        """The five cleaned tables with all their joins, without columns that are fitted eagerly."""
         return {
             "v_dim_users_clean": self.users_enriched,
             "v_fct_transactions_clean": self.transactions,
             "v_fct_loans_clean": self.loans,
-            "v_ab_assignments_clean": self.assignments,
-            "v_fct_sessions_clean": self.sessions,
+            "v_ab_assignments_clean": clean.grouped_assignments(self.base["ab_assignments"]),
+            "v_fct_sessions_clean": clean.grouped_sessions(self.base["fct_sessions"]),
         }
 
     def row_views(self) -> dict[str, DataFrame]:

@@ -121,15 +121,19 @@ def enrich_assignments(assignments: DataFrame) -> DataFrame:
     })
 
 
-def clean_assignments(assignments: DataFrame) -> DataFrame:
-    numbered = ordered_index(
-        enrich_assignments(assignments), "user_id", "assigned_at", "assignment_id",
-        "assignment_order",
-    )
-    counted = attach_group(numbered, ["user_id"], __n=F.count(F.lit(1)))
+def grouped_assignments(assignments: DataFrame) -> DataFrame:
+    """Assignments with their per-user columns, without the order, which is fitted eagerly."""
+    counted = attach_group(enrich_assignments(assignments), ["user_id"], __n=F.count(F.lit(1)))
     return counted.withColumn("multi_test_user", flag(F.col("__n") > 1)).drop("__n")
 
 
+def clean_assignments(assignments: DataFrame) -> DataFrame:
+    grouped = grouped_assignments(assignments)
+    numbered = ordered_index(grouped, "user_id", "assigned_at", "assignment_id", "assignment_order")
+    *columns, last = grouped.columns
+    return numbered.select(*columns, "assignment_order", last)
+
+
 def enrich_sessions(sessions: DataFrame) -> DataFrame:
     """Row-level session columns: calendar parts, funnel flags, screen bucket."""
     ts, screen = F.col("ts"), F.col("screen")
@@ -147,14 +151,22 @@ def enrich_sessions(sessions: DataFrame) -> DataFrame:
     })
 
 
-def clean_sessions(sessions: DataFrame) -> DataFrame:
-    enriched = enrich_sessions(sessions)
-    numbered = ordered_index(enriched, "user_id", "ts", "event_id", "event_order")
+def grouped_sessions(sessions: DataFrame) -> DataFrame:
+    """Events with their per-session columns, without the order, which is fitted eagerly."""
     spans = attach_group(
-        numbered, ["session_id"],
+        enrich_sessions(sessions), ["session_id"],
         __start=F.min("ts"), __end=F.max("ts"), events_per_session=F.count(F.lit(1)),
     )
-    return spans.withColumns({
-        "is_first_event": flag(F.col("event_order") == 1),
-        "session_duration_sec": seconds_between(F.col("__start"), F.col("__end")),
-    }).drop("__start", "__end")
+    return spans.withColumn(
+        "session_duration_sec", seconds_between(F.col("__start"), F.col("__end"))
+    ).drop("__start", "__end")
+
+
+def clean_sessions(sessions: DataFrame) -> DataFrame:
+    grouped = grouped_sessions(sessions)
+    numbered = ordered_index(grouped, "user_id", "ts", "event_id", "event_order")
+    own = [c for c in grouped.columns if c not in ("events_per_session", "session_duration_sec")]
+    return numbered.select(
+        *own, "event_order", "events_per_session",
+        flag(F.col("event_order") == 1).alias("is_first_event"), "session_duration_sec",
+    )

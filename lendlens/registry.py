@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from lendlens.functions import rounded
 from lendlens.operators import score
 from lendlens.operators.cache import written
-from lendlens.operators.dedupe import repair_duplicates, with_row_position
+from lendlens.operators.dedupe import repair_duplicates
+from lendlens.operators.position import with_row_position
 from lendlens.plans import (
-    dashboard, effects, experiments, extra_features, funnel, history, metrics, policy, quality,
+    clean, dashboard, effects, experiments, extra_features, funnel, history, metrics, policy, quality,
     risk_base, risk_model,
 )
 from lendlens.plans.catalog import LendingCatalog
@@ -181,7 +182,7 @@ _add("dq_loan_validations", lambda c: quality.validations(
 _add("dq_user_validations", lambda c: quality.validations(
     c.users_enriched, quality.user_checks()))
 _add("dq_session_validations", lambda c: quality.validations(
-    c.sessions, quality.session_checks()))
+    clean.grouped_sessions(c.base["fct_sessions"]), quality.session_checks()))
 _add("dq_ab_test_validations", lambda c: quality.validations(
     c.assignments_enriched, quality.assignment_checks(AS_OF)))
 _add("dq_distribution_checks", lambda c: quality.distribution(c.users_enriched))

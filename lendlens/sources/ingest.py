@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lendlens.functions import coerced, round_half_away
-from lendlens.operators.dedupe import repair_duplicates, with_file_position
+from lendlens.operators.dedupe import repair_duplicates
+from lendlens.operators.position import with_file_position
 from lendlens.schemas import REQUIRED_COLUMNS, TABLES
 
 log = logging.getLogger(__name__)

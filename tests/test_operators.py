@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lendlens.operators.asof import latest_before
-from lendlens.operators.dedupe import repair_duplicates, with_row_position
+from lendlens.operators.dedupe import repair_duplicates
+from lendlens.operators.position import with_row_position
 from lendlens.operators.ntile import fit_ntile, ntile_bucket
 from lendlens.operators.quantile import exact_quantiles
 from lendlens.operators.skew import attach_group, ordered_index, sums_before
@@ -35,15 +36,29 @@ def events(spark):
     ).cache()
 
 
-@pytest.mark.parametrize("unit", ["DAY", "HOUR", "MINUTE"])
-def test_ordered_index_equals_row_number(events, unit):
+def test_ordered_index_equals_row_number(events):
     w = Window.partitionBy("user").orderBy(F.asc_nulls_last("ts"), "id")
     want = events.withColumn("want", F.row_number().over(w))
-    got = ordered_index(want, "user", "ts", "id", "got", unit)
+    got = ordered_index(want, "user", "ts", "id", "got")
     assert got.count() == events.count()
     assert got.where("got <> want").count() == 0
 
 
+def test_one_instant_is_numbered_by_several_tasks(spark):
+    """All rows of one user at one timestamp."""
+    rows = spark.range(20_000).select(
+        F.col("id"), F.lit(1).alias("user"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+        F.lit(1.0).alias("v"),
+    )
+    placed = with_row_position(rows, ["user", "ts", "id"], "n")
+    sizes = [r["count"] for r in placed.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 3 and max(sizes) < 10_000
+    got = ordered_index(rows, "user", "ts", "id", "n")
+    assert got.where("n <> id + 1").count() == 0 and got.count() == 20_000
+    # they do not see each other, and take one row each through the windows
+    assert sums_before(rows, "user", "ts", ["v"]).agg(F.sum("v")).first()[0] == 0
+
+
 def test_attach_group_keeps_null_groups(events):
     w = Window.partitionBy("user")
     want = events.withColumn("want", F.sum("v").over(w))
