@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from lendlens.schemas import TABLES
+
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
 ARMS = ["control", "persuasive", "social_proof"]
 
@@ -596,8 +598,22 @@ SELECT dataset, rows, columns FROM (
   UNION ALL SELECT 'ab_assignments', count(*), 5 FROM ab)
 UNION ALL SELECT 'TOTAL', (SELECT sum(row_count)::BIGINT FROM qb), NULL""")
 expect("table_row_counts", "SELECT table_name, row_count FROM qb")
+
+
+def _row_json(table: str) -> str:
+    shown = {
+        "double": "{}::DECIMAL(18,4)::VARCHAR", "timestamp_ntz": "strftime({}, '%Y-%m-%d %H:%M:%S')",
+    }
+    pairs = [
+        f"'{f.name}', coalesce({shown.get(f.dataType.typeName(), '{}::VARCHAR').format(f.name)}, '')"
+        for f in TABLES[table][1].fields
+    ]
+    return f"json_object({', '.join(pairs)})::VARCHAR"
+
+
 expect("table_samples", _union([
-    f"(SELECT '{t}' AS table_name, {k}::VARCHAR AS key FROM {cte} ORDER BY {k} LIMIT 3)"
+    f"(SELECT '{t}' AS table_name, {k}::VARCHAR AS key, {_row_json(t)} AS row_json"
+    f" FROM {cte} ORDER BY {k} LIMIT 3)"
     for t, cte, k in BASE
 ]))
 expect("top_provinces", """

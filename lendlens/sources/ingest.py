@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,14 +167,26 @@ def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     }
 
 
+def _shown(f: T.StructField) -> Column:
+    """A value as text for a sample: four decimals, seconds, blank for NULL."""
+    c = F.col(f.name)
+    if isinstance(f.dataType, T.DoubleType):
+        c = c.cast("decimal(18,4)")
+    elif isinstance(f.dataType, T.TimestampNTZType):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
 def samples(tables: dict[str, DataFrame], n: int) -> DataFrame:
     """The first n keys of every table with their row as JSON (a top-k per table)."""
     from lendlens.plans.quality import union_all
 
     def first(table: str) -> DataFrame:
         key = TABLES[table][2]
-        return tables[table].orderBy(key).limit(n).select(
-            F.lit(table).alias("table_name"), F.col(key).cast("string").alias("key")
+        rows = tables[table].orderBy(key).limit(n)
+        return rows.select(
+            F.lit(table).alias("table_name"), F.col(key).cast("string").alias("key"),
+            F.to_json(F.struct(*[_shown(f).alias(f.name) for f in rows.schema.fields])).alias("row_json"),
         )
 
     return union_all([first(t) for t in TABLES])
