@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from lendlens.oracle_fits import logit_ame, ols_hc1
 from lendlens.schemas import TABLES
 
 AS_OF = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -275,6 +276,12 @@ SELECT loan_id, user_id, amount, revenue, tip_amount, pnl, is_default, is_repaid
 FROM lc JOIN ua USING (user_id) JOIN uc USING (user_id)"""
 CTES["lt"] = """
 SELECT * FROM le WHERE is_disbursed = 1 AND tip_test_group <> 'not_assigned'"""
+CTES["ef"] = """
+SELECT tip_test_group, price_test_group, risk_score_decile, province, amount, tip_amount, revenue, is_default,
+       (tip_amount > 0)::INT AS tip_taken FROM lt"""
+CTES["ei"] = """
+SELECT price_test_group || '_' || tip_test_group AS arm, risk_score_decile, province, amount, revenue
+FROM ef WHERE price_test_group IN ('A', 'B')"""
 CTES["la"] = "SELECT * FROM le WHERE is_disbursed = 1 AND price_test_group = 'A'"
 CTES["nm"] = """
 SELECT tip_test_group, count(*) AS loans, avg((tip_amount > 0)::INT) AS tip_take_rate,
@@ -876,6 +883,40 @@ SELECT stratum, effect, sqrt(variance) AS std_err, n FROM st
 UNION ALL SELECT 'pooled', sum(effect / variance) / sum(1 / variance), sqrt(1 / sum(1 / variance)),
                  sum(n)::BIGINT FROM st WHERE variance > 0""", "effect std_err")
 
+# adjusted effects
+TERMS = {"tip_test_group": "control", "price_test_group": "A", "risk_score_decile": None, "province": None}
+
+
+def _effect_rows(metric: str, unit: str, fit: str, scale: int) -> str:
+    return (
+        f"SELECT '{metric}' AS metric, split_part(term, '=', 2) AS tip_variant, {scale} * effect AS effect,"
+        f" {scale} * ci_low AS ci_low, {scale} * ci_high AS ci_high, p_value, '{unit}' AS unit"
+        f" FROM ({fit}) WHERE term LIKE 'tip_test_group=%'"
+    )
+
+
+OLS = _union([
+    _effect_rows("Mean tip ($)", "$", ols_hc1("ef", "tip_amount", TERMS, "amount"), 1),
+    _effect_rows("RPDL ($)", "$", ols_hc1("ef", "revenue", TERMS, "amount"), 1),
+])
+LOGIT = _union([
+    _effect_rows("Take-rate (AME)", "pp", logit_ame("ef", "tip_taken", TERMS, "amount"), 100),
+    _effect_rows("Default (AME)", "pp", logit_ame("ef", "is_default", TERMS, "amount"), 100),
+])
+FITTED = "effect ci_low ci_high p_value"
+expect("experiment_ols_hc1", OLS, FITTED)
+expect("experiment_logit_ame", LOGIT, FITTED)
+expect("experiment_interaction", f"""
+SELECT split_part(term, '=', 2) AS combination, effect, std_err, p_value
+FROM ({ols_hc1("ei", "revenue", {"arm": "A_control", "risk_score_decile": None, "province": None}, "amount")})
+WHERE term LIKE 'arm=%'""", "effect std_err p_value")
+_SHOWN = ", ".join(
+    f"CASE WHEN unit = 'pp' THEN round(round({c}, 3), 1) ELSE round(round({c}, 3), 2) END AS {c}"
+    for c in ("effect", "ci_low", "ci_high")
+)
+expect("experiment_effects", f"""
+SELECT metric, tip_variant, {_SHOWN}, round(p_value, 3) AS p_value, unit FROM ({_union([OLS, LOGIT])})""")
+
 # dashboard
 expect("dash_user_funnel", "FROM du")
 expect("dash_experiment_loans", "FROM de", "amount tip_amount revenue")

@@ -210,13 +210,13 @@ def _checks(c: LendingCatalog) -> DataFrame:
 
 
 # adjusted effects
-_add("experiment_ols_hc1", lambda c: effects.ols_effects(c.loans_with_experiments))
-_add("experiment_logit_ame", lambda c: effects.logit_effects(c.loans_with_experiments))
+_add("experiment_ols_hc1", lambda c: effects.ols_effects(c.loans_with_experiments), 6)
+_add("experiment_logit_ame", lambda c: effects.logit_effects(c.loans_with_experiments), 6)
 _add("experiment_effects", lambda c: effects.effects_table(c.loans_with_experiments))
 _add("experiment_heterogeneity", lambda c: effects.heterogeneity(c.loans_with_experiments))
 _add("experiment_flags", lambda c: effects.effect_flags(
     effects.heterogeneity(c.loans_with_experiments)))
-_add("experiment_interaction", lambda c: effects.interaction_model(c.loans_with_experiments))
+_add("experiment_interaction", lambda c: effects.interaction_model(c.loans_with_experiments), 6)
 
 # risk model; the score operators run on the given risk score, which any engine can repeat
 SCORE = "baseline_risk_score"

@@ -9,9 +9,7 @@ from lendlens.registry import QUERIES
 
 # fitted models: their numbers are checked in test_regression and test_risk_model
 WITHOUT_SQL = {
-    "experiment_ols_hc1", "experiment_logit_ame", "experiment_effects",
-    "experiment_heterogeneity", "experiment_flags", "experiment_interaction",
-    "risk_model_cv", "risk_coefficients", "risk_model_eval",
+    "experiment_heterogeneity", "experiment_flags", "risk_model_cv", "risk_coefficients", "risk_model_eval",
 }
 
 
