@@ -51,11 +51,16 @@ class Hasher:
         self.up = self.down = np.ones(0, dtype=np.uint64)
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
+        """A hash of each run of bytes."""
+        return self.runs(self.values[data], start, end)
+
+    def runs(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of each run of 64-bit values."""
+        n = len(values) + 1
         if len(self.up) < n:
-            self.up, self.down = _powers(self.base, 2 * n), _powers(self.inverse, 2 * n)
+            self.up, self.down = _powers(self.base, n + n // 4), _powers(self.inverse, n + n // 4)
         total = np.zeros(n, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.up[: n - 1], out=total[1:])
+        np.cumsum(values * self.up[: n - 1], out=total[1:])
         return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64) * _ODD)
 
 
@@ -70,12 +75,21 @@ class Words:
     end: np.ndarray
     row: np.ndarray  # the text of each word
     first: np.ndarray  # first word of each text, and the number of words at the end
+    apart: np.ndarray | None = None
 
     def hashes(self, hasher: Hasher = HASH) -> np.ndarray:
         return hasher.of(self.data, self.start, self.end)
 
     def text(self, begin: int, end: int) -> bytes:
         """Words joined by one space."""
+        if self.apart is None:
+            # how many of the words so far do not follow their predecessor after one space
+            odd = np.ones(len(self.start), dtype=np.int64)
+            near = self.start[1:] == self.end[:-1] + 1
+            odd[1:][near] = self.data[self.end[:-1][near]] != 0x20
+            self.apart = np.cumsum(odd)
+        if end > begin and self.apart[end - 1] == self.apart[begin]:
+            return self.data[self.start[begin] : self.end[end - 1]].tobytes()
         return b" ".join([self.data[s:e].tobytes() for s, e in zip(self.start[begin:end], self.end[begin:end])])
 
 
