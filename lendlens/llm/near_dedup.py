@@ -10,12 +10,15 @@ such signatures an equal key: no pair within the radius is missed. Similarity
 mostly found too, as some chunk is usually better than the average: one with
 similarity 0.75 stays unseen once in ten million.
 
-Equal keys only propose. Shared keys link each document to the smallest one of
-the key (never all pairs), links are confirmed on the full shingle sets, and
-their components are merged. Where a key still holds documents of different
-components, all its pairs across components are compared by distance and then
-confirmed, so a document that differs from the smallest one of its key is not
-lost. Documents with equal shingle sets are one class with one representative.
+Equal keys only propose. Shared keys link each document to one leader of the key
+(never all pairs), links are confirmed on the full shingle sets, and their
+components are merged: first with the smallest id as the leader, then in a few
+rounds, for keys that still hold several components, with a member of the
+largest one. What is then still apart under one key is compared pair by pair,
+each pair once: by a longer sketch of SKETCH positions of 2 bits, which is a few
+bit operations inside the join, and by the full sets. So a document that
+differs from all leaders but not from another document is not lost. Documents
+with equal shingle sets are one class with one representative.
 """
 
 from __future__ import annotations
@@ -37,12 +40,15 @@ CHUNKS, CHUNK = 16, 5
 POSITIONS = CHUNKS * CHUNK
 ERRORS = 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1  # within it, no pair is missed
-# pairs across components are confirmed up to this distance: 5.3 deviations above the mean of 0.75
-COMPARED = 41
+ROUNDS = 3  # further leaders of a key before its pairs are compared one by one
+# sketches of similarity 0.75 differ in 96 positions on average, with a deviation of 8.8
+SKETCH, SKETCH_RADIUS = 512, 142
+PLANES = 2 * SKETCH // 64
+PACKED = CHUNKS + CHUNKS // 4  # 64-bit words of a signature
 
 _RNG = np.random.default_rng(29)
-_FACTOR = (_RNG.integers(0, 2**31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
-_ADD = _RNG.integers(0, 2**32, POSITIONS, dtype=np.uint32)
+_FACTOR = _RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, SKETCH, dtype=np.uint32)
 _KEY_SALT = _RNG.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
@@ -70,21 +76,39 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signatures(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of POSITIONS 16-bit symbols for each non-empty set."""
+def signatures(flat: np.ndarray, offsets: np.ndarray, positions: int = POSITIONS) -> np.ndarray:
+    """A row of 16-bit symbols for each non-empty set."""
     full = np.flatnonzero(np.diff(offsets))
-    out = np.zeros((len(full), POSITIONS), dtype=np.uint16)
+    out = np.zeros((len(full), positions), dtype=np.uint16)
     if len(full):
         x = (flat >> np.uint64(32)).astype(np.uint32)
         begin = offsets[full]
-        for k in range(POSITIONS):
+        for k in range(positions):
             least = np.minimum.reduceat(x * _FACTOR[k] + _ADD[k], begin)
             out[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
+def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of 64-bit words for each non-empty set.
+
+    PLANES words hold the low bits of the sketch's symbols and then the next ones.
+    The rest holds the signature: the first four symbols of each chunk, then the
+    fifth ones of four chunks each.
+    """
+    symbols = signatures(flat, offsets, SKETCH)
+    planes = [np.packbits((symbols >> bit & 1).astype(np.uint8), axis=1) for bit in (np.uint16(0), np.uint16(1))]
+    chunks = symbols[:, :POSITIONS].reshape(-1, CHUNKS, CHUNK)
+    four, fifth = np.ascontiguousarray(chunks[:, :, :4]), np.ascontiguousarray(chunks[:, :, 4])
+    words_ = [np.concatenate(planes, axis=1).view(np.int64), four.reshape(len(symbols), -1).view(np.int64), fifth.view(np.int64)]
+    return np.concatenate(words_, axis=1)
+
+
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
-    """Keys of each signature: each chunk with each choice of one position left out."""
+    """Keys of each signature: each chunk with each choice of one position left out.
+
+    The low 7 bits of a key say which choice it is.
+    """
     s = signature.reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
     keys = np.empty((len(s), CHUNKS, CHUNK), dtype=np.uint64)
     for out in range(CHUNK):
@@ -92,8 +116,9 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
         for j in range(CHUNK):
             if j != out:
                 packed = (packed << np.uint64(16)) | s[:, :, j]
-        keys[:, :, out] = mix(mix(packed) ^ _KEY_SALT[:, out])
-    return keys.reshape(len(s), -1)
+        keys[:, :, out] = mix(packed ^ _KEY_SALT[:, out])
+    keys = keys.reshape(len(s), -1)
+    return (keys & ~np.uint64(127)) | np.arange(keys.shape[1], dtype=np.uint64)
 
 
 def _sketch(id_col: str, text_col: str):
@@ -151,17 +176,100 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar; ids of docs are unique."""
-    one = docs.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
-    two = docs.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
+SKETCHED = [*(f"plane{k}" for k in range(PLANES)), *(f"packed{k}" for k in range(PACKED))]
+
+
+def _involved(batches):
+    """Texts with their sketch as columns."""
+    for b in batches:
+        for begin in range(0, b.num_rows, 256):
+            piece = b.slice(begin, 256)
+            made = sketches(*shingle_sets(piece.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("id"), piece.column("text"), *(pa.array(made[:, k].copy()) for k in range(made.shape[1]))],
+                ["id", "text", *SKETCHED],
+            )
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are similar."""
+    one = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
+    two = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
     both = pairs.join(one, "b").join(two, "a").select("a", "a_text", "b", "b_text")
-    return both.mapInArrow(_confirm(percent), pairs.schema)
+    return written(both.mapInArrow(_confirm(percent), pairs.schema))
+
+
+def _differing(k: int) -> Column:
+    """A bit for each of the four symbols of a packed word that differ between a and b."""
+    x = F.col(f"packed{k}_a").bitwiseXOR(F.col(f"packed{k}_b"))
+    for shift in (8, 4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+    return x.bitwiseAND(F.lit(0x0001000100010001))
+
+
+def _first_shared() -> Column:
+    """Whether the key is the first that a and b share, as one pair may share many."""
+    slot = F.col("key").bitwiseAND(F.lit(127)).cast("int")
+    chunk, out = F.floor(slot / CHUNK).cast("int"), slot % CHUNK
+    found = F.lit(False)
+    for c in reversed(range(CHUNKS)):
+        fifth = F.shiftrightunsigned(_differing(CHUNKS + c // 4), 16 * (c % 4)).bitwiseAND(F.lit(1).cast("long"))
+        errors = F.bit_count(_differing(c)) + fifth.cast("int")
+        # without an error in the chunk each choice gives a shared key, and the first one is taken
+        found = F.when(errors <= ERRORS, (chunk == c) & ((errors > 0) | (out == 0))).otherwise(found)
+    return found
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, id, component) of the keys that hold several components."""
+    labelled = members.join(labels, "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("component")
+    )
+    keys = (
+        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low != high").select("key")
+    )
+    return written(labelled.join(keys, "key"))
+
+
+def _outside(apart: DataFrame, number: int) -> DataFrame:
+    """Members (key, id, component) outside their key's largest component, with a leader drawn from it."""
+    drawn = F.min(F.struct(F.xxhash64(F.lit(number), F.col("id")), F.col("id")))["id"]
+    parts = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), drawn.alias("leader"))
+    leaders = parts.groupBy("key").agg(F.max(F.struct("n", "leader", "component")).alias("top")).select(
+        "key", "top.leader", F.col("top.component").alias("own")
+    )
+    return apart.join(leaders, "key").filter("component != own").drop("own")
+
+
+def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids that share a key across components and have near sketches, each once.
+
+    One of the two is outside the key's largest component, so its members are not
+    compared with each other.
+    """
+    sketched = texts.select("id", *SKETCHED)
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(sketched, "id").select(
+            F.col("key") if name == "a" else F.col("key").alias("key_b"),
+            *(F.col(c).alias(f"{c}_{name}") for c in ["id", "component", *SKETCHED]),
+        )
 
+    one, two = side(_outside(apart, 0), "a"), side(apart, "b")
 
-def _distance(a: Column, b: Column) -> Column:
-    differ = F.zip_with(a, b, lambda x, y: F.when(x == y, 0).otherwise(1))
-    return F.aggregate(differ, F.lit(0), lambda n, x: n + x)
+    def differs(k: int) -> Column:
+        low = F.col(f"plane{k}_a").bitwiseXOR(F.col(f"plane{k}_b"))
+        high = F.col(f"plane{k + PLANES // 2}_a").bitwiseXOR(F.col(f"plane{k + PLANES // 2}_b"))
+        return F.bit_count(low.bitwiseOR(high))
+
+    distance = sum((differs(k) for k in range(1, PLANES // 2)), differs(0))
+    # one condition, so that the cheap tests come first
+    near = F.when(F.col("component_a") != F.col("component_b"), F.when(distance <= SKETCH_RADIUS, _first_shared()))
+    return (
+        one.join(two, (F.col("key") == F.col("key_b")) & F.coalesce(near, F.lit(False)))
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
@@ -176,12 +284,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col))
-    sketches = written(rows.mapInArrow(
+    sketched = written(rows.mapInArrow(
         _sketch(id_col, text_col), f"id {kind}, n bigint, digest binary, signature array<smallint>"
     ))
     # one representative for each distinct shingle set
     classes = written(
-        sketches.filter("n > 0 and id is not null").groupBy("digest")
+        sketched.filter("n > 0 and id is not null").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
     )
     keyed = classes.select(F.col("rep").alias("id"), "signature").mapInArrow(_keys, f"key bigint, id {kind}")
@@ -189,41 +297,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = written(keyed.join(leaders, "key").select("key", "id", "leader"))
 
     texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if_repeated = sketches.groupBy("id").count().filter("count > 1 and id is not null")
+    if_repeated = sketched.groupBy("id").count().filter("count > 1 and id is not null")
     if if_repeated.limit(1).count():  # a repeated id stands for one text: that of its class
         texts = texts.dropDuplicates(["id"])
+    texts = written(
+        texts.join(shared.select("id").distinct(), "id")
+        .mapInArrow(_involved, f"id {kind}, text string, " + ", ".join(f"{c} bigint" for c in SKETCHED))
+    )
     stars = shared.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_confirmed(stars, texts, percent))
+    links = _confirmed(stars, texts, percent)
     labels = components(links)
-
-    # keys that still hold several components: all pairs across them, by distance, then confirmed
-    labelled = shared.select("key", "id").join(labels, "id", "left").select(
-        "key", "id", F.coalesce("component", "id").alias("component")
-    )
-    open_keys = (
-        labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low != high").select("key")
-    )
-    contested = written(
-        labelled.join(open_keys, "key")
-        .join(classes.select(F.col("rep").alias("id"), "signature"), "id")
-        .select("key", "id", "component", "signature")
-    )
-    one, two = (contested.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "signature"))) for s in "ab")
-    across = (
-        one.join(two, "key")
-        .filter(F.col("component_a") < F.col("component_b"))
-        .filter(_distance(F.col("signature_a"), F.col("signature_b")) <= COMPARED)
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    )
-    further = written(_confirmed(across, texts, percent))
-    if further.limit(1).count():
-        labels = components(links.unionByName(further))
+    apart = _apart(shared.select("key", "id"), labels)
+    for number in range(ROUNDS):
+        led = _outside(apart, number).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        found = _confirmed(led, texts, percent)
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        labels = components(links)
+        apart = _apart(apart.select("key", "id"), labels)
+    found = _confirmed(_across(apart, texts), texts, percent)
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
 
     of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select(
         F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")
     )
-    out = sketches.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
+    out = sketched.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
