@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lendlens.llm.common import prepare
 from lendlens.operators.cache import written
 
-FREQUENT = 1 << 16  # words encoded once and looked up
+FREQUENT = 1 << 17  # words encoded once and looked up
 FREQUENT_BYTES = 48  # longer words are not kept in the literal map
 BUCKETS = 4096
 NONE = 2**31 - 1  # rank of a pair that is no token
@@ -63,41 +63,45 @@ def _looked_up(literal: Column, key: Column) -> Column:
 def _fold(word: Column, ranks: Column) -> Column:
     """Ids of a word of byte characters, merged pair by pair in the order of ranks."""
 
-    def rank(pair: Column) -> Column:
-        return F.coalesce(_looked_up(ranks, pair), F.lit(NONE))
+    def rank(one: Column, two: Column) -> Column:
+        return bind(F.concat(one, two), lambda pair: F.coalesce(_looked_up(ranks, pair), F.lit(NONE)))
+
+    # a state is an array of pieces, each with the rank of itself and its successor
+    def piece(text: Column, pair: Column) -> Column:
+        return F.struct(text.alias("piece"), pair.alias("rank"))
 
     def merge(state: Column, i: Column) -> Column:
-        # i is the place (from 1) of the first piece of the pair; ranks[i] belongs to pieces i and i + 1
-        pieces, pairs = state["pieces"], state["pairs"]
-
-        def merged(piece: Column) -> Column:
-            left = F.array(rank(F.concat(F.get(pieces, i - 2), piece)))
-            right = F.array(rank(F.concat(piece, F.get(pieces, i + 1))))
-            return F.struct(
-                F.concat(F.slice(pieces, F.lit(1), i - 1), F.array(piece), F.slice(pieces, i + 2, F.size(pieces))).alias("pieces"),
-                F.concat(
-                    F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), F.slice(left, F.lit(1), F.least(i - 1, F.lit(1))),
-                    right, F.slice(pairs, i + 2, F.size(pairs)),
-                ).alias("pairs"),
+        # i is the place (from 1) of the first piece of the pair
+        def merged(text: Column) -> Column:
+            before = F.get(state, i - 2)["piece"]
+            return F.concat(
+                F.slice(state, F.lit(1), F.greatest(i - 2, F.lit(0))),
+                F.when(i > 1, F.array(piece(before, rank(before, text)), piece(text, rank(text, F.get(state, i + 1)["piece"]))))
+                .otherwise(F.array(piece(text, rank(text, F.get(state, i + 1)["piece"])))),
+                F.slice(state, i + 2, F.size(state)),
             )
 
-        return bind(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), merged)
+        return bind(F.concat(F.get(state, i - 1)["piece"], F.get(state, i)["piece"]), merged)
 
     def step(state: Column, _: Column) -> Column:
-        return bind(F.array_min(state["pairs"]), lambda least: F.when(least == NONE, state).otherwise(
-            bind(F.array_position(state["pairs"], least).cast("int"), lambda i: merge(state, i))
+        # the least rank and its leftmost place as one number
+        places = F.transform(state, lambda p, k: F.shiftleft(p["rank"].cast("long"), 31).bitwiseOR(k.cast("long")))
+        return bind(F.array_min(places), lambda least: F.when(least >= F.lit(NONE << 31), state).otherwise(
+            bind(least.bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + 1, lambda i: merge(state, i))
         ))
 
-    def run(pieces: Column) -> Column:
-        pairs = F.transform(pieces, lambda p, k: rank(F.concat(p, F.get(pieces, k + 1))))
-        start = F.struct(pieces.alias("pieces"), pairs.alias("pairs"))
-        steps = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-        last = F.aggregate(steps, start, step)["pieces"]
-        return F.transform(last, lambda p: _looked_up(ranks, p))
+    def run(characters: Column) -> Column:
+        start = F.transform(characters, lambda p, k: piece(p, rank(p, F.get(characters, k + 1))))
+        steps = F.sequence(F.lit(1), F.greatest(F.size(characters) - 1, F.lit(1)))
+        last = F.aggregate(steps, start, step)
+        return F.transform(last, lambda p: _looked_up(ranks, p["piece"]))
+
+    def folded(text: Column) -> Column:
+        characters = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(text, k, F.lit(1)))
+        # a word that is a token as a whole is that token, whichever merges lead there
+        return bind(_looked_up(ranks, text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(bind(characters, run)))
 
-    characters = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.substring(word, k, F.lit(1)))
-    # a word that is a token as a whole is that token, whichever merges lead there
-    return bind(_looked_up(ranks, word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(bind(characters, run)))
+    return bind(word, folded)
 
 
 def _bytes(word: Column) -> Column:
