@@ -281,7 +281,8 @@ def remove_repeats(
         F.coalesce(F.col(id_col).cast("long"), least).alias("doc"), F.col(text_col).alias("text"),
     )
     filed = rows.mapInArrow(_file(n), "anchor bigint, digest bigint, doc bigint, place bigint")
-    recurring = filed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    # written, so that the join below has plain shuffles on both sides and a hot anchor can be split
+    recurring = written(filed.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"))
     # written, as two later steps read these few rows and would file all documents again
     places = written(filed.join(recurring, "anchor").select("anchor", "digest", "doc", "place"))
     merged = (
