@@ -14,13 +14,14 @@ from pyspark.sql.types import DataType, StructType
 from lendlens.operators.cache import written
 from lendlens.session import configure
 
-ARROW_BYTES = "4m"  # of a batch sent to Python: texts may be long
-SLICE_BYTES = 2 << 20  # text bytes that one vectorised step looks at (one text may be longer)
+ARROW_ROWS, ARROW_BYTES = 512, "4m"  # of a batch sent to Python: texts may be long
+SLICE_BYTES = 1 << 19  # text bytes that one vectorised step looks at (one text may be longer)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on; sizing stays with the cluster."""
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
