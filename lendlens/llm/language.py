@@ -2,8 +2,11 @@
 
 The kernel of two texts is the number of blended n-grams (1 to 4 bytes of the
 lower-cased text) present in both, over the root of the product of their own
-numbers; n-grams are told apart by BUCKETS hash values. Nystrom landmarks are
-a sample of training texts: a text is its kernel values with the landmarks.
+numbers; n-grams are told apart by BUCKETS hash values. A text of more than
+BLOCK bytes is cut into blocks of nearly equal size, so that no text fills the
+buckets, and its kernel values are the mean of those of all its blocks; an
+n-gram belongs to the block it begins in. Nystrom landmarks are a sample of
+training texts: a text is its kernel values with the landmarks.
 One ridge regression per language against the rest is solved on them, and
 documents are scored by matrix products of batches: presence x landmarks, then
 kernel values x coefficients.
@@ -14,6 +17,8 @@ scoring streams all whole texts without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,17 +32,22 @@ PER_LANGUAGE = 400
 LANDMARKS = 40  # of each language
 BUCKETS = 1 << 13
 LONGEST = 4
+BLOCK = 2048  # bytes of a text that share one row of buckets
 RIDGE = 1e-2
 SHARPNESS = 6.0  # of the softmax that turns decision values into a score
-ROWS = 128  # texts of one matrix product
+ROWS = 128  # blocks of one matrix product
 UNKNOWN = "und"
 
 
 def presence(column: pa.Array) -> np.ndarray:
     """A row of 0 and 1 over n-gram buckets for each text."""
     data, offsets = text_bytes(column)
-    n = len(column)
-    row = np.repeat(np.arange(n), np.diff(offsets))
+    row = np.repeat(np.arange(len(column)), np.diff(offsets))
+    return _marked(data, row, row, len(column))
+
+
+def _marked(data: np.ndarray, text: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """A row of 0 and 1 for each of n rows; text and row tell those of each byte, and an n-gram's row is its first byte's."""
     low = _LOWER[data].astype(np.uint64)
     out = np.zeros((n, BUCKETS), dtype=np.float32)
     gram = np.zeros(len(low), dtype=np.uint64)
@@ -46,8 +56,43 @@ def presence(column: pa.Array) -> np.ndarray:
             break
         gram = (gram[: len(low) - size + 1] << np.uint64(8)) | low[size - 1 :]
         bucket = (mix(gram + (np.uint64(size) << np.uint64(40))) >> np.uint64(51)).astype(np.int64)
-        inside = row[: len(row) - size + 1] == row[size - 1 :]
-        out[row[: len(inside)][inside], bucket[inside]] = 1.0
+        first = row[: len(row) - size + 1]
+        inside = (text[: len(text) - size + 1] == text[size - 1 :]) & (first < n)
+        out[first[inside], bucket[inside]] = 1.0
+    return out
+
+
+def blocks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text of each block, its normed presence over the number of its text's blocks), ROWS blocks at a time."""
+    data, offsets = text_bytes(column)
+    sizes = np.diff(offsets)
+    parts = np.maximum(1, -(-sizes // BLOCK))
+    text = np.repeat(np.arange(len(sizes)), parts)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    edge = np.append(offsets[text] + nth * sizes[text] // parts[text], offsets[-1])
+    for begin in range(0, len(text), ROWS):
+        end = min(begin + ROWS, len(text))
+        # the last n-grams of a block reach into the next one
+        reach = min(int(edge[end]) + LONGEST - 1, len(data))
+        at = np.arange(edge[begin], reach)
+        row = np.searchsorted(edge[begin : end + 1], at, side="right") - 1
+        x = _marked(data[edge[begin] : reach], np.searchsorted(offsets, at, side="right"), row, end - begin)
+        yield text[begin:end], normed(x) / parts[text[begin:end], None].astype(np.float32)
+
+
+def features(column: pa.Array) -> np.ndarray:
+    """The mean of the normed presence of each text's blocks."""
+    out = np.zeros((len(column), BUCKETS), dtype=np.float32)
+    for text, x in blocks(column):
+        np.add.at(out, text, x)
+    return out
+
+
+def kernel(column: pa.Array, landmarks: np.ndarray) -> np.ndarray:
+    """Kernel values of each text with the landmarks."""
+    out = np.zeros((len(column), len(landmarks)), dtype=np.float32)
+    for text, x in blocks(column):
+        np.add.at(out, text, x @ landmarks.T)
     return out
 
 
@@ -65,8 +110,7 @@ class Kernel:
         """The best language of each text, and its softmax value."""
         names, values = [], []
         for begin in range(0, len(column), ROWS):
-            x = normed(presence(column.slice(begin, ROWS)))
-            decision = (x @ self.landmarks.T) @ self.coefficients
+            decision = kernel(column.slice(begin, ROWS), self.landmarks) @ self.coefficients
             best = decision.argmax(axis=1)
             top = decision[np.arange(len(best)), best][:, None]
             names += [self.languages[k] for k in best]
@@ -79,14 +123,14 @@ def fit(texts: list[str], langs: list[str]) -> Kernel | None:
     languages = sorted(set(langs))
     if not languages:
         return None
-    x = np.concatenate([normed(presence(pa.array(texts[i : i + ROWS]))) for i in range(0, len(texts), ROWS)])
     label = np.array([languages.index(v) for v in langs])
     chosen = np.concatenate([np.flatnonzero(label == k)[:LANDMARKS] for k in range(len(languages))])
-    landmarks = x[chosen]
+    landmarks = features(pa.array([texts[i] for i in chosen], pa.string()))
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # to features whose products are the kernel
-    z = (x @ landmarks.T).astype(np.float64) @ root
+    x = np.concatenate([kernel(pa.array(texts[i : i + ROWS], pa.string()), landmarks) for i in range(0, len(texts), ROWS)])
+    z = x.astype(np.float64) @ root
     share = np.bincount(label, minlength=len(languages))
     weight = 1 / share[label]  # each language counts the same
     target = np.where(label[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)

@@ -77,6 +77,36 @@ def test_language_edges(spark, docs):
     assert language.report(docs.limit(0)).count() == 0
 
 
+def test_language_of_very_long_texts(spark, docs):
+    """Natural English of 400 KB in one text, and texts of one language joined, keep their language."""
+    from pydoc_data.topics import topics
+
+    model = language.learn(docs)
+    english = "\n".join(topics[k] for k in sorted(topics))[:400_000]
+    assert len(english) == 400_000
+    texts = [(0, english, "en"), (1, english[:100_000], "en"), (2, english[-20_000:], "en")]
+    for r in docs.filter("lang is not null").groupBy("lang").agg(F.array_join(F.collect_list("text"), "\n").alias("t")).collect():
+        texts.append((len(texts), (r.t * (1 + 1_000_000 // len(r.t)))[:1_000_000], r.lang))
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in language.predicted(table, model).collect())
+
+
+def test_blocks_hold_each_ngram_once():
+    """Short texts are one block; a longer text's blocks mark all its n-grams and no others."""
+    import numpy as np
+    import pyarrow as pa
+
+    short = pa.array(["Abc abd", None, "", "日本"])
+    assert np.array_equal(language.features(short), language.normed(language.presence(short)))
+    long = pa.array(["ab", "".join(chr(97 + k * k % 23) for k in range(3 * language.BLOCK + 7)), "yz"])
+    marked = np.zeros((3, language.BUCKETS), dtype=bool)
+    blocks = [(t, x) for text, rows in language.blocks(long) for t, x in zip(text, rows)]
+    for t, x in blocks:
+        marked[t] |= x > 0
+    assert [t for t, _ in blocks] == [0, 1, 1, 1, 1, 2]
+    assert np.array_equal(marked, language.presence(long) > 0)
+
+
 def test_kernel_is_what_it_says():
     """Presence products equal sets of hashed n-grams counted one by one."""
     import numpy as np
