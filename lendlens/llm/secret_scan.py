@@ -1,11 +1,18 @@
 """Secret scans: fixed patterns, and novelty under a primed compressor.
 
-Strings of known shapes are found by pattern. Beside them, a long string in a
-sensitive context (a word such as `auth` or `credential` shortly before it) is
-a candidate. Its novelty is the number of bytes it adds when the surrounding
+Strings of known shapes are found by pattern. Beside them, each string of 16
+characters or more in a sensitive context is a candidate: a word such as `auth`
+or `password` ends at most REACH characters before it. Line breaks and shorter
+strings count towards REACH, other long strings do not, so all arguments of a
+call and all lines of a key block are candidates. Where a long string holds `=`
+inside, its parts of 16 characters or more are measured, and it may hold the
+word itself; if no part is novel, the whole string is measured.
+
+The novelty of a candidate is the number of bytes it adds when the surrounding
 text and it are compressed together, by zstandard primed with a dictionary of
-identifiers and of the text around. A string that stays nearly as long as it is
-cannot be a word, a name or a repetition of the context, and is reported.
+identifiers and of the text around, without copies of the candidate. A string
+that stays nearly as long as it is cannot be a word, a name or made of its
+context, and is reported.
 
 Each text is scanned whole by itself, so nothing is shuffled.
 """
@@ -14,6 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -23,6 +33,7 @@ from pyspark.sql import functions as F
 from lendlens.llm.common import extended, over_slices, prepare
 
 CONTEXT = 256  # characters on either side that a candidate is compressed with
+REACH = 128  # characters between a sensitive word and a candidate, without long strings
 NOVEL = 0.6  # marginal compressed bytes for each byte of a reported string
 KINDS = ["assign", "access", "hex", "novel"]
 
@@ -37,11 +48,13 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 
 # words that make a context sensitive, and names that often stand in code
-SENSITIVE = ("auth", "bearer", "credential", "private", "passphrase", "pwd", "cookie", "session", "signature", "key")
-CANDIDATE = re.compile(
-    r"(?:auth|bearer|credential|private|passphrase|pwd|cookie|session|signature|key)[^\n]{0,48}?"
-    r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{16,})", re.ASCII | re.IGNORECASE,
+SENSITIVE = (
+    "auth", "bearer", "credential", "private", "passphrase", "pwd", "cookie", "session", "signature", "key", "password",
+    "passwd", "secret", "token",
 )
+WORD = re.compile(f"(?=({'|'.join(SENSITIVE)}))", re.ASCII | re.IGNORECASE)  # words may overlap
+STRING = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=*\Z)?")
 IDENTIFIERS = (
     "authorization authenticate credential private_key public_key signature session_id cookie bearer passphrase "
     "password username client_id client_secret access_token refresh_token api_key secret_key endpoint connection "
@@ -51,7 +64,13 @@ IDENTIFIERS = (
 
 
 def novelty(candidate: str, before: str, after: str) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, for each of its bytes."""
+    """Compressed bytes that the candidate adds to its surroundings, for each of its bytes.
+
+    Of the text around, CONTEXT characters on either side count. What is given
+    beyond them tells a copy of the candidate that begins or ends there.
+    """
+    blank = " " * len(candidate)
+    before, after = before.replace(candidate, blank)[-CONTEXT:], after.replace(candidate, blank)[:CONTEXT]
     around = (IDENTIFIERS + before + after).encode()
     primed = zstandard.ZstdCompressionDict(around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     pack = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False, write_checksum=False)
@@ -60,6 +79,46 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(pack.compress(with_it)) - len(pack.compress(plain))) / len(candidate.encode())
 
 
+def _candidates(text: str) -> Iterator[list[tuple[int, int]]]:
+    """The parts to measure of each long string in a sensitive context, and the whole string last."""
+    words = ((m.start(), m.end(1)) for m in WORD.finditer(text))
+    word = next(words, None)
+    long = 0  # characters of long strings so far
+    last = None  # where the last word ended, without long strings
+    for m in STRING.finditer(text):
+        begin, end = m.span()
+        while word and word[1] <= begin:
+            last, word = word[1] - long, next(words, None)
+        near = last is not None and begin - long - last <= REACH
+        inside = end
+        while word and word[0] < end:  # words are of the string's characters, so they end in it
+            inside, last, word = min(inside, word[1]), begin - long, next(words, None)
+        parts = [(begin + p.start(), begin + p.end()) for p in PART.finditer(m[0])] if "=" in m[0] else []
+        parts = [p for p in parts if p != (begin, end) and (near or inside <= p[0])]
+        if near or parts:
+            yield [*parts, (begin, end)] if near else parts
+        long += end - begin
+
+
+def _novel(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of the novel candidates that meet no span of another kind; taken are those by begin."""
+    begins = [a for a, _, _ in taken]
+    ends = list(accumulate((b for _, b, _ in taken), max))
+
+    def counts(begin: int, end: int) -> bool:
+        k = bisect_left(begins, end)  # of those that begin before the end, one may end after the begin
+        if k and ends[k - 1] > begin:
+            return False
+        reach = CONTEXT + end - begin
+        return novelty(text[begin:end], text[max(0, begin - reach) : begin], text[end : end + reach]) >= NOVEL
+
+    found = []
+    for *parts, whole in _candidates(text):
+        novel = [p for p in parts if counts(*p)]
+        found += novel or [whole] * counts(*whole)
+    return [(a, b, "novel") for a, b in found]
+
+
 def spans(text: str | None) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the secrets of a whole text, in code points, by begin and kind."""
     if not text:
@@ -72,15 +131,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(word in low for word in SENSITIVE):
-        taken = sorted(found)
-        at = 0
-        while m := CANDIDATE.search(text, at):
-            begin, end = m.span(1)
-            # the string itself may hold the word of the next context
-            at = max(m.start() + 1, end)
-            if not any(a < end and begin < b for a, b, _ in taken):
-                if novelty(m[1], text[max(0, begin - CONTEXT) : begin], text[end : end + CONTEXT]) >= NOVEL:
-                    found.append((begin, end, "novel"))
+        found += _novel(text, sorted(found))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

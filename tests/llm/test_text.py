@@ -82,6 +82,28 @@ def test_novelty():
     assert secret_scan.novelty("configuration_environment", "auth: ", "") < 0.5
 
 
+KEYS = ["q7Zt9LxW2vB8mN4pR6sK", "Hc3YwD0fJg5TkU1oXe8S", "Vb6nQ2rMz7LiPa4GyEd9"]
+
+
+@pytest.mark.parametrize("text", [
+    "<password>{0}</password>", '"token", "{0}"', "my secret is {0}", "passwd {0}", 'credentials = load_credentials_from_env("{0}")',
+    "auth({0}, {1}, {2})", "authorization:\n    {0}\n", "bearer\r\n\r\n{0} {1}", "session_key={0}", "password {0}\npassword {0}",
+    "cookie {0} " + "filler " * 40 + "cookie {0}", "auth {0}=", "é credential\n" + "{0}{1}{2}\n" * 40,
+    "key " + "{0}" * 30 + " {1}", "the " * 24 + "key" + " of it" * 21 + " {0}",
+])
+def test_strings_in_a_sensitive_context_are_measured(text):
+    told = text.format(*KEYS)
+    found = [told[a:b] for a, b, kind in secret_scan.spans(told) if kind == "novel"]
+    found = [s for s in found if any(k in s for k in KEYS)]  # a name in the call may be novel, too
+    strings = [s for s in re.findall("[A-Za-z0-9]{16,}=?", told) if any(k in s for k in KEYS)]
+    assert found == [s for s in strings if s.count(KEYS[0]) < 9]
+
+
+def test_strings_out_of_context_are_not_candidates():
+    for text in ("{0} {1}", "{0} and then the key", "key" + " of it" * 22 + " {0}", "password: {0}", "key " + "deadbeef" * 2):
+        assert not [s for s in secret_scan.spans(text.format(*KEYS)) if s[2] == "novel"]
+
+
 def test_redaction():
     text = SECRETS[0][1]
     assert "hunter2" not in secret_scan.redacted(text, secret_scan.spans(text))
