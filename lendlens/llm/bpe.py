@@ -3,7 +3,10 @@
 A word (a match of the split pattern) is an array of single bytes, held as
 characters U+0000 to U+00FF. A fold merges the leftmost adjacent pair of least
 rank, one pair per step, until no pair has a rank; only the two ranks beside
-the merged pair change. Ranks come from a literal map of the vocabulary, dealt
+the merged pair change. While more than SHORT pieces are left, a step merges all
+pairs of least rank from the left that do not overlap. That gives the same as
+one by one if no pair that these merges make on the way has a lower rank; the
+step looks at all of them, and merges one pair if there is one. Ranks come from a literal map of the vocabulary, dealt
 into buckets by a hash so that a lookup looks at a dozen entries. Decoding maps
 ids to their bytes and concatenates them.
 
@@ -12,8 +15,7 @@ words are counted, the FREQUENT most frequent count classes are encoded, and
 their ids become a second literal map of bounded size. Other words are folded
 where they stand. Documents are not shuffled; only the word counts are.
 
-A fold costs the square of a word's bytes, so a single unbroken run of many
-thousand letters or signs is slow, but is encoded whole like any other word.
+A long word costs its bytes times the different ranks merged in it.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from lendlens.operators.cache import written
 
 FREQUENT = 1 << 17  # words encoded once and looked up
 FREQUENT_BYTES = 48  # longer words are not kept in the literal map
+SHORT = 32  # pieces up to which one pair is merged per step
 BUCKETS = 4096
 NONE = 2**31 - 1  # rank of a pair that is no token
 
@@ -61,7 +64,7 @@ def _looked_up(literal: Column, key: Column) -> Column:
 
 
 def _fold(word: Column, ranks: Column) -> Column:
-    """Ids of a word of byte characters, merged pair by pair in the order of ranks."""
+    """Ids of a word of byte characters, merged in the order of ranks."""
 
     def rank(one: Column, two: Column) -> Column:
         return bind(F.concat(one, two), lambda pair: F.coalesce(_looked_up(ranks, pair), F.lit(NONE)))
@@ -83,21 +86,84 @@ def _fold(word: Column, ranks: Column) -> Column:
 
         return bind(F.concat(F.get(state, i - 1)["piece"], F.get(state, i)["piece"]), merged)
 
-    def step(state: Column, _: Column) -> Column:
+    def looked_at(state: Column) -> Column:
         # the least rank and its leftmost place as one number
         places = F.transform(state, lambda p, k: F.shiftleft(p["rank"].cast("long"), 31).bitwiseOR(k.cast("long")))
-        return bind(F.array_min(places), lambda least: F.when(least >= F.lit(NONE << 31), state).otherwise(
-            bind(least.bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + 1, lambda i: merge(state, i))
-        ))
+        return F.struct(state.alias("state"), F.array_min(places).alias("least"))
+
+    def merge_all(state: Column, least: Column) -> Column:
+        # the state after all merges, or null for a single one or if they make a pair of a lower rank on the way;
+        # a pair is marked at its first piece, and of adjacent marks each other one counts, as their pairs overlap
+        marks = F.array_join(F.transform(state, lambda p: F.when(p["rank"] == least, "1").otherwise("0")), "")
+
+        def merged(mark: Column) -> Column:
+            def marked(k: Column) -> Column:
+                return F.coalesce(F.get(mark, k) == "1", F.lit(False))
+
+            def made(p: Column, k: Column) -> Column:
+                both = F.concat(p["piece"], F.get(state, k + 1)["piece"])
+                # the rank beside the next pair's first piece, until that is merged
+                early = F.when(marked(k + 2), bind(both, lambda text: rank(text, F.get(state, k + 2)["piece"])))
+                return F.when(marked(k - 1), F.lit(None)).otherwise(F.struct(
+                    F.when(marked(k), both).otherwise(p["piece"]).alias("piece"), p["rank"].alias("rank"),
+                    marked(k).alias("new"), F.when(marked(k), early).alias("early"),
+                ))
+
+            return F.filter(F.transform(state, made), lambda p: p.isNotNull())
+
+        def ranked(after: Column) -> Column:
+            new = F.transform(after, lambda p, k: bind(F.get(after, k + 1), lambda following: piece(
+                p["piece"], F.when(p["new"] | F.coalesce(following["new"], F.lit(False)), rank(p["piece"], following["piece"]))
+                .otherwise(p["rank"])
+            )))
+            early = F.array_min(F.transform(after, lambda p: p["early"]))
+            return F.when(F.coalesce(early, F.lit(NONE)) > least, bind(new, looked_at))
+
+        def several(marks: Column) -> Column:
+            mark = F.split(F.replace(marks, F.lit("11"), F.lit("10")), "")
+            return F.when(
+                F.length(F.replace(marks, F.lit("1"), F.lit(""))) < F.length(marks) - 1, bind(bind(mark, merged), ranked)
+            )
+
+        return bind(marks, several)
+
+    def done(before: Column) -> Column:
+        return before["least"] >= F.lit(NONE << 31)
+
+    def single(before: Column) -> Column:
+        place = before["least"].bitwiseAND(F.lit((1 << 31) - 1)).cast("int") + 1
+        return bind(bind(place, lambda i: merge(before["state"], i)), looked_at)
+
+    def short_step(before: Column, _: Column) -> Column:
+        return F.when(done(before), before).otherwise(single(before))
+
+    def step(before: Column, _: Column) -> Column:
+        def tried(value: Column) -> Column:
+            return bind(merge_all(before["state"], value), lambda after: F.when(
+                F.shiftright(after["least"], 31) > value, after
+            ).otherwise(single(before)))
+
+        several = bind(F.shiftright(before["least"], 31).cast("int"), tried)
+        return F.when(done(before), before).when(F.size(before["state"]) <= SHORT, single(before)).otherwise(several)
+
+    def nested(start: Column, side: Column, depth: int) -> Column:
+        # side ** depth steps; a state is copied by each, so that what is done should pass few
+        def inner(before: Column, _: Column) -> Column:
+            return F.when(done(before), before).otherwise(nested(before, side, depth - 1))
+
+        return F.aggregate(F.sequence(F.lit(1), side), start, inner if depth > 1 else step)
 
     def run(characters: Column) -> Column:
         start = F.transform(characters, lambda p, k: piece(p, rank(p, F.get(characters, k + 1))))
         steps = F.sequence(F.lit(1), F.greatest(F.size(characters) - 1, F.lit(1)))
-        last = F.aggregate(steps, start, step)
+        side = F.ceil(F.cbrt(F.size(characters))).cast("int")
+        last = bind(bind(start, looked_at), lambda first: F.when(
+            F.size(characters) <= SHORT, F.aggregate(steps, first, short_step)
+        ).otherwise(nested(first, side, 3)))["state"]
         return F.transform(last, lambda p: _looked_up(ranks, p["piece"]))
 
     def folded(text: Column) -> Column:
-        characters = F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(text, k, F.lit(1)))
+        characters = F.split(text, "")
         # a word that is a token as a whole is that token, whichever merges lead there
         return bind(_looked_up(ranks, text), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(bind(characters, run)))
 

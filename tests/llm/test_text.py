@@ -119,8 +119,7 @@ def test_byte_bpe(spark, docs):
     ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    long_word = F.length("text") == 5000  # folding it costs the square of its length
-    table = docs.filter(~long_word | F.col("text").isNull()).select("doc_id", "text", F.col("key").alias("ids"))
+    table = docs.select("doc_id", "text", F.col("key").alias("ids"))
     more = spark.createDataFrame([(1000 + k, t, "x") for k, t in enumerate(EXTRA)], table.schema)
     table = table.unionByName(more)
     encoded = tokenizer.encode(table, most=500).select("*", tokenizer.decode(F.col("ids")).alias("back")).collect()
@@ -134,3 +133,26 @@ def test_byte_bpe(spark, docs):
         assert r.ids_sha256 == corpus.sha(",".join(map(str, by_id[doc_id].ids)))
         assert r.decoded_sha256 == corpus.sha(by_id[doc_id].text or "")
     assert bpe.report(table.limit(0), tokenizer).count() == 0
+
+
+def test_long_runs(spark):
+    """Unbroken runs of many bytes, whose equal pairs overlap, in one step each."""
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["=" * 50_000, "a" * 20_001, " " * 9_999 + "x", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000))]
+    texts += ["".join(rng.choices(s, k=n)) for s in ("aab", "-=", "anbé", "xyxX") for n in (33, 64, 65, 200, 801)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in tokenizer.encode(rows, most=0).collect():
+        assert r.ids == plain.encode_ordinary(r.text)
+
+
+def test_vocabulary_with_a_token_below_its_parts(spark):
+    ranks = {bytes([k]): k + 10 for k in range(256)} | {b"ab": 300, b"abab": 5, b"ba": 299, b"aba": 298}
+    tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["ab" * 40 + "a", "ba" * 40, "aabb" * 30, "abb" * 30]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in tokenizer.encode(rows, most=0).collect():
+        assert r.ids == plain.encode_ordinary(r.text)
