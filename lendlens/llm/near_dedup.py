@@ -279,8 +279,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is their own id. Rows with equal sets are linked; repeated rows
     share their id, and so their component. A row with a null id takes part
     in nothing and gets a null component; it is kept. Other columns are not
-    read. An empty table gives an empty result.
+    read. An empty table gives an empty result. Chunks and sketches are sized for
+    SIMILARITY; a lower percent would miss pairs and is an error.
     """
+    if percent < SIMILARITY:
+        raise ValueError(f"percent is {percent}, but keys and sketches find pairs from {SIMILARITY} per cent on")
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col))

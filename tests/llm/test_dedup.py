@@ -91,3 +91,9 @@ def test_signature_radius():
         b[r, rng.choice(near_dedup.POSITIONS, near_dedup.RADIUS, replace=False)] ^= 1
     x, y = near_dedup.chunk_keys(a), near_dedup.chunk_keys(b)
     assert all(set(p.tolist()) & set(q.tolist()) for p, q in zip(x, y))
+
+
+def test_near_duplicates_refuse_a_similarity_that_keys_would_miss(spark):
+    table = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="75"):
+        near_dedup.near_duplicates(table, percent=74)
