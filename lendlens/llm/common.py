@@ -55,6 +55,44 @@ def over_slices(column: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return run
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Pieces of about so many rows that hold all rows of each key they have; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        piece = pa.concat_batches(held)
+        keys = piece.column(key)
+        last = keys[piece.num_rows - 1]
+        begin = pc.index(keys, last).as_py()  # the last key may go on in the next batch
+        if begin:
+            yield piece.slice(0, begin)
+        held = [piece.slice(begin)]
+        rows = max(rows, 2 * held[0].num_rows)  # a long key is not put together anew for each batch
+    if held:
+        piece = pa.concat_batches(held)
+        if piece.num_rows:
+            yield piece
+
+
+def bounds(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the number of keys at the end."""
+    if not len(sorted_keys):
+        return np.zeros(1, dtype=np.int64)
+    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]])
+
+
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text of words and ASCII white space, in lists of about so many bytes."""
+    begin = 0
+    while begin < len(text):
+        end = text.find(b" ", begin + size)
+        end = len(text) if end < 0 else end
+        yield text[begin:end].split()
+        begin = end
+
+
 def extended(df: DataFrame, *columns: tuple[str, str]) -> StructType:
     """The frame's schema with further nullable columns."""
     out = StructType(list(df.schema.fields))

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lendlens.llm import (
-    bpe, chat, decontaminate, exact_dedup, language, near_dedup, quality, secret_scan, substring_dedup, warc,
+    bpe, chat, decontaminate, exact_dedup, importance, language, near_dedup, quality, secret_scan, simhash,
+    spelling, substring_dedup, warc,
 )
 from lendlens.llm.common import table
 
@@ -54,6 +55,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), bpe.Tokenizer(ranks, public_tokenizers.PATTERN))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_windows": op2_chat_windows,
@@ -65,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_language": op9_language,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_simhash": op12_simhash,
+    "op13_importance": op13_importance,
 }
 
 ORACLE: dict[str, str] = {

@@ -1,8 +1,10 @@
 """A small corpus of awkward rows, and plain versions of what the operators compute."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 
 SCHEMA = "doc_id long, text string, key string, name string, id long, found string, score string"
 SPACE_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,3 +108,103 @@ def benchmark_hits(docs, items, n=10):
                     hit.update(range(s, s + size))
         out[d] = (len(w), len(hit), found)
     return out
+
+
+def one_edit(a, b):
+    """Whether one inserted, deleted or replaced code point makes a to b."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def spelling_variants(docs):
+    """word: (form, root, n, n_near, form_n)."""
+    counts = {}
+    for d, t in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            w = lower(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            counts[w] = counts.get(w, 0) + 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = {w: [v for v in counts if abs(len(v) - len(w)) < 2 and one_edit(v, w)] for w in counts}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best and counts[best] >= 2 * counts[w] else None
+    root = {}
+    for w in counts:
+        r = w
+        while form[r]:
+            r = form[r]
+        root[w] = r
+    return {w: (form[w], root[w], n, len(near[w]), counts.get(form[w])) for w, n in counts.items()}
+
+
+def fingerprints(docs, n=4):
+    import xxhash
+
+    out = []
+    for _, t in docs:
+        w = SPACE_WORDS.findall(lower(t))
+        runs = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([" ".join(w)] if w else [])
+        hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def hamming_components(ids, prints, radius=4):
+    """The smallest id reachable from each row."""
+    component = list(range(len(ids)))
+
+    def find(x):
+        while component[x] != x:
+            x = component[x]
+        return x
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                component[max(x, y)] = min(x, y)
+    least = {}
+    for k, d in enumerate(ids):
+        if d is not None:
+            least[find(k)] = min(d, least.get(find(k), d))
+    return [least.get(find(k)) for k in range(len(ids))]
+
+
+def draw(docs, items, least_words=20, share=(5, 100)):
+    """[(id, features, weight, score, rank)] of rows with ids, in the order of docs."""
+
+    def features(t):
+        w = ALNUM_WORDS.findall(lower(t))
+        runs = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+        return len(w), [zlib.crc32(r.encode()) % 10000 for r in runs]
+
+    made = [features(t) for _, t in docs]
+    source, target = [0] * 10000, [0] * 10000
+    for _, found in made:
+        for b in found:
+            source[b] += 1
+    for _, t in items:
+        for b in features(t)[1]:
+            target[b] += 1
+    s_all, t_all = sum(source) + 10000, sum(target) + 10000
+    gain = [math.floor(1000 * math.log((t + 1) * s_all / ((s + 1) * t_all))) for s, t in zip(source, target)]
+    rows, able = [], []
+    for (d, _), (n, found) in zip(docs, made):
+        weight = sum(gain[b] for b in found)
+        h = int(hashlib.sha256(f"42:{d}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        if n >= least_words:
+            able.append((-score, d))
+        rows.append([d, len(found), weight, score, None])
+    place = {key: k for k, key in enumerate(sorted(able)[: share[0] * len(able) // share[1]], 1)}
+    for row, (n, _) in zip(rows, made):
+        if n >= least_words:
+            row[4] = place.get((-row[3], row[0]))
+    return [tuple(r) for r in rows]

@@ -11,7 +11,7 @@ def test_every_operator_is_registered_once():
     from __spark_entry__ import oracle_sql, queries
 
     numbers = [name[2:].split("_")[0] for name in QUERIES]
-    assert sorted(map(int, numbers)) == list(range(1, 11))
+    assert sorted(map(int, numbers)) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
     assert set(ORACLE) <= set(oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == [
