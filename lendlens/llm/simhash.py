@@ -174,35 +174,38 @@ def _under(rows: DataFrame, keys: list[Column]) -> DataFrame:
     return rows.select("fingerprint", F.explode(F.array(*keys)).alias("key"))
 
 
+def _over(members: DataFrame, long: int) -> DataFrame:
+    """(key, n) of the lists with more than ``long`` members."""
+    return written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long))
+
+
+def _tiled(members: DataFrame, over: DataFrame, long: int) -> DataFrame:
+    """Members with lists that are too long cut into tiles, and a list for each two tiles."""
+    tiles = F.coalesce(F.ceil(F.col("n") / long), F.lit(1)).cast("int")
+    placed = members.join(over, "key", "left").withColumn("g", tiles).withColumn(
+        "tile", F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("g").cast("long")).cast("int")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
+    of_two = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
+    return placed.select("key", "fingerprint", "g", "tile", other).select(
+        "fingerprint", F.when(F.col("g") == 1, F.col("key")).otherwise(of_two).alias("key")
+    )
+
+
 def links(fingerprints: DataFrame, long: int = LONG) -> DataFrame:
     """Links (a, b) between distinct fingerprints (a column of that name) that span the components."""
     members = written(_under(fingerprints, [_key(p) for p in PAIRS]))
-    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    parts = [members.join(sizes.filter(F.col("n") <= long), "key").select("key", "fingerprint")]
-    over = sizes.filter(F.col("n") > long)
+    over, lists = _over(members, long), members
     if over.limit(1).count():
         # two more shared bytes: the map of the first two positions says which are left
-        further = {
-            p: F.array(*[_key(tuple(sorted((*p, *q)))) for q in combinations([x for x in range(BYTES) if x not in p], 2)])
-            for p in PAIRS
-        }
         chosen = F.array().cast("array<bigint>")
-        for p, keys in further.items():
+        for p in PAIRS:
+            further = combinations([x for x in range(BYTES) if x not in p], 2)
+            keys = F.array(*[_key(tuple(sorted((*p, *q)))) for q in further])
             held = F.shiftrightunsigned("key", 16) == F.lit(sum(1 << x for x in p)).cast("long")
             chosen = F.when(held, keys).otherwise(chosen)
         finer = written(members.join(over, "key").select("fingerprint", F.explode(chosen).alias("key")).distinct())
-        sizes = written(finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-        tiles = F.ceil(F.col("n") / long).cast("int")
-        tiled = finer.join(sizes, "key").withColumn("g", tiles).withColumn(
-            "tile", F.pmod(F.xxhash64(F.lit(3), "fingerprint"), F.col("g").cast("long")).cast("int")
-        )
-        other = F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other")
-        parts.append(tiled.select("key", "fingerprint", "g", "tile", other).select(
-            F.when(F.col("g") == 1, F.col("key")).otherwise(
-                F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-            ).alias("key"), "fingerprint",
-        ))
-    lists = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        lists = members.join(over, "key", "left_anti").unionByName(_tiled(finer, _over(finer, long), long))
     return lists.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint")
 
 
