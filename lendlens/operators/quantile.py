@@ -3,97 +3,167 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HELD = 20_000  # values inside a bracket that the exact percentile holds at the end
-ACCURACY = 10_000
-MARGIN = 4.0 / ACCURACY
+HELD = 20_000  # values between two ends that are brought together
+K = 4096  # size of a sketch
+ERROR = 0.001  # of a rank in a sketch of this size, as a share of all
+MARGIN = 2 * ERROR
 
 
 @dataclass
-class _Bracket:
-    """The values of a column known to surround one quantile."""
+class _Search:
+    """The one or two neighbouring ranks of a quantile, and the open interval they are known to lie in."""
 
-    column: str
-    rank: float           # 0-based, fractional
-    middle: int           # values inside
-    below: int = 0        # values under the low end
+    column: int
+    ranks: list[int]  # still unknown, 0-based among the column's values
+    margin: float
+    count: int  # values inside the interval
+    below: int = 0  # values before it
     low: float = -math.inf
     high: float = math.inf
-    margin: float = MARGIN
-    stuck: bool = False   # the bracket does not shrink: it holds a few values, each many times
+    ends: tuple[float, float] = (-math.inf, math.inf)  # proposed around the ranks
+    found: dict[int, float] = field(default_factory=dict)
 
     @property
-    def inside(self) -> Column:
-        c = F.col(self.column)
-        return c.isNotNull() if self.low == -math.inf else c.between(self.low, self.high)
+    def positions(self) -> list[float]:
+        last = max(self.count - 1, 1)
+        at = [(self.ranks[0] - self.below) / last - self.margin, (self.ranks[-1] - self.below) / last + self.margin]
+        return [min(max(p, 0.0), 1.0) for p in at]
 
     @property
-    def position(self) -> float:
-        """The quantile within the bracket."""
-        return (self.rank - self.below) / (self.middle - 1) if self.middle > 1 else 0.0
+    def few(self) -> float:
+        """About how many values can lie between the ends."""
+        return self.count * min(1.0, 2 * (self.margin + ERROR))
 
-    def holds(self, below: int, middle: int) -> bool:
-        return below <= math.floor(self.rank) and math.ceil(self.rank) < below + middle
+    def learn(self, below: int, at_low: int, inside: int, at_high: int, values: list[float] | None) -> None:
+        """Take the counts around the ends: settle ranks, or narrow the interval, or widen the proposal."""
+        low, high = self.ends
+        first, last = below + at_low, below + at_low + inside
+        if self.ranks[0] < below or self.ranks[-1] >= last + at_high:
+            self.margin = min(1.0, 4 * self.margin)  # with 1 the ends are the least and the greatest value
+            return
+        for r in list(self.ranks):
+            if r < first:
+                self.found[r] = low
+            elif r >= last:
+                self.found[r] = high
+            elif values is not None:
+                self.found[r] = values[r - first]
+            else:
+                continue
+            self.ranks.remove(r)
+        self.below, self.count, self.low, self.high = first, inside, low, high
+        self.margin = MARGIN
 
 
 def exact_quantiles(
     df: DataFrame, wanted: dict[str, list[float]], held: int = HELD, margin: float = MARGIN
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, NULLs left out.
-
-    Every quantile is bracketed: an approximate pass proposes two values around
-    it, a second one counts the rows below and inside. A round keeps about one row
-    in a thousand, and is repeated while more than ``held`` values are inside and
-    they differ. A proposal that misses the quantile is made again with a wider
-    margin. The exact percentile then runs on the values inside, whose number is
-    bounded whatever the size of the table. All quantiles share the passes.
+    """Linearly interpolated quantiles per column, NULL and NaN left out.
+
+    One pass sketches all columns. The sketches propose two ends around each
+    quantile, and a second pass counts the values before, at and between them and
+    brings those between together. Where more than about ``held`` would be
+    brought, it only counts, and the values between are sketched in turn: they
+    are a few hundredths of the ones before, so the number of passes grows with
+    the logarithm of the table and not with the number of columns. A proposal
+    that misses is made again with a wider margin.
     """
     names = list(wanted)
     if not names:
         return {}
-    head = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    sizes = dict(zip(names, head))
-    spots = [(c, j) for c in names for j in range(len(wanted[c])) if sizes[c]]
-    found = {
-        s: _Bracket(s[0], wanted[s[0]][s[1]] * (sizes[s[0]] - 1), sizes[s[0]], margin=margin) for s in spots
-    }
-    open_brackets = list(found.values())
-    while open_brackets:
-        _narrow(df, open_brackets)
-        # equal values cannot be narrowed further, but they are one entry to hold
-        open_brackets = [b for b in open_brackets if b.middle > held and b.low != b.high and not b.stuck]
-    row = df.agg(*[
-        F.percentile(F.when(b.inside, F.col(b.column)), b.position).alias(f"x{i}")
-        for i, b in enumerate(found.values())
-    ]).first() if found else []
-    exact = dict(zip(found, row))
-    return {c: [exact.get((c, j)) for j in range(len(wanted[c]))] for c in names}
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """One round: propose tighter ends, count, and take those that hold the quantile."""
-    ends = df.agg(*[
-        F.percentile_approx(
-            F.when(b.inside, F.col(b.column).cast("double")),
-            [max(b.position - b.margin, 0.0), min(b.position + b.margin, 1.0)], ACCURACY,
-        ).alias(f"e{i}")
-        for i, b in enumerate(brackets)
-    ]).first()
-    counts = df.agg(*[
-        c for i, b in enumerate(brackets) for c in (
-            F.count_if(F.col(b.column) < ends[i][0]).alias(f"b{i}"),
-            F.count_if(F.col(b.column).between(*ends[i])).alias(f"m{i}"),
+    values = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(f"v{i}")
+                         for i, c in enumerate(names)])
+    spots = [(i, j, q) for i, c in enumerate(names) for j, q in enumerate(wanted[c])]
+    shares = {q: [max(q - margin, 0.0), min(q + margin, 1.0)] for _, _, q in spots}
+    first = values.agg(
+        *[F.count(f"v{i}") for i in range(len(names))],
+        *[F.when(F.count(f"v{i}") > 0, _at(F.col(f"v{i}"), shares[q])) for i, _, q in spots],
+    ).first()
+    sizes = first[: len(names)]
+    searches: dict[tuple[int, int], _Search] = {}
+    for (i, j, q), ends in zip(spots, first[len(names) :]):
+        if sizes[i]:
+            rank = q * (sizes[i] - 1)
+            ranks = sorted({math.floor(rank), math.ceil(rank)})
+            searches[i, j] = _Search(i, ranks, margin, sizes[i], ends=tuple(ends))
+    current = list(searches.values())
+    while current:
+        _inspect(values, current, held)
+        current = [s for s in current if s.ranks]
+        if current:
+            _propose(values, current)
+
+    def answer(i: int, j: int, q: float) -> float | None:
+        if (i, j) not in searches:
+            return None
+        rank, found = q * (sizes[i] - 1), searches[i, j].found
+        low, high = found[math.floor(rank)], found[math.ceil(rank)]
+        return low + (rank - math.floor(rank)) * (high - low)
+
+    return {c: [answer(i, j, q) for j, q in enumerate(wanted[c])] for i, c in enumerate(names)}
+
+
+def _at(values: Column, shares: list[float]) -> Column:
+    """The values at shares of their order, from a sketch."""
+    return F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(values, K), F.array(*map(F.lit, shares)))
+
+
+def _propose(values: DataFrame, searches: list[_Search]) -> None:
+    """Ends around the ranks of each search, from a sketch of its interval."""
+
+    def inside(s: _Search) -> Column:
+        v = F.col(f"v{s.column}")
+        return F.when((v > s.low) & (v < s.high), v)
+
+    row = values.agg(*[_at(inside(s), s.positions) for s in searches]).first()
+    for s, ends in zip(searches, row):
+        s.ends = ends[0], ends[1]
+
+
+def _inspect(values: DataFrame, searches: list[_Search], held: int) -> None:
+    """One pass: counts around the ends of all searches, and the few values between them."""
+    brought = [s.few <= held for s in searches]
+    places = [(s.column, *s.ends) for s in searches]
+    columns = sorted({c for c, _, _ in places})
+    schema = "n int, below bigint, at_low bigint, inside bigint, at_high bigint, found array<double>"
+    parts = values.select(*[f"v{c}" for c in columns]).mapInArrow(_around(places, brought), schema)
+    rows = parts.groupBy("n").agg(
+        *[F.sum(c).alias(c) for c in ("below", "at_low", "inside", "at_high")],
+        F.array_sort(F.flatten(F.collect_list("found"))).alias("found"),
+    ).collect()
+    for r in rows:
+        s = searches[r["n"]]
+        s.learn(r["below"], r["at_low"], r["inside"], r["at_high"], r["found"] if brought[r["n"]] else None)
+
+
+def _around(places: list[tuple[int, float, float]], brought: list[bool]):
+    def run(batches: Iterable[pa.RecordBatch]):
+        counts = np.zeros((len(places), 4), dtype=np.int64)
+        found: list[list[np.ndarray]] = [[] for _ in places]
+        for batch in batches:
+            columns: dict[int, np.ndarray] = {}
+            for n, (c, low, high) in enumerate(places):
+                if c not in columns:
+                    columns[c] = batch.column(f"v{c}").to_numpy(zero_copy_only=False)
+                v = columns[c]  # a null is NaN, which compares with nothing
+                inside = (v > low) & (v < high)
+                at_high = np.count_nonzero(v == high) if high != low else 0
+                counts[n] += np.count_nonzero(v < low), np.count_nonzero(v == low), np.count_nonzero(inside), at_high
+                if brought[n]:
+                    found[n].append(v[inside])
+        held = [np.concatenate(f) if f else np.zeros(0) for f in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(places), dtype=np.int32)), *map(pa.array, counts.T.copy()),
+             pa.array(held, pa.list_(pa.float64()))],
+            ["n", "below", "at_low", "inside", "at_high", "found"],
         )
-    ]).first()
-    for i, b in enumerate(brackets):
-        below, middle = counts[f"b{i}"], counts[f"m{i}"]
-        if b.holds(below, middle) and (middle < b.middle or b.low == -math.inf):
-            b.below, b.middle, (b.low, b.high) = below, middle, ends[i]
-        else:
-            # a margin of 1 takes the least and the greatest value, so this ends
-            b.margin = min(1.0, 4 * b.margin)
-            b.stuck = b.margin == 1.0 and b.low != -math.inf
+
+    return run
