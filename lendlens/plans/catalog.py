@@ -105,7 +105,7 @@ class LendingCatalog:
         )
 
     def clean_views(self) -> dict[str, DataFrame]:
-        """The five cleaned tables with all their joins, without columns that are fitted eagerly."""
+        """The five cleaned tables with all their joins, without the order of rows and the fitted decile."""
         return {
             "v_dim_users_clean": self.users_enriched,
             "v_fct_transactions_clean": self.transactions,

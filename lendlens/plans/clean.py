@@ -122,7 +122,7 @@ def enrich_assignments(assignments: DataFrame) -> DataFrame:
 
 
 def grouped_assignments(assignments: DataFrame) -> DataFrame:
-    """Assignments with their per-user columns, without the order, which is fitted eagerly."""
+    """Assignments with their per-user columns, without the order, which takes another shuffle."""
     counted = attach_group(enrich_assignments(assignments), ["user_id"], __n=F.count(F.lit(1)))
     return counted.withColumn("multi_test_user", flag(F.col("__n") > 1)).drop("__n")
 
@@ -152,7 +152,7 @@ def enrich_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def grouped_sessions(sessions: DataFrame) -> DataFrame:
-    """Events with their per-session columns, without the order, which is fitted eagerly."""
+    """Events with their per-session columns, without the order, which takes another shuffle."""
     spans = attach_group(
         enrich_sessions(sessions), ["session_id"],
         __start=F.min("ts"), __end=F.max("ts"), events_per_session=F.count(F.lit(1)),

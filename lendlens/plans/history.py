@@ -19,7 +19,7 @@ def with_history(loans: DataFrame) -> DataFrame:
 
     An approved loan counts from its approval on, an unapproved one from its
     request. Every loan is one event that adds its own contribution and, if
-    approved, reads the sum of those strictly before: one shuffle, no self join.
+    approved, reads the sum of those strictly before: one wide shuffle, no self join.
     """
     approved = F.col("is_approved") == 1
     disbursed = approved & (F.col("is_disbursed") == 1)

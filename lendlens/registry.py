@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -198,15 +197,9 @@ _add("dq_load_checks", lambda c: quality.load_checks(c.base))
 _add("dq_contracts", lambda c: quality.contracts(c.loans_enriched, c.users_enriched, 250.0))
 
 
-@lru_cache(maxsize=2)
-def _kept_checks(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
-    c = LendingCatalog.from_testdata(spark, sf_dir)
-    return written(quality.all_checks(c.base, c.check_views(), c.row_views(), AS_OF))
-
-
 def _checks(c: LendingCatalog) -> DataFrame:
-    """The check rows, a few dozen, computed once per application for all reports made from them."""
-    return _kept_checks(c.spark, c.spark.sparkContext.applicationId, c.sf_dir)
+    """The check rows, a few dozen, of the tables as they are now; a report may read them several times."""
+    return written(quality.all_checks(c.base, c.check_views(), c.row_views(), AS_OF))
 
 
 # adjusted effects
@@ -230,14 +223,9 @@ def _scored(c: LendingCatalog) -> DataFrame:
     ).join(people, "user_id")
 
 
-@lru_cache(maxsize=2)
-def _searched(spark: SparkSession, application: str, sf_dir: str) -> risk_model.RiskModel:
-    return risk_model.fit(LendingCatalog.from_testdata(spark, sf_dir).risk_model_base)
-
-
 def _fitted(c: LendingCatalog) -> risk_model.RiskModel:
-    """The model at the penalty the search picks; its read-outs share one search per application."""
-    return _searched(c.spark, c.spark.sparkContext.applicationId, c.sf_dir)
+    """The model at the penalty the search picks."""
+    return risk_model.fit(c.risk_model_base)
 
 
 _add("risk_features", lambda c: risk_model.feature_summary(c.risk_model_base))
@@ -253,6 +241,7 @@ _add("risk_operating_points", lambda c: score.operating_points(_scored(c), SCORE
                                                                defaults=(0.45, 0.5, 0.55)), 6)
 _add("risk_model_cv", lambda c: risk_model.cv_table(_fitted(c)))
 _add("risk_coefficients", lambda c: risk_model.coefficient_table(_fitted(c)))
+_add("risk_model_fits", lambda c: risk_model.optimality_table(_fitted(c)))
 _add("risk_model_eval", lambda c: score.evaluation(_fitted(c).test, "pd", "is_default"))
 _add("risk_extra_features", lambda c: extra_features.extra_features(
     c.loans_enriched, c.transactions), 5)

@@ -58,10 +58,37 @@ def test_one_instant_is_numbered_by_several_tasks(spark):
     assert sum(sizes) == 20_000 and len(sizes) > 3 and max(sizes) < 10_000
     got = ordered_index(rows, "user", "ts", "id", "n")
     assert got.where("n <> id + 1").count() == 0 and got.count() == 20_000
-    # they do not see each other, and take one row each through the windows
+    # they do not see each other
     assert sums_before(rows, "user", "ts", ["v"]).agg(F.sum("v")).first()[0] == 0
 
 
+def test_a_user_is_numbered_by_several_tasks(spark):
+    """One user with all rows: hours are numbered apart, in one wide shuffle and without a job beforehand."""
+    rows = spark.range(20_000).select(
+        "id", F.when(F.col("id") < 19_990, 1).otherwise(2).alias("user"), F.lit(1.0).alias("v"),
+        F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.concat(F.lit("x"), F.col("id")).alias("wide"),
+    )
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "views are built without a job")
+    numbered, summed = ordered_index(rows, "user", "ts", "id", "n"), sums_before(rows, "user", "ts", ["v"])
+    assert not tracker.getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert numbered.where("n <> id + 1 - if(user = 2, 19990, 0)").count() == 0 and numbered.count() == 20_000
+    assert summed.where("v <> id - if(user = 2, 19990, 0)").count() == 0
+    parts = numbered.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts < 10_000
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (numbered, summed):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            wide = [b for a, b in zip(lines, lines[1:]) if " Exchange " in a and "wide#" in b]
+            assert len(wide) == 1 and plan.count("SortMergeJoin") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_attach_group_keeps_null_groups(events):
     w = Window.partitionBy("user")
     want = events.withColumn("want", F.sum("v").over(w))
