@@ -12,7 +12,7 @@ from lendlens.operators.cache import persisted
 from lendlens.plans import quality
 from lendlens.plans.catalog import LendingCatalog
 from lendlens.session import configure
-from lendlens.sources import ingest
+from lendlens.sources import ingest, snapshots
 
 log = logging.getLogger(__name__)
 
@@ -31,6 +31,22 @@ def load(spark: SparkSession, csv_folder: str, target: str) -> dict[str, int]:
     return rows
 
 
+def checks_of_version(spark: SparkSession, target: str, as_of: str) -> DataFrame:
+    """The check rows of the current version of the tables, computed once a version and time.
+
+    They are kept in the version's folder, so a new load has none of the old ones.
+    """
+    found = snapshots.current(spark, target)
+    if found is None:
+        raise FileNotFoundError(f"nothing has been loaded into {target}")
+    path = f"{found[0]}/checks-{as_of.replace(' ', 'T').replace(':', '')}"
+    if not ingest.path_exists(spark, f"{path}/_SUCCESS"):
+        catalog = LendingCatalog(ingest.read_tables(spark, target), spark)
+        checks = quality.all_checks(catalog.base, catalog.check_views(), catalog.row_views(), as_of)
+        checks.coalesce(1).write.mode("overwrite").parquet(path)  # a few dozen rows
+    return spark.read.parquet(path)
+
+
 def run_quality_suite(catalog: LendingCatalog, folder: str | None = None, as_of=None) -> dict:
     """Run every check once; write the report and the failed checks if a folder is given.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from lendlens.functions import coerced, round_half_away
 from lendlens.operators.dedupe import repair_duplicates
 from lendlens.operators.position import with_file_position
 from lendlens.schemas import REQUIRED_COLUMNS, TABLES
+from lendlens.sources import snapshots
 
 log = logging.getLogger(__name__)
 
@@ -22,7 +22,7 @@ FILE_POSITION = "__file_position"
 EXCESS = "__excess"
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
@@ -56,7 +56,7 @@ def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataF
     A missing directory is an error; a bad file is listed and skipped. Files with a
     known duplicate problem get their ids repaired.
     """
-    if not _path_exists(spark, directory):
+    if not path_exists(spark, directory):
         raise FileNotFoundError(f"no such directory: {directory}")
     loaded, failed = {}, []
     for table, (file, _, _) in TABLES.items():
@@ -124,20 +124,25 @@ def required_columns(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], target: str) -> dict[str, int]:
-    """Full refresh: typed Parquet per table, replacing what is there; -1 for a failed table.
-
-    A table is written to a fresh place, checked there and then switched in, so a
-    value that does not fit its column leaves no half of a table. A table whose
-    primary key repeats or is NULL is not loaded, as the key constraint of the
-    contract demands. A failed or absent table is gone afterwards: what is there
-    is of one load.
+    """Full refresh: typed Parquet per table as one new version; -1 for a failed table.
+
+    All tables are written and checked in a folder of their own, which then
+    becomes current in one step: a reader sees all of this load or all of the one
+    before, also if this one is stopped. A table with a value that does not fit
+    its column, or whose primary key repeats or is NULL, is not loaded, as the
+    contract demands. A failed or absent table has no rows in the new version:
+    what is there is of one load.
     """
-    out, fresh = {}, f"{target}/.load-{uuid.uuid4().hex}"
+    out: dict[str, int] = {}
+    if not tables:
+        return out
+    spark = next(iter(tables.values())).sparkSession
+    folder = snapshots.new_folder(target)
     for table, text in tables.items():
-        key, spark = TABLES[table][2], text.sparkSession
+        key = TABLES[table][2]
         try:
-            coerce(text, table).write.parquet(f"{fresh}/{table}")
-            written = spark.read.schema(TABLES[table][1]).parquet(f"{fresh}/{table}")
+            coerce(text, table).write.parquet(f"{folder}/{table}")
+            written = spark.read.schema(TABLES[table][1]).parquet(f"{folder}/{table}")
             counts = written.agg(
                 F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("k")
             ).first()
@@ -147,22 +152,16 @@ def write_tables(tables: dict[str, DataFrame], target: str) -> dict[str, int]:
         except Exception as error:
             log.error("failed to load %s: %s", table, error)
             out[table] = -1
-    for spark in {text.sparkSession for text in tables.values()}:
-        paths = spark._jvm.org.apache.hadoop.fs.Path
-        files = paths(target).getFileSystem(spark._jsc.hadoopConfiguration())
-        for table in TABLES:
-            files.delete(paths(f"{target}/{table}"), True)
-            if out.get(table, -1) >= 0 and not files.rename(paths(f"{fresh}/{table}"), paths(f"{target}/{table}")):
-                raise OSError(f"cannot move {table} into place")
-        files.delete(paths(fresh), True)
+    snapshots.commit(spark, target, folder, out)
     return out
 
 
 def read_tables(spark: SparkSession, target: str) -> dict[str, DataFrame]:
-    """The tables of the last load; one that failed has no rows."""
+    """The tables of the current version; one that failed has no rows."""
+    found = snapshots.current(spark, target)
+    folder, rows = found if found else ("", {})
     return {
-        t: spark.read.schema(s).parquet(f"{target}/{t}") if _path_exists(spark, f"{target}/{t}")
-        else spark.createDataFrame([], s)
+        t: spark.read.schema(s).parquet(f"{folder}/{t}") if rows.get(t, -1) >= 0 else spark.createDataFrame([], s)
         for t, (_, s, _) in TABLES.items()
     }
 

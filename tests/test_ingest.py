@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lendlens.plans import jobs, quality
 from lendlens.plans.catalog import LendingCatalog
 from lendlens.schemas import TABLES
-from lendlens.sources import ingest
+from lendlens.sources import ingest, snapshots
 
 USERS = """user_id,signup_at,province,device_os,acquisition_channel,bank_linked_at,payroll_frequency,baseline_risk_score,fico_band
 1,2025-01-01T10:00:00,ON,ios,email,2025-01-02 09:30:00.250000,weekly,0.25,640-679
@@ -63,11 +63,12 @@ def test_typed_load(spark, folder, tmp_path):
     loaded, _ = ingest.load_csv_files(spark, folder)
     target = str(tmp_path / "db")
     assert ingest.write_tables(loaded, target) == {"dim_users": 2, "fct_transactions": 4}
-    users = {r["user_id"]: r for r in spark.read.parquet(f"{target}/dim_users").collect()}
+    tables = ingest.read_tables(spark, target)
+    users = {r["user_id"]: r for r in tables["dim_users"].collect()}
     assert users[1]["signup_at"] == dt.datetime(2025, 1, 1, 10)
     assert users[1]["bank_linked_at"] == dt.datetime(2025, 1, 2, 9, 30, 0, 250000)
     assert users[2]["bank_linked_at"] is None
-    txns = spark.read.schema(TABLES["fct_transactions"][1]).parquet(f"{target}/fct_transactions")
+    txns = tables["fct_transactions"]
     assert txns.where("mcc = '0000'").count() == 1  # codes keep their zeros
     assert txns.schema["posted_date"].dataType.typeName() == "date"
 
@@ -88,9 +89,6 @@ def test_load_job_and_quality_suite(spark, folder, tmp_path):
     target = str(tmp_path / "db4")
     loaded = jobs.load(spark, folder, target)
     assert loaded["dim_users"] == 2 and loaded["fct_loans"] == -1
-    for table, (_, schema, _) in TABLES.items():
-        if loaded[table] < 0:
-            spark.createDataFrame([], schema).write.parquet(f"{target}/{table}")
     catalog = LendingCatalog(ingest.read_tables(spark, target))
     out = jobs.run_quality_suite(catalog, str(tmp_path / "reports"), "2025-06-01 00:00:00")
     assert out["overall_status"] == "PASS" and out["exit_code"] == 0
@@ -181,3 +179,98 @@ def test_report_document(spark):
     row = jobs.report_document(checks, {"overall_status": "FAIL"}, datetime.datetime(2025, 1, 1)).first()
     assert (row.timestamp, row.overall_status, row.total_checks, row.total_failed) == ("2025-01-01T00:00:00", "FAIL", 3, 1)
     assert [(c.category, c.checks, len(c.details)) for c in row.categories] == [("a", 2, 2), ("b", 1, 1)]
+
+
+def test_a_reader_sees_one_whole_load(spark, folder, tmp_path, monkeypatch):
+    """A load that stops anywhere before its commit leaves the load before it."""
+    target = str(tmp_path / "db5")
+    ingest.write_tables(ingest.load_csv_files(spark, folder)[0], target)
+    (tmp_path / "users.csv").write_text(USERS.replace("1,2025", "7,2025"))
+    (tmp_path / "transactions.csv").write_text(TRANSACTIONS.replace("a,1", "z,7"))
+    texts = ingest.load_csv_files(spark, folder)[0]
+
+    def seen():
+        tables = ingest.read_tables(spark, target)
+        users = {r["user_id"] for r in tables["dim_users"].collect()}
+        return users, {r["user_id"] for r in tables["fct_transactions"].collect()}
+
+    before, coerce, calls = seen(), ingest.coerce, []
+
+    def stopping(text, table):
+        calls.append(table)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        return coerce(text, table)
+
+    monkeypatch.setattr(ingest, "coerce", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        ingest.write_tables(texts, target)
+    monkeypatch.setattr(ingest, "coerce", coerce)
+    assert seen() == before == ({1, 2}, {1, 2})
+    held = ingest.read_tables(spark, target)["dim_users"]
+    ingest.write_tables(texts, target)
+    assert seen() == ({7, 2}, {7, 1, 2})
+    assert {r["user_id"] for r in held.collect()} == {1, 2}  # a reader keeps the version it began with
+
+
+def test_versions_are_numbered_and_tidied(spark, tmp_path):
+    target = str(tmp_path / "v")
+    assert snapshots.current(spark, target) is None
+    for k in range(4):
+        place = snapshots.new_folder(target)
+        spark.range(k).write.parquet(f"{place}/t")
+        assert snapshots.commit(spark, target, place, {"k": k}) == k + 1
+    found, facts = snapshots.current(spark, target)
+    assert facts == {"k": 3} and spark.read.parquet(f"{found}/t").count() == 3
+    assert len(list((tmp_path / "v").glob("load-*"))) == snapshots.KEPT
+    # a number taken by another writer is left alone
+    taken = tmp_path / "v" / snapshots.LOG / f"{5:020d}.json"
+    real = snapshots._numbers
+    taken.write_text(json.dumps({"folder": found.rsplit("/", 1)[1], "facts": {"k": 9}}))
+    place, calls = snapshots.new_folder(target), []
+    spark.range(1).write.parquet(f"{place}/t")
+
+    def late(*args):
+        calls.append(1)
+        return [4] if len(calls) == 1 else real(*args)
+
+    snapshots._numbers = late
+    try:
+        assert snapshots.commit(spark, target, place, {"k": 10}) == 6
+    finally:
+        snapshots._numbers = real
+    assert json.loads(taken.read_text())["facts"] == {"k": 9}
+    assert snapshots.current(spark, target)[1] == {"k": 10}
+
+
+def test_checks_are_of_their_version(spark, folder, tmp_path):
+    target, at = str(tmp_path / "db6"), "2025-06-01 00:00:00"
+    with pytest.raises(FileNotFoundError):
+        jobs.checks_of_version(spark, target, at)
+
+    def rows():
+        found = jobs.checks_of_version(spark, target, at).where("check_name like '%users%'")
+        return sorted((r["check_name"], str(r["measured"])) for r in found.collect())
+
+    jobs.load(spark, folder, target)
+    first = rows()
+    assert first and rows() == first
+    (tmp_path / "users.csv").write_text(USERS + USERS.splitlines()[1].replace("1,", "9,", 1) + "\n")
+    jobs.load(spark, folder, target)
+    assert rows() != first
+
+
+def test_reports_follow_their_tables(spark, tmp_path):
+    """No result outlives the tables it was made from."""
+    import shutil
+
+    from lendlens.registry import QUERIES
+
+    names = ["region", "nation", "customer", "orders", "events", "lineitem"]
+    for name in names:
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", tmp_path)
+    first = sorted(map(str, QUERIES["dq_report"](spark, str(tmp_path)).collect()))
+    rest = spark.read.parquet(str(tmp_path / "customer.parquet")).where("c_custkey % 3 <> 0").toPandas()
+    rest.to_parquet(tmp_path / "customer.parquet")
+    spark.catalog.clearCache()
+    assert sorted(map(str, QUERIES["dq_report"](spark, str(tmp_path)).collect())) != first

@@ -10,6 +10,7 @@ from lendlens.registry import QUERIES
 # fitted models: their numbers are checked in test_regression and test_risk_model
 WITHOUT_SQL = {
     "experiment_heterogeneity", "experiment_flags", "risk_model_cv", "risk_coefficients", "risk_model_eval",
+    "risk_model_fits",
 }
 
 
