@@ -12,7 +12,7 @@ from lendlens.functions import coerced, round_half_away
 from lendlens.operators.dedupe import repair_duplicates
 from lendlens.operators.position import with_file_position
 from lendlens.schemas import REQUIRED_COLUMNS, TABLES
-from lendlens.sources import snapshots
+from lendlens.sources import quoted_csv, snapshots
 
 log = logging.getLogger(__name__)
 
@@ -27,12 +27,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, position: str | None = None) -> DataFrame:
     """A CSV file with a header, every column as text: codes keep their leading zeros.
 
     A row with more fields than the header is an error; a shorter one ends in NULLs.
-    Quoted line breaks are read as part of their field. Spark cannot split a file
-    that has them, so only such a file is read by one task.
+    Quoted line breaks are read as part of their field, also by many tasks. Only a
+    file with such breaks and with quotes inside of unquoted fields is read by one
+    task. With ``position`` a column of that name tells the row's place in the file.
     """
     lines = spark.read.text(path)
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
@@ -43,11 +44,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], T.StructType([]))
     # one more column than the header has takes what is too much
     fields = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXCESS]])
-    wide = spark.read.options(**options, enforceSchema=True).schema(fields).csv(path)
+    wide = quoted_csv.read(spark, path, fields, FILE_POSITION) if broken else None
+    placed = wide is not None
+    if not placed:
+        wide = spark.read.options(**options, enforceSchema=True).schema(fields).csv(path)
     excess = wide.where(F.col(EXCESS).isNotNull()).limit(1)
     if not excess.isEmpty():
         raise ValueError(f"a row has more than {len(columns)} fields")
-    return wide.drop(EXCESS)
+    wide = wide.drop(EXCESS)
+    if not position:
+        return wide.drop(FILE_POSITION)
+    return wide.withColumnRenamed(FILE_POSITION, position) if placed else with_file_position(wide, position)
 
 
 def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataFrame], list[str]]:
@@ -61,11 +68,12 @@ def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataF
     loaded, failed = {}, []
     for table, (file, _, _) in TABLES.items():
         try:
-            df = read_csv(spark, f"{directory}/{file}")
+            if table in DUPLICATE_REPAIR:
+                df = repair_file_duplicates(spark, f"{directory}/{file}", *DUPLICATE_REPAIR[table])
+            else:
+                df = read_csv(spark, f"{directory}/{file}")
             if not df.columns:
                 raise ValueError("no columns")
-            if table in DUPLICATE_REPAIR:
-                df = repair_file_duplicates(df, *DUPLICATE_REPAIR[table])
             loaded[table] = df
         except Exception as error:  # one bad file must not stop the others
             log.warning("skipped %s: %s", file, error)
@@ -73,12 +81,12 @@ def load_csv_files(spark: SparkSession, directory: str) -> tuple[dict[str, DataF
     return loaded, failed
 
 
-def repair_file_duplicates(df: DataFrame, id_column: str, strategy: str) -> DataFrame:
-    """Rename duplicate ids by the 0-based row position in the file."""
-    if id_column not in df.columns:
+def repair_file_duplicates(spark: SparkSession, path: str, id_column: str, strategy: str) -> DataFrame:
+    """A file's rows with duplicate ids renamed by the 0-based row position in the file."""
+    placed = read_csv(spark, path, FILE_POSITION)
+    if id_column not in placed.columns:
         log.warning("no column %s, left as it is", id_column)
-        return df
-    placed = with_file_position(df, FILE_POSITION)
+        return placed.drop(FILE_POSITION)
     return repair_duplicates(placed, id_column, strategy, FILE_POSITION).drop(FILE_POSITION)
 
 

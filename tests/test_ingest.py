@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lendlens.plans import jobs, quality
 from lendlens.plans.catalog import LendingCatalog
 from lendlens.schemas import TABLES
-from lendlens.sources import ingest, snapshots
+from lendlens.sources import ingest, quoted_csv, snapshots
 
 USERS = """user_id,signup_at,province,device_os,acquisition_channel,bank_linked_at,payroll_frequency,baseline_risk_score,fico_band
 1,2025-01-01T10:00:00,ON,ios,email,2025-01-02 09:30:00.250000,weekly,0.25,640-679
@@ -52,7 +52,8 @@ def test_positions_span_file_splits(spark, tmp_path):
     try:
         df = ingest.read_csv(spark, str(tmp_path / "t.csv"))
         assert df.rdd.getNumPartitions() > 3
-        fixed = ingest.repair_file_duplicates(df, "txn_id", "append_index").collect()
+        path = str(tmp_path / "t.csv")
+        fixed = ingest.repair_file_duplicates(spark, path, "txn_id", "append_index").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert len(fixed) == 5000
@@ -146,6 +147,57 @@ def test_quoted_line_breaks_and_short_rows(spark, tmp_path):
     assert rows == [("1", 'two\nlines, "quoted"', "3"), ("2", "short", None)]
 
 
+def _many_splits(spark, size):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.mark.parametrize("size", [1 << 27, 4096, 700])
+def test_quoted_line_breaks_in_many_splits(spark, tmp_path, size):
+    """Equal to the reader that takes a file in one task, wherever the splits fall."""
+    import csv
+    import random
+
+    rng = random.Random(size)
+    parts = ["a", "", "b c", 'say ""', "x\ny", "\n", "\n\n", "1,2", "é", "q" * 300, "l\n" * 40, '"', ",", "end\r\nof"]
+    path = tmp_path / "t.csv"
+    with open(path, "w", newline="") as out:
+        writer = csv.writer(out, lineterminator=rng.choice(["\n", "\r\n"]))
+        writer.writerow(["txn_id", "the note", "n"])
+        for k in range(1500):
+            writer.writerow([f"k{k % 400}", "".join(rng.choice(parts) for _ in range(rng.randrange(4))), k])
+            if k % 100 == 0:
+                out.write("\n")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    plain = spark.read.options(header=True, multiLine=True, escape='"').csv(str(path)).collect()
+    assert len(plain) == 1500
+    try:
+        _many_splits(spark, size)
+        lines = quoted_csv._lines(spark, str(path))
+        assert size > 10_000 or lines.select("block").distinct().count() > 10
+        got = ingest.read_csv(spark, str(path), "place").collect()
+        fixed = ingest.repair_file_duplicates(spark, str(path), "txn_id", "append_index").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    got = sorted(got, key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1500))
+    assert [tuple(r)[:3] for r in got] == [tuple(r) for r in plain]
+    assert {r["txn_id"] for r in fixed} == {f"k{k % 400}-dup-{k}" for k in range(1500)}
+
+
+def test_quotes_that_do_not_pair_up_are_left_to_one_task(spark, tmp_path):
+    for k, text in enumerate(['id,note\n1,"two\nlines"\n2,5" pipe\n3,6" pipe\n', 'id,note\n1,"two\nlines"\n2,5" pipe\n']):
+        path = str(tmp_path / f"p{k}.csv")
+        (tmp_path / f"p{k}.csv").write_text(text)
+        plain = spark.read.options(header=True, multiLine=True, escape='"').csv(path).collect()
+        assert sorted(map(tuple, ingest.read_csv(spark, path).collect())) == sorted(map(tuple, plain))
+    wide = str(tmp_path / "wide.csv")
+    (tmp_path / "wide.csv").write_text('id,note\n1,"two\nlines",more\n')
+    with pytest.raises(ValueError):
+        ingest.read_csv(spark, wide)
+
+
 def test_reload_replaces_everything(spark, folder, tmp_path):
     target = str(tmp_path / "db3")
     assert jobs.load(spark, folder, target)["dim_users"] == 2
