@@ -185,6 +185,7 @@ class LogitFit:
     curvature: np.ndarray  # mean of mu (1 - mu) (1 - 2 mu) x
     n: float
     converged: bool
+    determined: bool = True  # the terms that occur are independent, and not all rows are told apart
 
     def marginal_effects(self, design: Design) -> list[dict]:
         """Average marginal effects with delta-method errors, intercept left out.
@@ -201,6 +202,16 @@ class LogitFit:
         ][1:]
 
 
+def _determined(information: np.ndarray, n: float) -> bool:
+    """Whether the coefficients of the terms that occur have one optimum, from the information at the end."""
+    diagonal = np.diag(information)
+    if diagonal[0] < 1e-6 * n:  # all outcomes are certain
+        return False
+    used = diagonal > 0
+    scale = np.sqrt(diagonal[used])
+    return bool(np.linalg.eigvalsh(information[np.ix_(used, used)] / np.outer(scale, scale))[0] > 1e-9)
+
+
 def logit_by_stratum(
     df: DataFrame, outcome: str, design: Design, stratum: str, max_iter: int = 100,
     tol: float = 1e-9,
@@ -240,7 +251,8 @@ def logit_by_stratum(
                 if settled or step == max_iter - 1:
                     n = f[-1]
                     done[s] = LogitFit(open_betas[s], inverse, f[-2] / n,
-                                       f[p + len(upper[0]):-2] / n, n, bool(settled))
+                                       f[p + len(upper[0]):-2] / n, n, bool(settled),
+                                       _determined(information, n))
                 else:
                     open_betas[s] = open_betas[s] + move
             for s in done:

@@ -282,6 +282,13 @@ SELECT tip_test_group, price_test_group, risk_score_decile, province, amount, ti
 CTES["ei"] = """
 SELECT price_test_group || '_' || tip_test_group AS arm, risk_score_decile, province, amount, revenue
 FROM ef WHERE price_test_group IN ('A', 'B')"""
+CTES["hd"] = """
+SELECT * FROM (
+  SELECT tip_test_group, price_test_group, risk_score_decile, amount / 1000.0::DOUBLE AS amount_k,
+         if(count(*) OVER (PARTITION BY province) < 20, 'OTHER', province) AS province,
+         (tip_amount > 0)::INT AS tip_taken, count(*) OVER (PARTITION BY risk_score_decile) AS in_decile
+  FROM le WHERE is_disbursed = 1)
+WHERE in_decile >= 50"""
 CTES["la"] = "SELECT * FROM le WHERE is_disbursed = 1 AND price_test_group = 'A'"
 CTES["nm"] = """
 SELECT tip_test_group, count(*) AS loans, avg((tip_amount > 0)::INT) AS tip_take_rate,
@@ -538,6 +545,9 @@ _NAMES = {name: re.compile(rf"\b(?:FROM|JOIN|from|join)\s*\(?\s*{name}\b|,\s*{na
           for name in CTES}
 
 
+KEPT = {"hd"}  # read by many parts of one statement
+
+
 def compose(final: str) -> str:
     """``final`` with the CTEs it reaches, in definition order."""
     needed: set[str] = set()
@@ -551,7 +561,7 @@ def compose(final: str) -> str:
     if not needed:
         return final.strip()
     order = [n for n in CTES if n in needed]
-    body = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in order)
+    body = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in KEPT else ''}({CTES[n].strip()})" for n in order)
     return f"WITH {body}\n{final.strip()}"
 
 
@@ -917,6 +927,23 @@ _SHOWN = ", ".join(
 expect("experiment_effects", f"""
 SELECT metric, tip_variant, {_SHOWN}, round(p_value, 3) AS p_value, unit FROM ({_union([OLS, LOGIT])})""")
 
+
+
+_FIT = logit_ame("hd", "tip_taken", {"tip_test_group": "control", "price_test_group": "A", "province": None},
+                 "amount_k", 12, "risk_score_decile")
+_PP = ", ".join(f"CASE WHEN fits THEN round(100 * {c}, 2) END AS {c}_pp" for c in ("effect", "ci_low", "ci_high"))
+BY_DECILE = f"""
+SELECT stratum AS risk_decile, split_part(term, '=', 2) AS tip_variant, {_PP},
+       CASE WHEN fits THEN round(p_value, 3) END AS p_value, n, fits AS converged,
+       CASE WHEN NOT fits THEN 'no finite optimum' END AS reason
+FROM (SELECT *, moved < 1e-6 AS fits FROM ({_FIT}))
+WHERE term IN ('tip_test_group=persuasive', 'tip_test_group=social_proof')"""
+expect("experiment_heterogeneity", BY_DECILE)
+expect("experiment_flags", f"""
+SELECT risk_decile, tip_variant, effect_pp, ci_low_pp, ci_high_pp, p_value, p_value < 0.05 AS is_sig,
+       CASE WHEN effect_pp > 0 THEN 'positive' WHEN effect_pp IS NOT NULL THEN 'negative' END AS direction,
+       abs(effect_pp) > 5 AS large_effect, n, converged, reason FROM ({BY_DECILE})""")
+
 # dashboard
 expect("dash_user_funnel", "FROM du")
 expect("dash_experiment_loans", "FROM de", "amount tip_amount revenue")

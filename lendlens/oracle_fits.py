@@ -96,33 +96,74 @@ SELECT * FROM (
 )"""
 
 
-def logit_ame(source: str, outcome: str, categories: dict[str, str | None], numeric: str, steps: int = 9) -> str:
-    """Average marginal effects of a logit with delta-method errors, intercept left out."""
+def _inverses(products: str) -> str:
+    """(s, i, j, v): the inverse of the matrix of each stratum; a term without rows stands alone."""
+    return f"""
+SELECT s, i, j - p AS j, m[i][j] AS v FROM (
+  WITH RECURSIVE wide AS (
+    SELECT s, count(*) AS p, list(r ORDER BY i) AS m FROM (
+      SELECT s, i, list(CASE WHEN i = j AND v = 0 THEN 1.0::DOUBLE ELSE v END ORDER BY j)
+        || list_transform(range(1, (SELECT max(i) FROM {products}) + 1),
+        lambda c: CASE WHEN c = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS r
+      FROM {products} GROUP BY s, i)
+    GROUP BY s
+  ), steps(s, k, p, m) AS (
+    SELECT s, 1, p, m FROM wide
+    UNION ALL
+    SELECT s, k + 1, p, list_transform(m, lambda r, i:
+      CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+           ELSE list_transform(r, lambda v, c: v - r[k] * m[k][c] / m[k][k]) END)
+    FROM steps WHERE k <= p
+  )
+  SELECT s, p, m FROM steps WHERE k = p + 1
+), LATERAL (SELECT unnest(range(1, p + 1)) AS i) a, LATERAL (SELECT unnest(range(p + 1, 2 * p + 1)) AS j) b"""
+
+
+def logit_ame(source: str, outcome: str, categories: dict[str, str | None], numeric: str, steps: int = 9,
+              stratum: str = "0") -> str:
+    """Average marginal effects of a logit in each stratum, delta-method errors, intercept left out.
+
+    (stratum, term, effect, std_err, ci_low, ci_high, p_value, n, moved); the last is
+    the largest move of the last step.
+    """
     terms, rows = design(source, outcome, categories, numeric)
-    ctes = [f"tm AS ({terms})", f"rw AS MATERIALIZED ({rows})",
-            "b0 AS (SELECT list_transform(terms, lambda t: 0.0::DOUBLE) AS b FROM tm)"]
+    each = "LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) a"
+    ctes = [f"tm AS ({terms})", f"rw AS MATERIALIZED ({rows.replace('SELECT [1.0', f'SELECT {stratum} AS s, [1.0', 1)})",
+            "b0 AS (SELECT DISTINCT s, list_transform(terms, lambda t: 0.0::DOUBLE) AS b FROM rw, tm)"]
+
+    def information(f: str) -> str:
+        return (
+            f"SELECT s, i, j, sum(mu * (1 - mu) * x[i] * x[j]) AS v FROM {f}, {each},"
+            " LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) c GROUP BY s, i, j"
+        )
+
     for k in range(steps):
         ctes += [
-            f"f{k} AS MATERIALIZED (SELECT x, y, 1 / (1 + exp(-list_dot_product(x, (SELECT b FROM b{k})))) AS mu FROM rw)",
-            f"h{k} AS MATERIALIZED ({_products(f'f{k}', 'mu * (1 - mu)')})",
-            f"v{k} AS MATERIALIZED ({inverse(f'h{k}')})",
-            f"g{k} AS (SELECT i, sum(x[i] * (y - mu)) AS v FROM f{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) a GROUP BY i)",
-            f"b{k + 1} AS MATERIALIZED (SELECT list((SELECT b FROM b{k})[i] + d ORDER BY i) AS b FROM"
-            f" (SELECT v{k}.i, sum(v{k}.v * g{k}.v) AS d FROM v{k} JOIN g{k} ON v{k}.j = g{k}.i GROUP BY v{k}.i))",
+            f"f{k} AS MATERIALIZED (SELECT s, x, y, 1 / (1 + exp(-list_dot_product(x, b))) AS mu FROM rw JOIN b{k} USING (s))",
+            f"h{k} AS MATERIALIZED ({information(f'f{k}')})",
+            f"v{k} AS MATERIALIZED ({_inverses(f'h{k}')})",
+            f"g{k} AS (SELECT s, i, sum(x[i] * (y - mu)) AS v FROM f{k}, {each} GROUP BY s, i)",
+            f"b{k + 1} AS MATERIALIZED (SELECT s, list(b[i] + d ORDER BY i) AS b, max(abs(d)) AS moved FROM"
+            f" (SELECT v{k}.s, v{k}.i, sum(v{k}.v * g{k}.v) AS d FROM v{k} JOIN g{k} ON v{k}.s = g{k}.s AND v{k}.j = g{k}.i"
+            f" GROUP BY ALL) JOIN b{k} USING (s) GROUP BY s)",
         ]
-    last = steps
+    z = "(effect / sqrt(variance))"
     ctes += [
-        f"ff AS MATERIALIZED (SELECT x, 1 / (1 + exp(-list_dot_product(x, (SELECT b FROM b{last})))) AS mu FROM rw)",
-        f"hh AS MATERIALIZED ({_products('ff', 'mu * (1 - mu)')})",
-        f"cov AS MATERIALIZED ({inverse('hh')})",
-        "slope AS (SELECT avg(mu * (1 - mu)) AS s FROM ff)",
-        "curve AS (SELECT i, avg(x[i] * mu * (1 - mu) * (1 - 2 * mu)) AS c FROM ff,"
-        " LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) a GROUP BY i)",
-        # d(b_i s) / d b_j
-        "jac AS MATERIALIZED (SELECT a.i, curve.i AS j, (CASE WHEN a.i = curve.i THEN s ELSE 0 END)"
-        f" + (SELECT b FROM b{last})[a.i] * c AS v FROM (SELECT i FROM curve) a, curve, slope)",
-        "half AS (SELECT jac.i, cov.j, sum(jac.v * cov.v) AS v FROM jac JOIN cov ON jac.j = cov.i GROUP BY jac.i, cov.j)",
-        "var AS (SELECT half.i, sum(half.v * jac.v) AS v FROM half JOIN jac ON half.j = jac.j AND half.i = jac.i GROUP BY half.i)",
-        f"est AS (SELECT i, (SELECT b FROM b{last})[i] * (SELECT s FROM slope) AS effect, greatest(v, 0) AS variance FROM var WHERE i > 1)",
+        f"ff AS MATERIALIZED (SELECT s, x, b, moved, 1 / (1 + exp(-list_dot_product(x, b))) AS mu FROM rw JOIN b{steps} USING (s))",
+        f"hh AS MATERIALIZED ({information('ff')})",
+        f"cov AS MATERIALIZED ({_inverses('hh')})",
+        "slope AS (SELECT s, any_value(b) AS b, any_value(moved) AS moved, avg(mu * (1 - mu)) AS w, count(*) AS n FROM ff GROUP BY s)",
+        f"curve AS (SELECT s, i, avg(x[i] * mu * (1 - mu) * (1 - 2 * mu)) AS c FROM ff, {each} GROUP BY s, i)",
+        # d(b_i w) / d b_j
+        "jac AS MATERIALIZED (SELECT a.s, a.i, curve.i AS j, (CASE WHEN a.i = curve.i THEN w ELSE 0 END)"
+        " + b[a.i] * c AS v FROM (SELECT s, i FROM curve) a JOIN curve USING (s) JOIN slope USING (s))",
+        "half AS (SELECT jac.s, jac.i, cov.j, sum(jac.v * cov.v) AS v FROM jac JOIN cov ON jac.s = cov.s AND jac.j = cov.i GROUP BY ALL)",
+        "var AS (SELECT half.s, half.i, sum(half.v * jac.v) AS v FROM half"
+        " JOIN jac ON half.s = jac.s AND half.j = jac.j AND half.i = jac.i GROUP BY ALL)",
+        "est AS (SELECT s, i, n, moved, b[i] * w AS effect, greatest(v, 0) AS variance FROM var JOIN slope USING (s) WHERE i > 1)",
     ]
-    return f"\nSELECT * FROM (\n  WITH {', '.join(ctes)}\n  {_effects('est', 'tm')}\n)"
+    return (
+        f"\nSELECT * FROM (\n  WITH {', '.join(ctes)}\n  SELECT s AS stratum, (SELECT terms FROM tm)[i] AS term, effect,"
+        f" sqrt(variance) AS std_err, effect - {Z95} * sqrt(variance) AS ci_low, effect + {Z95} * sqrt(variance) AS ci_high,"
+        f" {two_sided_p(z)} AS p_value, n, moved FROM est\n)"
+    )

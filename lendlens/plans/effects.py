@@ -16,6 +16,7 @@ BASELINES = {
 }
 OLS_METRICS = {"Mean tip ($)": "tip_amount", "RPDL ($)": "revenue"}
 LOGIT_METRICS = {"Take-rate (AME)": "tip_taken", "Default (AME)": "is_default"}
+STEPS = 12  # Newton steps of a stratum; a finite optimum takes about half as many
 _EFFECT = ("metric string, tip_variant string, effect double, ci_low double, ci_high double,"
            " p_value double, unit string")
 
@@ -92,7 +93,10 @@ def heterogeneity(loans: DataFrame, min_stratum: int = 50, min_province: int = 2
     """Take-rate effect within each risk decile.
 
     Every disbursed loan takes part, those outside the tip test as an arm of
-    their own. Small strata are left out, rare provinces pooled.
+    their own. Small strata are left out, rare provinces pooled. Where the outcome
+    is separated by the terms the coefficients grow without end, and where terms
+    depend on each other they are not determined: such a stratum, known by steps that
+    have not become small after STEPS of them, has no effects, but the reason.
     """
     disbursed = loans.where(F.col("is_disbursed") == 1).select(
         "tip_test_group", "price_test_group", "risk_score_decile", "province",
@@ -107,20 +111,22 @@ def heterogeneity(loans: DataFrame, min_stratum: int = 50, min_province: int = 2
     baselines = {"tip_test_group": "control", "price_test_group": "A", "province": None}
     rows = []
     with persisted(frame):
-        fits = {}
+        strata = {}
         if not frame.isEmpty():
             design = design_of(frame, baselines, "amount_k")
-            fits = logit_by_stratum(frame, "tip_taken", design, "risk_score_decile")
-        for decile, fit in sorted(fits.items()):
+            strata = logit_by_stratum(frame, "tip_taken", design, "risk_score_decile", max_iter=STEPS)
+        for decile, fit in sorted(strata.items()):
             for e in fit.marginal_effects(design):
                 if e["term"] == "tip_test_group" and e["level"] in ("persuasive", "social_proof"):
+                    fits = fit.converged and fit.determined
+                    shown = [100 * e["effect"], 100 * e["ci_low"], 100 * e["ci_high"], e["p_value"]]
                     rows.append((
-                        decile, e["level"], 100 * e["effect"], 100 * e["ci_low"],
-                        100 * e["ci_high"], e["p_value"], int(fit.n), fit.converged,
+                        decile, e["level"], *(shown if fits else [None] * 4), int(fit.n), fits,
+                        None if fits else "no finite optimum",
                     ))
     raw = loans.sparkSession.createDataFrame(
         rows, "risk_decile int, tip_variant string, effect_pp double, ci_low_pp double,"
-              " ci_high_pp double, p_value double, n bigint, converged boolean",
+              " ci_high_pp double, p_value double, n bigint, converged boolean, reason string",
     )
     return raw.withColumns({
         **{c: round_half_away(F.col(c), 2) for c in ("effect_pp", "ci_low_pp", "ci_high_pp")},
@@ -133,9 +139,10 @@ def effect_flags(table: DataFrame) -> DataFrame:
     return table.select(
         "risk_decile", "tip_variant", "effect_pp", "ci_low_pp", "ci_high_pp", "p_value",
         (F.col("p_value") < 0.05).alias("is_sig"),
-        F.when(F.col("effect_pp") > 0, "positive").otherwise("negative").alias("direction"),
+        F.when(F.col("effect_pp") > 0, "positive")
+        .when(F.col("effect_pp").isNotNull(), "negative").alias("direction"),
         (F.abs("effect_pp") > 5).alias("large_effect"),
-        "n", "converged",
+        "n", "converged", "reason",
     )
 
 

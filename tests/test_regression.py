@@ -88,3 +88,26 @@ def test_term_missing_in_a_stratum_gets_zero(spark, frame):
     position = DESIGN.terms.index(("arm", "y"))
     assert abs(fits[1].beta[position]) < 1e-12
     assert abs(fits[0].beta[position]) > 1e-3
+
+
+def test_strata_without_a_finite_optimum(spark):
+    """Separated and dependent strata are told from a sound one; a term that is absent does no harm."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for g in range(4):
+        for k in range(120):
+            arm, hit = "xy"[k % 2], int(rng.random() < 0.4)
+            cat = "pq"[k % 3 == 0]
+            if g == 1:
+                hit = int(arm == "y")  # told apart altogether
+            if g == 2 and arm == "y":
+                hit = 1  # in one arm only
+            if g == 3:
+                cat = "pq"["xy".index(arm)]  # the same as the arm
+            rows.append((g, arm, cat, float(rng.normal()), hit))
+    df = spark.createDataFrame(rows, "g int, arm string, cat string, v double, hit int")
+    design = design_of(df, {"arm": "x", "cat": "p"}, "v")
+    fits = logit_by_stratum(df, "hit", design, "g", max_iter=12)
+    assert {g: f.converged and f.determined for g, f in fits.items()} == {0: True, 1: False, 2: False, 3: False}
+    without = logit_by_stratum(df.where("g <> 0 or cat = 'p'"), "hit", design, "g", max_iter=12)
+    assert without[0].converged and without[0].determined
