@@ -893,6 +893,12 @@ SELECT stratum, effect, sqrt(variance) AS std_err, n FROM st
 UNION ALL SELECT 'pooled', sum(effect / variance) / sum(1 / variance), sqrt(1 / sum(1 / variance)),
                  sum(n)::BIGINT FROM st WHERE variance > 0""", "effect std_err")
 
+expect("views_by_name", """
+SELECT province, risk_score_decile, count(*) AS loans, sum(is_default)::BIGINT AS defaults,
+       count(one) AS assignments
+FROM lc JOIN uc USING (user_id) LEFT JOIN (SELECT DISTINCT user_id, 1 AS one FROM ab) USING (user_id)
+GROUP BY ALL""")
+
 # adjusted effects
 TERMS = {"tip_test_group": "control", "price_test_group": "A", "risk_score_decile": None, "province": None}
 

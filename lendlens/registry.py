@@ -72,6 +72,20 @@ _add("loans_clean", lambda c: c.loans, 6)
 _add("assignments_clean", lambda c: c.assignments)
 _add("sessions_clean", lambda c: c.sessions)
 
+
+
+@query("views_by_name")
+def _by_name(c: LendingCatalog) -> DataFrame:
+    """The registered views, read by their names."""
+    c.register()
+    return c.spark.sql("""
+        SELECT u.province, u.risk_score_decile, count(*) AS loans, sum(l.is_default) AS defaults,
+               count(a.assignment_order) AS assignments
+        FROM v_fct_loans_clean l JOIN v_dim_users_clean u ON l.user_id = u.user_id
+        LEFT JOIN v_ab_assignments_clean a ON l.user_id = a.user_id AND a.assignment_order = 1
+        GROUP BY u.province, u.risk_score_decile""")
+
+
 # funnel
 _add("user_first_app_open", lambda c: funnel.first_app_open(c.sessions_enriched))
 _add("user_bank_link", lambda c: funnel.bank_link(c.users_enriched))
