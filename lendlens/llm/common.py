@@ -118,7 +118,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels travel along links and then jump to their label's label; every
     round is a written table, so that lineage stays short. Nothing is collected
-    but the number of changes.
+    but the number of changes, and the joins are merge joins, as a broadcast of
+    labels would pass through the driver in each round.
     """
     both = written(
         links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -130,14 +131,14 @@ def components(links: DataFrame) -> DataFrame:
     ))
     while True:
         near = (
-            both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")), "dst")
+            both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")).hint("merge"), "dst")
             .groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         )
-        spread = labels.join(near, "id").select(
+        spread = labels.join(near.hint("merge"), "id").select(
             "id", F.least("component", "c").alias("component"), F.col("component").alias("was")
         )
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = written(spread.join(jump, "component", "left").select(
+        after = written(spread.join(jump.hint("merge"), "component", "left").select(
             "id", F.least("component", F.coalesce("further", "component")).alias("component"), "was"
         ))
         changed = after.filter(F.col("component") != F.col("was")).limit(1).count()

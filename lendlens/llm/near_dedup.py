@@ -121,25 +121,27 @@ def chunk_keys(signature: np.ndarray) -> np.ndarray:
     return (keys & ~np.uint64(127)) | np.arange(keys.shape[1], dtype=np.uint64)
 
 
-def _sketch(id_col: str, text_col: str):
-    def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-        flat, offsets = shingle_sets(piece.column(text_col))
-        sizes = np.diff(offsets)
-        found = signatures(flat, offsets)
-        per_row = np.where(sizes > 0, POSITIONS, 0)
-        digests = [
-            hashlib.blake2b(flat[offsets[r] : offsets[r + 1]].tobytes(), digest_size=16).digest()
-            for r in range(piece.num_rows)
-        ]
-        return pa.RecordBatch.from_arrays(
-            [
-                piece.column(id_col), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                lists(found.reshape(-1).view(np.int16), np.concatenate([[0], np.cumsum(per_row)]), pa.int16()),
-            ],
-            ["id", "n", "digest", "signature"],
-        )
-
-    return over_slices(text_col, step)
+def _digests(flat: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """A digest of each set: equal sets are one class."""
+    return [
+        hashlib.blake2b(flat[offsets[r] : offsets[r + 1]].tobytes(), digest_size=16).digest()
+        for r in range(len(offsets) - 1)
+    ]
+
+
+def _sketch(piece: pa.RecordBatch) -> pa.RecordBatch:
+    flat, offsets = shingle_sets(piece.column("text"))
+    sizes = np.diff(offsets)
+    found = signatures(flat, offsets)
+    per_row = np.where(sizes > 0, POSITIONS, 0)
+    return pa.RecordBatch.from_arrays(
+        [
+            piece.column("id"), piece.column("exact"), pa.array(sizes, pa.int64()),
+            pa.array(_digests(flat, offsets), pa.binary()),
+            lists(found.reshape(-1).view(np.int16), np.concatenate([[0], np.cumsum(per_row)]), pa.int16()),
+        ],
+        ["id", "exact", "n", "digest", "signature"],
+    )
 
 
 def _keys(batches):
@@ -180,11 +182,14 @@ SKETCHED = [*(f"plane{k}" for k in range(PLANES)), *(f"packed{k}" for k in range
 
 
 def _involved(batches):
-    """Texts with their sketch as columns."""
+    """Texts of classes, with their sketch as columns; other texts of a class's document are left out."""
     for b in batches:
         for begin in range(0, b.num_rows, 256):
             piece = b.slice(begin, 256)
-            made = sketches(*shingle_sets(piece.column("text")))
+            flat, offsets = shingle_sets(piece.column("text"))
+            own = [d == e for d, e in zip(_digests(flat, offsets), piece.column("digest").to_pylist())]
+            made = sketches(flat, offsets)[np.array(own, dtype=bool)[np.diff(offsets) > 0]]
+            piece = piece.filter(pa.array(own))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("id"), piece.column("text"), *(pa.array(made[:, k].copy()) for k in range(made.shape[1]))],
                 ["id", "text", *SKETCHED],
@@ -222,14 +227,14 @@ def _first_shared() -> Column:
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, id, component) of the keys that hold several components."""
-    labelled = members.join(labels, "id", "left").select(
+    labelled = members.join(labels.hint("merge"), "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
     keys = (
         labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("low != high").select("key")
     )
-    return written(labelled.join(keys, "key"))
+    return written(labelled.join(keys.hint("merge"), "key"))
 
 
 def _outside(apart: DataFrame, number: int) -> DataFrame:
@@ -239,7 +244,7 @@ def _outside(apart: DataFrame, number: int) -> DataFrame:
     leaders = parts.groupBy("key").agg(F.max(F.struct("n", "leader", "component")).alias("top")).select(
         "key", "top.leader", F.col("top.component").alias("own")
     )
-    return apart.join(leaders, "key").filter("component != own").drop("own")
+    return apart.join(leaders.hint("merge"), "key").filter("component != own").drop("own")
 
 
 def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
@@ -272,41 +277,35 @@ def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row.
-
-    Null and empty texts have no shingles and link with nothing: their
-    component is their own id. Rows with equal sets are linked; repeated rows
-    share their id, and so their component. A row with a null id takes part
-    in nothing and gets a null component; it is kept. Other columns are not
-    read. An empty table gives an empty result. Chunks and sketches are sized for
-    SIMILARITY; a lower percent would miss pairs and is an error.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(id, exact, n, component) for each row; exact is a digest of the row's whole text."""
     if percent < SIMILARITY:
         raise ValueError(f"percent is {percent}, but keys and sketches find pairs from {SIMILARITY} per cent on")
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    sketched = written(rows.mapInArrow(
-        _sketch(id_col, text_col), f"id {kind}, n bigint, digest binary, signature array<smallint>"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sketched = written(rows.withColumn("exact", F.sha2(F.col("text"), 256)).mapInArrow(
+        over_slices("text", _sketch),
+        f"id {kind}, exact string, n bigint, digest binary, signature array<smallint>",
     ))
-    # one representative for each distinct shingle set
+    # a class of equal sets goes by its smallest id, or by its digest if an id may have several texts
+    repeated = sketched.groupBy("id").count().filter("count > 1 and id is not null").limit(1).count() > 0
+    name, kind = ("digest", "binary") if repeated else ("rep", kind)
     classes = written(
         sketched.filter("n > 0 and id is not null").groupBy("digest")
         .agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
+        .select(F.col(name).alias("id"), "digest", "rep", "signature")
     )
-    keyed = classes.select(F.col("rep").alias("id"), "signature").mapInArrow(_keys, f"key bigint, id {kind}")
+    keyed = classes.select("id", "signature").mapInArrow(_keys, f"key bigint, id {kind}")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(keyed.join(leaders, "key").select("key", "id", "leader"))
-
-    texts = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    if_repeated = sketched.groupBy("id").count().filter("count > 1 and id is not null")
-    if if_repeated.limit(1).count():  # a repeated id stands for one text: that of its class
-        texts = texts.dropDuplicates(["id"])
-    texts = written(
-        texts.join(shared.select("id").distinct(), "id")
+    shared = written(keyed.join(leaders.hint("merge"), "key").select("key", "id", "leader"))
+
+    involved = classes.select("id", "digest", "rep").join(shared.select("id").distinct().hint("merge"), "id")
+    texts = (
+        rows.withColumnRenamed("id", "rep").join(involved, "rep").select("id", "text", "digest")
         .mapInArrow(_involved, f"id {kind}, text string, " + ", ".join(f"{c} bigint" for c in SKETCHED))
     )
+    texts = written(texts.dropDuplicates(["id"]) if repeated else texts)
     stars = shared.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, texts, percent)
     labels = components(links)
@@ -323,18 +322,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if found.limit(1).count():
         labels = components(links.unionByName(found))
 
-    of_class = classes.join(labels, classes["rep"] == labels["id"], "left").select(
-        F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component")
+    of_class = classes.select("id", F.col("digest").alias("d"), "rep").join(labels, "id", "left").select(
+        "d", "rep", F.coalesce("component", "id").alias("component")
     )
+    least = of_class.groupBy("component").agg(F.min("rep").alias("least")).hint("merge")
+    of_class = of_class.join(least, "component").select("d", F.col("least").alias("component"))
     out = sketched.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+    return out.select("id", "exact", "n", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row.
+
+    Null and empty texts have no shingles and link with nothing: their
+    component is their own id. Rows with equal sets are linked. Repeated rows
+    have one component; an id with several texts is judged text by text, and all
+    of them take part. A row with a null id takes part in nothing and gets a null
+    component; it is kept. Other columns are not read. An empty table gives an
+    empty result. Chunks and sketches are sized for SIMILARITY; a lower percent
+    would miss pairs and is an error.
+    """
+    return _judged(docs, id_col, text_col, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those near a document with a smaller id."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows without those whose text is near that of a document with a smaller id."""
+    gone = _judged(docs, id_col, text_col, SIMILARITY).filter("id != component").select(
+        F.col("id").alias("__gone"), F.col("exact").alias("__text")
+    )
+    same = (F.col(id_col) == F.col("__gone")) & (F.sha2(F.col(text_col), 256) == F.col("__text"))
+    return docs.join(gone, same, "left_anti")

@@ -80,6 +80,21 @@ def test_near_dedup_links_across_the_smallest(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
+    """Ids with several texts: no link is missed and no unrelated text is lost."""
+    one = " ".join(f"p{k}" for k in range(200))
+    two = " ".join(f"q{k}" for k in range(200))
+    other = " ".join(f"r{k}" for k in range(50))
+    rows = [(5, one), (5, two), (5, two), (7, two + " end"), (3, one + " end"), (5, other), (5, None), (9, other + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [
+        (3, 197, 3), (5, 0, 5), (5, 46, 5), (5, 196, 3), (5, 196, 5), (5, 196, 5), (7, 197, 5), (9, 47, 5)
+    ]
+    kept = sorted((r.doc_id, r.text or "") for r in near_dedup.deduplicate(docs).collect())
+    assert kept == [(3, one + " end"), (5, ""), (5, two), (5, two), (5, other)]
+
+
 def test_signature_radius():
     """Signatures within the radius share a key, wherever they differ."""
     import numpy as np
