@@ -121,24 +121,18 @@ def components(links: DataFrame) -> DataFrame:
     but the number of changes, and the joins are merge joins, as a broadcast of
     labels would pass through the driver in each round.
     """
-    both = written(
-        links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .union(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-        .distinct()
-    )
-    labels = written(both.groupBy(F.col("src").alias("id")).agg(
-        F.least(F.min("dst"), F.first("src")).alias("component")
-    ))
+    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    both = both.union(both.select("dst", "src"))
+    # each node is its own neighbour too
+    both = written(both.union(both.select("src", F.col("src").alias("dst"))).distinct())
+    labels = written(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component")))
     while True:
-        near = (
-            both.join(labels.select(F.col("id").alias("dst"), F.col("component").alias("c")).hint("merge"), "dst")
-            .groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
+        known = labels.select(F.col("id").alias("dst"), F.col("component").alias("c")).hint("merge")
+        spread = both.join(known, "dst").groupBy(F.col("src").alias("id")).agg(
+            F.min("c").alias("component"), F.min(F.when(F.col("src") == F.col("dst"), F.col("c"))).alias("was")
         )
-        spread = labels.join(near.hint("merge"), "id").select(
-            "id", F.least("component", "c").alias("component"), F.col("component").alias("was")
-        )
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        after = written(spread.join(jump.hint("merge"), "component", "left").select(
+        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further")).hint("merge")
+        after = written(spread.join(jump, "component", "left").select(
             "id", F.least("component", F.coalesce("further", "component")).alias("component"), "was"
         ))
         changed = after.filter(F.col("component") != F.col("was")).limit(1).count()

@@ -44,7 +44,6 @@ ROUNDS = 3  # further leaders of a key before its pairs are compared one by one
 # sketches of similarity 0.75 differ in 96 positions on average, with a deviation of 8.8
 SKETCH, SKETCH_RADIUS = 512, 142
 PLANES = 2 * SKETCH // 64
-PACKED = CHUNKS + CHUNKS // 4  # 64-bit words of a signature
 
 _RNG = np.random.default_rng(29)
 _FACTOR = _RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -90,18 +89,10 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, positions: int = POSITIONS
 
 
 def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of 64-bit words for each non-empty set.
-
-    PLANES words hold the low bits of the sketch's symbols and then the next ones.
-    The rest holds the signature: the first four symbols of each chunk, then the
-    fifth ones of four chunks each.
-    """
+    """A row of 64-bit words for each non-empty set: the low bits of the sketch's symbols, then the next ones."""
     symbols = signatures(flat, offsets, SKETCH)
     planes = [np.packbits((symbols >> bit & 1).astype(np.uint8), axis=1) for bit in (np.uint16(0), np.uint16(1))]
-    chunks = symbols[:, :POSITIONS].reshape(-1, CHUNKS, CHUNK)
-    four, fifth = np.ascontiguousarray(chunks[:, :, :4]), np.ascontiguousarray(chunks[:, :, 4])
-    words_ = [np.concatenate(planes, axis=1).view(np.int64), four.reshape(len(symbols), -1).view(np.int64), fifth.view(np.int64)]
-    return np.concatenate(words_, axis=1)
+    return np.concatenate(planes, axis=1).view(np.int64)
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
@@ -178,7 +169,7 @@ def _confirm(percent: int):
     return run
 
 
-SKETCHED = [*(f"plane{k}" for k in range(PLANES)), *(f"packed{k}" for k in range(PACKED))]
+SKETCHED = [f"plane{k}" for k in range(PLANES)]
 
 
 def _involved(batches):
@@ -204,27 +195,6 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirm(percent), pairs.schema))
 
 
-def _differing(k: int) -> Column:
-    """A bit for each of the four symbols of a packed word that differ between a and b."""
-    x = F.col(f"packed{k}_a").bitwiseXOR(F.col(f"packed{k}_b"))
-    for shift in (8, 4, 2, 1):
-        x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-    return x.bitwiseAND(F.lit(0x0001000100010001))
-
-
-def _first_shared() -> Column:
-    """Whether the key is the first that a and b share, as one pair may share many."""
-    slot = F.col("key").bitwiseAND(F.lit(127)).cast("int")
-    chunk, out = F.floor(slot / CHUNK).cast("int"), slot % CHUNK
-    found = F.lit(False)
-    for c in reversed(range(CHUNKS)):
-        fifth = F.shiftrightunsigned(_differing(CHUNKS + c // 4), 16 * (c % 4)).bitwiseAND(F.lit(1).cast("long"))
-        errors = F.bit_count(_differing(c)) + fifth.cast("int")
-        # without an error in the chunk each choice gives a shared key, and the first one is taken
-        found = F.when(errors <= ERRORS, (chunk == c) & ((errors > 0) | (out == 0))).otherwise(found)
-    return found
-
-
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, id, component) of the keys that hold several components."""
     labelled = members.join(labels.hint("merge"), "id", "left").select(
@@ -251,7 +221,8 @@ def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids that share a key across components and have near sketches, each once.
 
     One of the two is outside the key's largest component, so its members are not
-    compared with each other.
+    compared with each other. A pair that shares several keys is met in each; only
+    its two ids are shuffled to make it one.
     """
     sketched = texts.select("id", *SKETCHED)
 
@@ -269,8 +240,8 @@ def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
         return F.bit_count(low.bitwiseOR(high))
 
     distance = sum((differs(k) for k in range(1, PLANES // 2)), differs(0))
-    # one condition, so that the cheap tests come first
-    near = F.when(F.col("component_a") != F.col("component_b"), F.when(distance <= SKETCH_RADIUS, _first_shared()))
+    # one condition, so that the cheap test comes first
+    near = F.when(F.col("component_a") != F.col("component_b"), distance <= SKETCH_RADIUS)
     return (
         one.join(two, (F.col("key") == F.col("key_b")) & F.coalesce(near, F.lit(False)))
         .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
@@ -325,8 +296,10 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     of_class = classes.select("id", F.col("digest").alias("d"), "rep").join(labels, "id", "left").select(
         "d", "rep", F.coalesce("component", "id").alias("component")
     )
-    least = of_class.groupBy("component").agg(F.min("rep").alias("least")).hint("merge")
-    of_class = of_class.join(least, "component").select("d", F.col("least").alias("component"))
+    if repeated:  # components go by digests
+        least = of_class.groupBy("component").agg(F.min("rep").alias("least"))
+        of_class = of_class.join(least, "component").withColumn("component", F.col("least"))
+    of_class = of_class.select("d", "component")
     out = sketched.join(of_class, (F.col("digest") == F.col("d")) & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "exact", "n", component.alias("component"))
