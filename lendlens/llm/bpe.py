@@ -10,10 +10,11 @@ step looks at all of them, and merges one pair if there is one. Ranks come from
 into buckets by a hash so that a lookup looks at a dozen entries. Decoding maps
 ids to their bytes and concatenates them.
 
-The fold runs once for each distinct word that is frequent in the corpus: the
-words are counted, the FREQUENT most frequent count classes are encoded, and
-their ids become a second literal map of bounded size. Other words are folded
-where they stand. Documents are not shuffled; only the word counts are.
+The fold runs once for each distinct word of the corpus, in the job that counts
+the words. The ids of the FREQUENT most frequent count classes become a second
+literal map of bounded size. Each place of any other word is joined to the word's
+ids, and the places of a text come back to it in one array, under a digest of
+the text. So the documents and the rare words' places are shuffled once each.
 
 A long word costs its bytes times the different ranks merged in it.
 """
@@ -22,20 +23,19 @@ from __future__ import annotations
 
 import base64
 import json
-import math
 import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import prepare
+from lendlens.llm.common import fresh, prepare
 from lendlens.operators.cache import written
 
-FREQUENT = 1 << 17  # words encoded once and looked up
+FREQUENT = 1 << 16  # words that are looked up where they stand
 FREQUENT_BYTES = 48  # longer words are not kept in the literal map
 SHORT = 32  # pieces up to which one pair is merged per step
-BUCKETS = 4096
+BUCKETS = 1 << 14
 NONE = 2**31 - 1  # rank of a pair that is no token
 
 
@@ -189,42 +189,56 @@ class Tokenizer:
     def rank_map(self) -> Column:
         return _literal_map(self.ranks, "int")
 
-    def frequent(self, docs: DataFrame, text_col: str, most: int) -> dict[str, list[int]]:
-        """Ids of at most `most` words, those of the highest classes of counts."""
+    def vocabulary(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """Each distinct word with its ids, and the class of its count if it is short enough for a literal."""
         spoken = docs.select(F.explode(self.words(F.col(text_col))).alias("word"))
-        counted = written(
-            spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.octet_length("word") <= FREQUENT_BYTES)
-            .withColumn("class", F.floor(F.log2("n") * 8).cast("int"))
-        )
-        classes = counted.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect()
-        total, lowest = 0, math.inf
-        for r in classes:  # a few hundred at most, as counts are below 2^63
-            total += r["n"]
-            if total > most:
-                break
-            lowest = r["class"]
-        if lowest == math.inf:
-            return {}
-        chosen = counted.filter(F.col("class") >= int(lowest)).select("word").repartition(F.col("word"))
         ids = bind(self.rank_map(), lambda ranks: _fold(_bytes(F.col("word")), ranks))
-        return {r["word"]: r["ids"] for r in chosen.select("word", ids.alias("ids")).collect()}
+        short = F.octet_length("word") <= FREQUENT_BYTES
+        return written(spoken.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(
+            "word", F.when(short, F.floor(F.log2("n") * 8).cast("int")).alias("class"), ids.alias("ids")
+        ))
 
     def encode(self, docs: DataFrame, text_col: str = "text", ids: str = "ids", most: int = FREQUENT) -> DataFrame:
         """The documents with an array of the token ids of each whole text.
 
-        A null or empty text has no ids. No special token is recognised. Rows
-        are encoded one by one, so repeated rows get equal ids; other columns
-        pass through, but one named `ids` is replaced.
+        A null or empty text has no ids. No special token is recognised.
+        Repeated rows stay and get equal ids; other columns pass through, but
+        one named `ids` is replaced. `most` bounds the words that are looked up
+        where they stand, which are those of the highest classes of counts.
         """
         _quiet(docs.sparkSession)
-        known = _literal_map(self.frequent(docs, text_col, most), "array<int>")
-        encoded = bind(F.struct(known.alias("known"), self.rank_map().alias("ranks")), lambda maps: F.flatten(F.transform(
-            self.words(F.col(text_col)),
-            lambda w: bind(_looked_up(maps["known"], w), lambda found: F.when(found.isNotNull(), found).otherwise(
-                _fold(_bytes(w), maps["ranks"])
-            )),
-        )))
-        return docs.withColumn(ids, encoded)
+        vocabulary = self.vocabulary(docs, text_col)
+        lowest = _lowest_class(vocabulary, most)
+        frequent = F.coalesce(F.col("class") >= lowest, F.lit(False))
+        known = _literal_map({r["word"]: r["ids"] for r in vocabulary.filter(frequent).select("word", "ids").collect()}, "array<int>")
+
+        key, rare = fresh(docs, "key"), fresh(docs, "rare")
+        text = F.col(text_col)
+        digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+        # what is looked up anyway has the same ids in the vocabulary
+        places = docs.select(digest.alias(key), F.posexplode(self.words(text)).alias("place", "word")).filter(
+            _looked_up(known, F.col("word")).isNull()
+        )
+        # merge joins, as a broadcast would pass through the driver
+        joined = places.join(vocabulary.filter(~frequent).select("word", "ids").hint("merge"), "word")
+        # equal texts have equal places
+        of_text = written(joined.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias(rare)))
+
+        encoded = docs.withColumn(key, digest).join(of_text.hint("merge"), key, "left")
+        other = F.coalesce(F.col(rare), F.array().cast(of_text.schema[rare].dataType))
+
+        def ordered(words: Column) -> Column:
+            found = F.transform(words, lambda w, k: F.struct(k.alias("place"), _looked_up(known, w).alias("ids")))
+            return F.sort_array(F.concat(F.filter(found, lambda word: word["ids"].isNotNull()), other))  # two sorted runs
+
+        def folded(words: Column) -> Column:
+            return bind(self.rank_map(), lambda ranks: F.transform(words, lambda w: _fold(_bytes(w), ranks)))
+
+        # a text that the first pass did not see, as of an unordered limit, is folded where it stands
+        all_ids = bind(self.words(text), lambda words: bind(ordered(words), lambda found: F.when(
+            F.size(found) == F.size(words), F.flatten(found.getField("ids"))
+        ).otherwise(F.flatten(folded(words)))))
+        return encoded.withColumn(ids, all_ids).select(*dict.fromkeys([*docs.columns, ids]))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids, as binary."""
@@ -237,6 +251,18 @@ class Tokenizer:
         return F.encode(joined, "ISO-8859-1")
 
 
+def _lowest_class(vocabulary: DataFrame, most: int) -> int:
+    """The lowest class so that it and the higher ones hold at most so many words."""
+    classes = vocabulary.filter(F.col("class").isNotNull()).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    total, lowest = 0, NONE
+    for r in classes.orderBy(F.desc("class")).collect():  # a few hundred at most, as counts are below 2^63
+        total += r["n"]
+        if total > most:
+            break
+        lowest = r["class"]
+    return lowest
+
+
 def _quiet(spark: SparkSession) -> None:
     """Plans hold the vocabulary; their printed form need not."""
     prepare(spark)
