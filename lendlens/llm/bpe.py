@@ -88,8 +88,12 @@ def _fold(word: Column, ranks: Column) -> Column:
 
     def looked_at(state: Column) -> Column:
         # the least rank and its leftmost place as one number
-        places = F.transform(state, lambda p, k: F.shiftleft(p["rank"].cast("long"), 31).bitwiseOR(k.cast("long")))
-        return F.struct(state.alias("state"), F.array_min(places).alias("least"))
+        def least(ranks: Column) -> Column:
+            return bind(F.array_min(ranks), lambda value: F.struct(state.alias("state"), F.shiftleft(value.cast("long"), 31).bitwiseOR(
+                F.array_position(ranks, value) - 1
+            ).alias("least")))
+
+        return bind(state.getField("rank"), least)
 
     def merge_all(state: Column, least: Column) -> Column:
         # the state after all merges, or null for a single one or if they make a pair of a lower rank on the way;
@@ -216,7 +220,8 @@ class Tokenizer:
         text = F.col(text_col)
         digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
         # what is looked up anyway has the same ids in the vocabulary
-        places = docs.select(digest.alias(key), F.posexplode(self.words(text)).alias("place", "word")).filter(
+        keyed = docs.withColumn(key, digest)  # before the words are dealt out, once a text
+        places = keyed.select(key, F.posexplode(self.words(text)).alias("place", "word")).filter(
             _looked_up(known, F.col("word")).isNull()
         )
         # merge joins, as a broadcast would pass through the driver
@@ -224,7 +229,7 @@ class Tokenizer:
         # equal texts have equal places
         of_text = written(joined.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias(rare)))
 
-        encoded = docs.withColumn(key, digest).join(of_text.hint("merge"), key, "left")
+        encoded = keyed.join(of_text.hint("merge"), key, "left")
         other = F.coalesce(F.col(rare), F.array().cast(of_text.schema[rare].dataType))
 
         def ordered(words: Column) -> Column:
