@@ -34,6 +34,26 @@ def test_quality(docs, labels):
     assert right >= 0.95 * len(held) > 0
 
 
+def test_quality_learns_from_all_pairs(docs, labels):
+    """The weights are stationary for the loss over every pair, steps and threshold are those of all rows."""
+    import numpy as np
+
+    model = quality.learn(docs, labels)
+    got = quality.labelled(docs, labels).toPandas()
+    x, good = np.stack(got.x), got.good.to_numpy()
+    assert np.allclose(model.steps, np.quantile(x, np.linspace(0.1, 0.9, 9), axis=0).T, rtol=1e-12, atol=1e-12)
+    design = model.design(x)
+    z = design @ model.weights
+    lost = 1 / (1 + np.exp(z[good][:, None] - z[~good][None, :]))
+    gradient = quality.PENALTY * model.weights - (
+        lost.sum(1) @ design[good] - lost.sum(0) @ design[~good]
+    ) / lost.size
+    assert np.abs(gradient).max() < 1e-6
+    ordered, bad = np.sort(z), (~good).sum()
+    assert model.threshold == (ordered[bad - 1] + ordered[bad]) / 2
+    assert np.isclose(model.scale, 2 / np.median(np.abs(z - model.threshold)))
+
+
 def test_quality_edges(spark, docs, labels):
     model = quality.learn(docs, labels)
     table = spark.createDataFrame(corpus.rows(), corpus.SCHEMA)
