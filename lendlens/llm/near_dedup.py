@@ -40,14 +40,19 @@ CHUNKS, CHUNK = 16, 5
 POSITIONS = CHUNKS * CHUNK
 ERRORS = 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1  # within it, no pair is missed
+LEADERS = 4  # of the keys of an id that it is compared with in a round
+FEW = 20  # a round that confirms less than one pair in so many is the last one
 ROUNDS = 3  # further leaders of a key before its pairs are compared one by one
 # sketches of similarity 0.75 differ in 96 positions on average, with a deviation of 8.8
 SKETCH, SKETCH_RADIUS = 512, 142
 PLANES = 2 * SKETCH // 64
+# and so do the longer ones in 384, with a deviation of 17.7
+LONG_SKETCH, LONG_RADIUS = 2048, 476
+FINE = (LONG_SKETCH - SKETCH) // 64  # words of a bit of the positions that only the longer sketch has
 
 _RNG = np.random.default_rng(29)
-_FACTOR = _RNG.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, SKETCH, dtype=np.uint32)
+_FACTOR = _RNG.integers(0, 2**31, LONG_SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 2**32, LONG_SKETCH, dtype=np.uint32)
 _KEY_SALT = _RNG.integers(0, 2**63, (CHUNKS, CHUNK), dtype=np.uint64)
 
 
@@ -88,11 +93,18 @@ def signatures(flat: np.ndarray, offsets: np.ndarray, positions: int = POSITIONS
     return out
 
 
-def sketches(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of 64-bit words for each non-empty set: the low bits of the sketch's symbols, then the next ones."""
-    symbols = signatures(flat, offsets, SKETCH)
-    planes = [np.packbits((symbols >> bit & 1).astype(np.uint8), axis=1) for bit in (np.uint16(0), np.uint16(1))]
-    return np.concatenate(planes, axis=1).view(np.int64)
+def sketches(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 64-bit words for each non-empty set: the low bits of the sketch's symbols, then the next ones.
+
+    The second array holds the same of the symbols that only the longer sketch has.
+    """
+    symbols = signatures(flat, offsets, LONG_SKETCH)
+
+    def planes(part: np.ndarray) -> np.ndarray:
+        both = [np.packbits((part >> bit & 1).astype(np.uint8), axis=1) for bit in (np.uint16(0), np.uint16(1))]
+        return np.concatenate(both, axis=1).view(np.int64)
+
+    return planes(symbols[:, :SKETCH]), planes(symbols[:, SKETCH:])
 
 
 def chunk_keys(signature: np.ndarray) -> np.ndarray:
@@ -179,11 +191,15 @@ def _involved(batches):
             piece = b.slice(begin, 256)
             flat, offsets = shingle_sets(piece.column("text"))
             own = [d == e for d, e in zip(_digests(flat, offsets), piece.column("digest").to_pylist())]
-            made = sketches(flat, offsets)[np.array(own, dtype=bool)[np.diff(offsets) > 0]]
+            kept = np.array(own, dtype=bool)[np.diff(offsets) > 0]
+            made, fine = (words[kept] for words in sketches(flat, offsets))
             piece = piece.filter(pa.array(own))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), piece.column("text"), *(pa.array(made[:, k].copy()) for k in range(made.shape[1]))],
-                ["id", "text", *SKETCHED],
+                [
+                    piece.column("id"), piece.column("text"), *(pa.array(made[:, k].copy()) for k in range(made.shape[1])),
+                    lists(fine.reshape(-1), np.arange(len(fine) + 1) * 2 * FINE, pa.int64()),
+                ],
+                ["id", "text", *SKETCHED, "fine"],
             )
 
 
@@ -195,6 +211,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return written(both.mapInArrow(_confirm(percent), pairs.schema))
 
 
+def _nearest(led: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b): to each id (b) the leaders (a) that it shares most keys with."""
+    # an id has a leader a key, so a list has at most as many as there are keys of one signature
+    shared = led.groupBy("id", "leader").agg((-F.count(F.lit(1))).alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("n", "leader"))), 1, most)
+    return shared.groupBy("id").agg(first.alias("first")).select(F.explode("first.leader").alias("a"), F.col("id").alias("b"))
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (key, id, component) of the keys that hold several components."""
     labelled = members.join(labels.hint("merge"), "id", "left").select(
@@ -208,31 +232,34 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _outside(apart: DataFrame, number: int) -> DataFrame:
-    """Members (key, id, component) outside their key's largest component, with a leader drawn from it."""
+    """Members (key, id, component) with a leader drawn from their key's largest component, and whether they are inside it."""
     drawn = F.min(F.struct(F.xxhash64(F.lit(number), F.col("id")), F.col("id")))["id"]
     parts = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), drawn.alias("leader"))
     leaders = parts.groupBy("key").agg(F.max(F.struct("n", "leader", "component")).alias("top")).select(
         "key", "top.leader", F.col("top.component").alias("own")
     )
-    return apart.join(leaders.hint("merge"), "key").filter("component != own").drop("own")
+    return apart.join(leaders.hint("merge"), "key").withColumn("inside", F.col("component") == F.col("own")).drop("own")
 
 
 def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids that share a key across components and have near sketches, each once.
 
     One of the two is outside the key's largest component, so its members are not
-    compared with each other. A pair that shares several keys is met in each; only
-    its two ids are shuffled to make it one.
+    compared with each other. A pair that shares several keys is met in each, and
+    comes out of the least of them.
     """
-    sketched = texts.select("id", *SKETCHED)
+    # at most the keys of one signature; a pair of two components meets under each of them that it shares
+    held = apart.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    sketched = texts.select("id", *SKETCHED, "fine").join(held.hint("merge"), "id")
 
     def side(rows: DataFrame, name: str) -> DataFrame:
         return rows.join(sketched, "id").select(
             F.col("key") if name == "a" else F.col("key").alias("key_b"),
-            *(F.col(c).alias(f"{c}_{name}") for c in ["id", "component", *SKETCHED]),
+            *(F.col(c).alias(f"{c}_{name}") for c in ["id", "component", "inside", "keys", *SKETCHED, "fine"]),
         )
 
-    one, two = side(_outside(apart, 0), "a"), side(apart, "b")
+    parted = _outside(apart, 0)
+    one, two = side(parted.filter(~F.col("inside")), "a"), side(parted, "b")
 
     def differs(k: int) -> Column:
         low = F.col(f"plane{k}_a").bitwiseXOR(F.col(f"plane{k}_b"))
@@ -240,11 +267,16 @@ def _across(apart: DataFrame, texts: DataFrame) -> DataFrame:
         return F.bit_count(low.bitwiseOR(high))
 
     distance = sum((differs(k) for k in range(1, PLANES // 2)), differs(0))
-    # one condition, so that the cheap test comes first
-    near = F.when(F.col("component_a") != F.col("component_b"), distance <= SKETCH_RADIUS)
-    return (
-        one.join(two, (F.col("key") == F.col("key_b")) & F.coalesce(near, F.lit(False)))
-        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    least = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    unlike = F.zip_with("fine_a", "fine_b", lambda a, b: a.bitwiseXOR(b))
+    longer = F.aggregate(F.sequence(F.lit(0), F.lit(FINE - 1)), distance, lambda n, k: n + F.bit_count(
+        F.get(unlike, k).bitwiseOR(F.get(unlike, k + FINE))
+    ))
+    # one condition, so that the cheap tests come first
+    once = F.col("inside_b") | (F.col("id_a") < F.col("id_b"))
+    near = F.when(once & (F.col("component_a") != F.col("component_b")), F.when(distance <= SKETCH_RADIUS, F.when(least, longer <= LONG_RADIUS)))
+    return one.join(two, (F.col("key") == F.col("key_b")) & F.coalesce(near, F.lit(False))).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")
     )
 
 
@@ -274,23 +306,23 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFr
     involved = classes.select("id", "digest", "rep").join(shared.select("id").distinct().hint("merge"), "id")
     texts = (
         rows.withColumnRenamed("id", "rep").join(involved, "rep").select("id", "text", "digest")
-        .mapInArrow(_involved, f"id {kind}, text string, " + ", ".join(f"{c} bigint" for c in SKETCHED))
+        .mapInArrow(_involved, f"id {kind}, text string, " + ", ".join(f"{c} bigint" for c in SKETCHED) + ", fine array<bigint>")
     )
     texts = written(texts.dropDuplicates(["id"]) if repeated else texts)
-    stars = shared.filter("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stars, texts, percent)
+    links = _confirmed(_nearest(shared.filter("id != leader"), LEADERS), texts, percent)
     labels = components(links)
     apart = _apart(shared.select("key", "id"), labels)
     for number in range(ROUNDS):
-        led = _outside(apart, number).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        led = written(_nearest(_outside(apart, number).filter(~F.col("inside")), LEADERS))
         found = _confirmed(led, texts, percent)
-        if not found.limit(1).count():
-            break
         links = links.unionByName(found)
-        labels = components(links)
+        behind = found.count()
+        if FEW * behind < led.count():
+            break  # older labels only leave a few more pairs to compare
+        labels, behind = components(links), 0
         apart = _apart(apart.select("key", "id"), labels)
     found = _confirmed(_across(apart, texts), texts, percent)
-    if found.limit(1).count():
+    if behind or found.limit(1).count():
         labels = components(links.unionByName(found))
 
     of_class = classes.select("id", F.col("digest").alias("d"), "rep").join(labels, "id", "left").select(

@@ -80,6 +80,34 @@ def test_near_dedup_links_across_the_smallest(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_confirms_few_pairs_of_a_family(spark, monkeypatch):
+    """Documents that are all a little too unlike each other: no step confirms pairs by the square of their number."""
+    import random
+
+    rng, n, asked = random.Random(11), 60, []
+    words = [f"f{k}" for k in range(600)]
+
+    def member(d):
+        places = set(rng.sample(range(600), 14))
+        return " ".join(f"m{d}x{k}" if k in places else w for k, w in enumerate(words))
+
+    rows = [(d, member(d)) for d in range(n)] + [(n, member(0)), (n + 1, " ".join(words))]
+    confirmed = near_dedup._confirmed
+
+    def counted(pairs, *args):
+        pairs = near_dedup.written(pairs)
+        asked.append(pairs.count())
+        assert pairs.distinct().count() == asked[-1]
+        return confirmed(pairs, *args)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    for some in (rows[:n], rows):  # without and with the document that all others come from
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+        assert got == {d: c for d, (_, c) in corpus.near_groups(some).items()}
+    assert max(asked) <= near_dedup.LEADERS * len(rows)
+
+
 def test_near_dedup_judges_each_text_of_a_repeated_id(spark):
     """Ids with several texts: no link is missed and no unrelated text is lost."""
     one = " ".join(f"p{k}" for k in range(200))
