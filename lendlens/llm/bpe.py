@@ -36,6 +36,7 @@ FREQUENT = 1 << 16  # words that are looked up where they stand
 FREQUENT_BYTES = 48  # longer words are not kept in the literal map
 SHORT = 32  # pieces up to which one pair is merged per step
 BUCKETS = 1 << 14
+KEY_BITS = 48  # of a text's key, which each place of a rare word carries through two shuffles
 NONE = 2**31 - 1  # rank of a pair that is no token
 
 
@@ -214,11 +215,13 @@ class Tokenizer:
         vocabulary = self.vocabulary(docs, text_col)
         lowest = _lowest_class(vocabulary, most)
         frequent = F.coalesce(F.col("class") >= lowest, F.lit(False))
-        known = _literal_map({r["word"]: r["ids"] for r in vocabulary.filter(frequent).select("word", "ids").collect()}, "array<int>")
+        common = vocabulary.filter(frequent).select("word", "ids").toArrow()
+        known = _literal_map({w.as_py(): i.as_py() for w, i in zip(*common.columns)}, "array<int>")
+        del common
 
         key, rare = fresh(docs, "key"), fresh(docs, "rare")
         text = F.col(text_col)
-        digest = F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+        digest = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
         # what is looked up anyway has the same ids in the vocabulary
         keyed = docs.withColumn(key, digest)  # before the words are dealt out, once a text
         places = keyed.select(key, F.posexplode(self.words(text)).alias("place", "word")).filter(
@@ -226,7 +229,7 @@ class Tokenizer:
         )
         # merge joins, as a broadcast would pass through the driver
         joined = places.join(vocabulary.filter(~frequent).select("word", "ids").hint("merge"), "word")
-        # equal texts have equal places
+        # equal texts have equal places; of different texts under one key each gets more than its own, and is folded below
         of_text = written(joined.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("place", "ids"))).alias(rare)))
 
         encoded = keyed.join(of_text.hint("merge"), key, "left")
@@ -239,7 +242,8 @@ class Tokenizer:
         def folded(words: Column) -> Column:
             return bind(self.rank_map(), lambda ranks: F.transform(words, lambda w: _fold(_bytes(w), ranks)))
 
-        # a text that the first pass did not see, as of an unordered limit, is folded where it stands
+        # a text that the first pass did not see, as of an unordered limit, is folded where it stands;
+        # with as many places as words a text has just its own, as those are always among them
         all_ids = bind(self.words(text), lambda words: bind(ordered(words), lambda found: F.when(
             F.size(found) == F.size(words), F.flatten(found.getField("ids"))
         ).otherwise(F.flatten(folded(words)))))

@@ -135,6 +135,20 @@ def test_byte_bpe(spark, docs):
     assert bpe.report(table.limit(0), tokenizer).count() == 0
 
 
+def test_texts_under_one_key(spark, monkeypatch):
+    """A text's key is short; texts that happen to share one, also with as many rare words, keep their own ids."""
+    ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.KEY_BITS <= 48
+    monkeypatch.setattr(bpe, "KEY_BITS", 1)
+    texts = ["qzxv the wkjy", "wkjy the qzxv", "the qzxv", "the the qzxv", "the", "", None, "vvkq wkjy qzxv the", "qzxv the wkjy"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (0, 2, 500):
+        for r in tokenizer.encode(rows, most=most).collect():
+            assert r.ids == plain.encode_ordinary(r.text or "")
+
+
 def test_long_runs(spark):
     """Unbroken runs of many bytes, whose equal pairs overlap, in one step each."""
     ranks = bpe.ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
